@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, media, mixing, warc
+from . import bpe, fingerprints, language, media, mixing, quality, toxicity, warc
 from .common import arrow_limits, materialize, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_weights(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_limits(spark)
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_limits(spark)
     archives = materialize(warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages"))))
@@ -29,6 +34,16 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payload_digests(stored)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_limits(spark)
+    return language.classify(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_limits(spark)
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_limits(spark)
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
@@ -42,8 +57,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
     "op4_warc": op4_warc,
     "op5_media": op5_media,
+    "op7_language": op7_language,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_fingerprints": op10_fingerprints,
 }
