@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, media, mixing, quality, toxicity, warc
+from . import bpe, fingerprints, language, media, mixing, near_dedup, quality, toxicity, warc
 from .common import arrow_limits, materialize, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payload_digests(stored)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_limits(spark)
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_limits(spark)
     return language.classify(table(spark, sf_dir, "documents"))
@@ -60,10 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_warc": op4_warc,
     "op5_media": op5_media,
+    "op6_near_dedup": op6_near_dedup,
     "op7_language": op7_language,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op6_near_dedup": near_dedup.ORACLE_SQL}
