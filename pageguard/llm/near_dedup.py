@@ -204,9 +204,9 @@ def near_classes(docs: DataFrame, shingler: Shingler = word_shingles, percent: i
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def first_documents(docs: DataFrame) -> DataFrame:
+def first_documents(docs: DataFrame, shingler: Shingler = word_shingles, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with one document of each near-duplicate group; columns as given."""
-    dropped = materialize(near_classes(docs).where("not kept").select("doc_id").distinct())
+    dropped = materialize(near_classes(docs, shingler, percent, bands, rows).where("not kept").select("doc_id").distinct())
     return join_sized(docs, dropped, ["doc_id"], "left_anti").select(*docs.columns)
 
 

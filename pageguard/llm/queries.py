@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, media, mixing, near_dedup, quality, toxicity, warc
+from . import bpe, fingerprints, language, media, mixing, near_dedup, quality, suffix_dedup, toxicity, warc
 from .common import arrow_limits, materialize, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_limits(spark)
+    return suffix_dedup.digest_rows(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_limits(spark)
     archives = materialize(warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages"))))
@@ -63,6 +68,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_warc": op4_warc,
     "op5_media": op5_media,
     "op6_near_dedup": op6_near_dedup,
