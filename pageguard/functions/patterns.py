@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values. White space and word boundaries are spelt out, because Java's \s and \b differ from the ones meant here.
-SPACE = r"\t-\r    -     　﻿"
+SPACE = r"\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE = rf"(\+\d{{1,3}}[{SPACE}.-]?)?(\(?\d{{2,4}}\)?[{SPACE}.-]?)?\d{{3,4}}[{SPACE}.-]?\d{{3,4}}{BOUNDARY}"
