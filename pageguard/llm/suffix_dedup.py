@@ -127,7 +127,10 @@ class BlindTrie:
             return
         at = s[shared] if shared < len(s) else -1
         if node[0] == shared:
-            node[1][at] = [-1, [i], i]
+            if at in node[1]:  # only an end can be there already: an equal string
+                node[1][at][1].append(i)
+            else:
+                node[1][at] = [-1, [i], i]
             return
         split = [shared, {(other[shared] if shared < len(other) else -1): node, at: [-1, [i], i]}, node[2]]
         if parent is None:
