@@ -12,7 +12,7 @@ each (length - core) / 2 bytes), never all suffixes.
    at one distance from their anchors are equal iff they lie in one class of each order, cut at their two lengths.
 4. A core with more than GROUP extents does not go to one task: its windows are hashed and counted by Spark instead.
 5. Texts that occur more than once are repeated as a whole; the other documents' repeated windows are joined with their
-   text by id and text hash, and the union of the windows' bytes is removed.
+   text by its hash (128 bits), and the union of the windows' bytes is removed.
 
 Defined results: null is the empty text; texts shorter than a window keep all bytes; repeated rows are copies of each
 other; matches never cross documents; removing bytes can cut a character, whose other bytes stay in `kept` as they are
@@ -27,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, join_sized, materialize, mix64, steps, text_buffer
+from .common import SpanHash, materialize, mix64, steps, text_buffer
 
 LENGTH, CORE = 400, 200
 #: Bytes past the core that the multikey sort looks at before blind tries take over.
@@ -74,21 +74,22 @@ def anchored_runs(data: np.ndarray, off: np.ndarray, length: int, core: int) ->
     return row, first - off[row], count, reach, h[x[new]], extent
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null as empty) and two hashes of the text."""
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text (null as empty), and the two hashes k1 and k2 that stand for the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *more)
+    return own.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), "text")})
 
 
 def runs(keyed: DataFrame, length: int, core: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            row, first, count, reach, h, extent = anchored_runs(*text_buffer(batch.column(1)), length, core)
-            ids = [batch.column(i).take(pa.array(row)) for i in (0, 2)]
+            row, first, count, reach, h, extent = anchored_runs(*text_buffer(batch.column(0)), length, core)
+            keys = [batch.column(i).take(pa.array(row)) for i in (1, 2)]
             ints = [pa.array(c.astype(np.int32)) for c in (first, count, reach)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(h.astype(np.int64)), pa.array(extent.astype(np.int64)), *ints], names=["doc_id", "k1", "core", "extent", "first", "windows", "reach"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(h.astype(np.int64)), pa.array(extent.astype(np.int64)), *ints], names=["k1", "k2", "core", "extent", "first", "windows", "reach"])
 
-    return keyed.select("doc_id", "text", "k1").mapInArrow(run, "doc_id long, k1 long, core long, extent long, first int, windows int, reach int")
+    return keyed.select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 long, core long, extent long, first int, windows int, reach int")
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -289,22 +290,27 @@ def _window_hashes(length: int):
 
 
 def marks(docs: DataFrame, length: int = LENGTH, core: int = CORE, group: int = GROUP) -> DataFrame:
-    """doc_id, k1, whole, begins, ends: what is removed of texts; whole is set for texts that occur more than once.
+    """k1, k2, whole, begins, ends: what is removed of each text; whole is set for texts that occur more than once.
 
     begins and ends are first windows and the places after last windows of repeated runs (unmerged, of one document).
+    Tables are written where a join follows an aggregation, so that both sides of the join are plain shuffles and a hot
+    key can be split.
     """
     keyed = _keyed(docs)
-    copies = materialize(keyed.where(F.octet_length("text") >= length).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
+    copies = materialize(keyed.where(F.octet_length("text") >= length).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("only")).where("n > 1").drop("n"))
     every = materialize(runs(keyed, length, core))
-    cores = every.groupBy("core").agg(F.count("*").alias("n"), (F.min("extent") != F.max("extent")).alias("mixed")).where("n > 1").select("core", "mixed")
+    cores = materialize(every.groupBy("core").agg(F.count("*").alias("n"), (F.min("extent") != F.max("extent")).alias("mixed")).where("n > 1").select("core", "mixed"))
     shared = materialize(every.join(cores, "core"))
-    place = F.struct("doc_id", "k1", "first", "windows", "reach")
+    place = F.struct("k1", "k2", "first", "windows", "reach")
     extents = materialize(shared.groupBy("core", "extent", "mixed").agg(F.count("*").alias("n"), F.min(place).alias("at")))
     mixed = extents.where("mixed")
-    sizes = mixed.groupBy("core").agg(F.count("*").alias("in_core"))
-    asked = mixed.groupBy("at.doc_id", "at.k1").agg(F.collect_list(F.struct("core", "extent", "at.first", "at.windows", "at.reach")).alias("asked"))
-    texts = join_sized(keyed.withColumn("d", F.coalesce("doc_id", F.lit(-(2**63)))), materialize(asked.withColumn("d", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id")), ["d", "k1"], limit=20_000)
-    contexts = materialize(texts.select("text", "asked").mapInArrow(_contexts(length), _CONTEXT).dropDuplicates(["core", "extent"]).join(sizes, "core"))
+    sizes = materialize(mixed.groupBy("core").agg(F.count("*").alias("in_core")))
+    asked = mixed.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("core", "extent", "at.first", "at.windows", "at.reach")).alias("asked"))
+    asked = materialize(asked.join(copies, ["k1", "k2"], "left"))
+    # Of a text with copies, the one with the least id is read; should several have that id, equal contexts fall together.
+    texts = keyed.join(asked, ["k1", "k2"]).where("only is null or doc_id = only")
+    contexts = materialize(texts.select("text", "asked").mapInArrow(_contexts(length), _CONTEXT).dropDuplicates(["core", "extent"]))
+    contexts = contexts.join(sizes, "core")
     columns = ["core", "extent", "reach", "windows", "context"]
     grouped = contexts.where(F.col("in_core") <= group).select(*columns).repartition("core").sortWithinPartitions("core").mapInArrow(_compare(length, core), _FOUND)
     windows = contexts.where(F.col("in_core") > group).select(*columns).mapInArrow(_window_hashes(length), "core long, extent long, window int, distance int, hash long")
@@ -314,17 +320,16 @@ def marks(docs: DataFrame, length: int = LENGTH, core: int = CORE, group: int =
     found = materialize(grouped.unionByName(counted).where(F.size("begins") > 0))
     whole = extents.where("n > 1").select("core", "extent", F.lit(True).alias("all"))
     part = found.join(whole, ["core", "extent"], "left_anti").select("core", "extent", F.lit(False).alias("all"), "begins", "ends")
-    known = materialize(whole.select("*", F.lit(None).cast("array<int>").alias("begins"), F.lit(None).cast("array<int>").alias("ends")).unionByName(part))
+    none = F.lit(None).cast("array<int>")
+    known = materialize(whole.select("*", none.alias("begins"), none.alias("ends")).unionByName(part))
     # Copies are removed as a whole; their places would only swell what is gathered for each text.
-    twice = copies.select("k1").distinct()
-    hits = shared.join(twice, "k1", "left_anti").join(known, ["core", "extent"])
+    hits = shared.join(copies, ["k1", "k2"], "left_anti").join(known, ["core", "extent"])
     begin = F.when(F.col("all"), F.array(F.lit(0))).otherwise(F.col("begins"))
     end = F.when(F.col("all"), F.array("windows")).otherwise(F.col("ends"))
-    moved = hits.select("doc_id", "k1", F.explode(F.arrays_zip(F.transform(begin, lambda x: x + F.col("first")).alias("b"), F.transform(end, lambda x: x + F.col("first")).alias("e"))).alias("w"))
-    gathered = moved.groupBy("doc_id", "k1").agg(F.collect_list("w.b").alias("begins"), F.collect_list("w.e").alias("ends"))
-    once = gathered.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "k1", F.lit(0).cast("long").alias("k2"), "begins", "ends")
-    none = F.lit(None).cast("array<int>")
-    return once.unionByName(copies.select(F.lit(None).cast("long").alias("d"), "k1", "k2", none.alias("begins"), none.alias("ends")))
+    moved = hits.select("k1", "k2", F.explode(F.arrays_zip(F.transform(begin, lambda x: x + F.col("first")).alias("b"), F.transform(end, lambda x: x + F.col("first")).alias("e"))).alias("w"))
+    gathered = moved.groupBy("k1", "k2").agg(F.collect_list("w.b").alias("begins"), F.collect_list("w.e").alias("ends"))
+    once = gathered.select("k1", "k2", F.lit(False).alias("whole"), "begins", "ends")
+    return once.unionByName(copies.select("k1", "k2", F.lit(True).alias("whole"), none.alias("begins"), none.alias("ends")))
 
 
 def _cut(data: bytes, whole: bool, begins: list[int] | None, ends: list[int] | None, length: int) -> tuple[bytes, int]:
@@ -344,13 +349,8 @@ def _cut(data: bytes, whole: bool, begins: list[int] | None, ends: list[int] | N
 def cleaned(docs: DataFrame, carry: bool = False, length: int = LENGTH, core: int = CORE, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (bytes) of every document; with carry, its row as struct `carried`."""
     known = materialize(marks(docs, length, core, group))
-    whole = known.where("d is null").select("k1", "k2", F.lit(True).alias("whole"))
-    part = known.where("d is not null").select("d", "k1", "begins", "ends")
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("carried")] if carry else []
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *row)
-    own = own.select("*", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
-    joined = join_sized(join_sized(own, part, ["d", "k1"], "left", 20_000), whole, ["k1", "k2"], "left").drop("d", "k1", "k2")
+    joined = _keyed(docs, *row).join(known, ["k1", "k2"], "left").drop("k1", "k2")
     kept = ["carried"] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
