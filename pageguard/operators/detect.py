@@ -28,8 +28,8 @@ def items(text: Column, kinds: list[str] | None = None) -> Column:
 
 def detect(df: DataFrame, id_col: str, text_col: str, kinds: list[str] | None = None) -> DataFrame:
     """One row per item. Texts are scanned once; rows without items go before the explode."""
-    found = df.select(id_col, items(F.col(text_col), kinds).alias("items")).where(F.size("items") > 0)
-    return found.select(id_col, F.explode("items").alias("i")).select(id_col, "i.*")
+    found = df.select(id_col, items(F.col(text_col), kinds).alias("_items")).where(F.size("_items") > 0)
+    return found.select(id_col, F.explode("_items").alias("_item")).select(id_col, "_item.*")
 
 
 def has_items(text: Column) -> Column:
@@ -44,7 +44,7 @@ def offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def of(kind: str, pattern: str) -> Column:
         return F.zip_with(patterns.starts_of(text, pattern), patterns.found(text, pattern), lambda s, m: F.struct(F.lit(kind).alias("type"), s.alias("start"), m.alias("match")))
 
-    return df.select(id_col, F.explode(F.concat(*(of(k, p) for k, p in raw.items()))).alias("i")).select(id_col, "i.*")
+    return df.select(id_col, F.explode(F.concat(*(of(k, p) for k, p in raw.items()))).alias("_item")).select(id_col, "_item.*")
 
 
 def bare_name(label: Column, value: Column, seen: Column) -> Column:
