@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import near_dedup
 from .common import SpanHash, materialize, mix64, steps, text_buffer, word_spans
 
 PERMUTATIONS = 64
@@ -128,6 +129,15 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _OUT)], names=[n for n, _ in _OUT])
 
 
+def near_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept: documents linked by at least this Jaccard similarity of their shingles.
+
+    Signature bands (30 of 5 permutations) are joined in Spark and every pair that they propose is verified on the full
+    sets of shingles before it links.
+    """
+    return near_dedup.near_classes(docs, shingle_hashes, percent, bands=30, rows=5)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, compared with each other and with the next document's.
 

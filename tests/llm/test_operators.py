@@ -313,6 +313,16 @@ def test_stitched_pieces(text, chunk):
     assert bpe.pieces(pattern, text, chunk, 8) == pattern.findall(text)
 
 
+def test_texts_of_several_chunks(spark):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcde'sß🙂") for _ in range(rng.randint(1, 9))) + rng.choice(["", "  ", "\n\n "]) for _ in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, "z" * 70_000)], "doc_id long, text string")
+    _, encoding, _ = bpe._coder(PATH, public_tokenizers.PATTERN)
+    rows = {r["doc_id"]: r for r in bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).collect()}
+    assert rows[1]["ids"] == encoding.encode_ordinary(text) and bytes(rows[1]["decoded"]).decode() == text
+    assert rows[2]["ids"] == encoding.encode_ordinary("z" * 70_000)
+
+
 def test_runs_longer_than_an_overlap():
     pattern = regex.compile(public_tokenizers.PATTERN)
     for text in ("a" * 500, " " * 500, "ab " * 50 + "x" * 300 + " yz" * 50, "'" * 99 + "re" * 99):
@@ -338,6 +348,14 @@ def test_fingerprints_follow_the_contract(docs):
     assert np.mean(near) > 0.5
 
 
+def test_near_documents(spark):
+    rng = random.Random(5)
+    base = [str(rng.random()) for _ in range(300)]
+    texts = [" ".join(base), " ".join(base[:290] + ["x"] * 10), " ".join(base[:150]), "short", "short", "shore", None]
+    rows = fingerprints.near_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in sorted(rows)] == [0, 0, 2, 3, 3, 5, 6]
+
+
 def test_likeness_is_near_jaccard():
     rng = random.Random(3)
     a = [str(rng.random()) for _ in range(400)]
