@@ -114,6 +114,22 @@ def scrub(obj: object) -> object:
     return [scrub(x) for x in obj] if isinstance(obj, list) else obj
 
 
+def verb_state(verb: Column) -> Column:
+    """The state that a controller's verb leads to; null for an unknown verb."""
+    return F.create_map(*[F.lit(x) for pair in VERB_STATES.items() for x in pair])[verb]
+
+
+def form_input(field: Column) -> Column:
+    """What a requested field (key, label, type) becomes in a form: text unless typed, required, never auto-filled."""
+    kind = F.coalesce(F.nullif(field["type"], F.lit("")), F.lit("text"))
+    return F.struct(field["key"].alias("name"), field["label"].alias("label"), kind.alias("type"), F.lit(True).alias("required"), F.lit("off").alias("autocomplete"))
+
+
+def submitted(inputs: Column, values: Column) -> Column:
+    """Answers by key, in the order of the form's inputs."""
+    return F.map_from_entries(F.zip_with(inputs, values, lambda i, v: F.struct(i["name"], v)))
+
+
 def merge_answers(answers: DataFrame, task: str, order: str, key: str, value: str) -> DataFrame:
     """task and info: a map of the last answer to each key."""
     last = answers.groupBy(task, key).agg(F.max_by(value, order).alias("v"))

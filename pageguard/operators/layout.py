@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageguard.functions.geometry import Rect
+
+
+def text_box(start: Column, length: Column, columns: int = 80, char: int = 8, line: int = 16) -> Rect:
+    """Where a match lies in text set at a fixed pitch: a stand-in for a browser's layout of the match's first line."""
+    x, y = F.pmod(start, F.lit(columns)) * char, F.floor(start / columns) * line
+    return Rect(x.cast("double"), y.cast("double"), (length * char).cast("double"), F.lit(float(line)))
+
 
 def topmost(boxes: DataFrame, group: str, z: str, view_w: float, view_h: float, cell: int = 128, path: str | None = None) -> DataFrame:
     """group, z, top and on_top: the box of the highest z over each box's centre, and whether it is the box itself.

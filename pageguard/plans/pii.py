@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageguard.functions import masking, patterns, urls
+from pageguard.functions.geometry import in_viewport
 from pageguard.operators import detect
+from pageguard.operators.layout import text_box
 from pageguard.sources.tables import table
 
 
@@ -30,6 +32,14 @@ def pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.offsets(_docs(spark, sf_dir), "doc_id", "text").withColumn("start", F.col("start").cast("long"))
 
 
+def match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-pixel boxes of all raw hits that lie in the viewport, in text set at a fixed pitch."""
+    hits = detect.offsets(_docs(spark, sf_dir), "doc_id", "text")
+    box = text_box(F.col("start"), F.length("match"))
+    kept = hits.where(in_viewport(box, F.lit(1280.0), F.lit(720.0)))
+    return kept.select("doc_id", "type", *(patterns.js_round(c).alias(n) for n, c in zip(box._fields, box)))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     return lines.select("doc_id", F.col("line").cast("long").alias("line"), F.trim("raw").alias("text")).where("text <> ''")
@@ -103,6 +113,7 @@ QUERIES = {
     "pii_ipv4": _kind("IP_ADDRESS"),
     "pii_counts": pii_counts,
     "pii_offsets": pii_offsets,
+    "match_boxes": match_boxes,
     "redact_lines": redact_lines,
     "redact_values": redact_values,
     "bare_name": bare_name,
@@ -161,6 +172,7 @@ ORACLE_SQL = {
     "pii_ipv4": _over(_IPS, **_DOC),
     "pii_counts": f"select type, count(*) as n_items, count(distinct doc_id) as n_docs from ({_all(**_DOC)}) group by type",
     "pii_offsets": _OFFSETS,
+    "match_boxes": f"""select doc_id, type, start % 80 * 8 as x, start // 80 * 16 as y, length(match) * 8 as width, 16::bigint as height from ({_OFFSETS}) where start // 80 * 16 < 720 and start % 80 * 8 < 1280""",
     "redact_lines": f"""with lines as ({_LINES}), keyed as (select doc_id * 1000000 + line as k, * from lines),
       hit as (select distinct k from ({_all(id="k", text="text", src="keyed")}))
       select doc_id, line, case when hit.k is not null then '{patterns.LINE_MARK}' else substr(text, 1, 300) end as text from keyed left join hit using (k)""",

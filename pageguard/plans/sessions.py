@@ -121,7 +121,33 @@ def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.checked_stream(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (fsm_validate, fsm_resume_fix, state_history, agent_runs, describe_actions, validate_actions, agent_payload, collected_answers, latest_extraction, debounce_sessions, top_elements, scrub_props, stream_debounce, stream_states)}
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose run was started, once each."""
+    return streams.once_stream(spark, sf_dir).select("user_id")
+
+
+def controller_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States that controllers' verbs lead to, and whether they may follow one another."""
+    verb = F.element_at(F.array(*map(F.lit, agent.VERB_STATES)), (F.col("event_id") % 13 + 1).cast("int"))
+    steps = _events(spark, sf_dir).select("user_id", "ts", "event_id", agent.verb_state(verb).alias("state"))
+    return agent.validate_states(steps, "user_id", ["ts", "event_id"]).groupBy("state").agg(F.count("*").alias("n"), F.sum(F.col("valid").cast("long")).alias("n_valid"))
+
+
+def user_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for each nation as a requested field, and what submitting it collects."""
+    k = F.col("n_nationkey")
+    field = F.struct(F.concat(F.lit("f"), k.cast("string")).alias("key"), F.initcap("n_name").alias("label"), F.when(k % 2 == 0, "email").when(k % 4 == 1, "").alias("type"))
+    form = table(spark, sf_dir, "nation").select("n_nationkey", F.array(agent.form_input(field)).alias("form"), "n_name")
+    return form.select("n_nationkey", F.to_json(F.get("form", F.lit(0))).alias("input"), F.to_json(agent.submitted(F.col("form"), F.array("n_name"))).alias("collected"))
+
+
+def elements_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements as indented JSON text."""
+    e = F.to_json(F.struct("element_id", "kind", "text"), {"pretty": "true"})
+    return _elements(spark, sf_dir).select("element_id", e.alias("shown"))
+
+
+QUERIES = {f.__name__: f for f in (fsm_validate, fsm_resume_fix, state_history, agent_runs, describe_actions, validate_actions, agent_payload, collected_answers, latest_extraction, debounce_sessions, top_elements, scrub_props, stream_debounce, stream_states, stream_once, controller_verbs, user_form, elements_json)}
 
 _LIST = "[" + ", ".join(f"'{s}'" for s in agent.STATES) + "]"
 _STATES = f"""st as (select user_id, ts, event_id, {_LIST}[(row_number() over (partition by user_id order by ts, event_id) + case when event_id % 7 = 0 then 1 else 0 end) % 12 + 1] as state from events),
@@ -163,4 +189,14 @@ ORACLE_SQL = {
     "stream_states": f"""with st as (select user_id, ts, event_id, {_LIST}[event_id % 12 + 1] as state from events),
       pr as (select *, coalesce(lag(state) over (partition by user_id order by ts, event_id), 'IDLE') as previous from st)
       select user_id, arg_max(state, (ts, event_id)) as state, count(*) filter (not {_VALID.format(more="")}) as n_invalid, count(*) as n_steps from pr group by user_id""",
+    "stream_once": "select distinct user_id from events",
+    "controller_verbs": f"""with st as (select user_id, ts, event_id, ['TASK_RECEIVED', 'PAGE_ANALYSIS', 'DOM_EXTRACTED', 'PII_DETECTED', 'SCREENSHOT_CAPTURED', 'SCREENSHOT_REDACTED', 'READY_FOR_AGENT',
+        'READY_FOR_AGENT', 'EXECUTING', 'WAITING_FOR_USER', 'COMPLETED', 'ERROR', 'IDLE'][event_id % 13 + 1] as state from events),
+      pr as (select *, coalesce(lag(state) over (partition by user_id order by ts, event_id), 'IDLE') as previous from st)
+      select state, count(*) as n, count(*) filter ({_VALID.format(more="")}) as n_valid from pr group by state""",
+    "user_form": """with n as (select n_nationkey as k, n_name, array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') as label from nation)
+      select k as n_nationkey, to_json({'name': 'f' || k, 'label': label, 'type': case when k % 2 = 0 then 'email' else 'text' end, 'required': true, 'autocomplete': 'off'})::varchar as input,
+      '{"f' || k || '":"' || n_name || '"}' as collected from n""",
+    "elements_json": """select element_id, '{' || chr(10) || '  "element_id" : ' || element_id || ',' || chr(10) || '  "kind" : "' || kind || '",' || chr(10) || '  "text" : "' || text || '"' || chr(10) || '}' as shown
+      from (select n_nationkey as element_id, ['button', 'link', 'input:text', 'select', 'textarea'][n_nationkey % 5 + 1] as kind, case when n_nationkey % 3 = 0 then n_name else '' end as text from nation)""",
 }

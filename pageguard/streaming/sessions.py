@@ -68,3 +68,12 @@ def checked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest(events: DataFrame, key: str) -> DataFrame:
     """The last event of each key; on a stream, in update or complete mode."""
     return events.groupBy(key).agg(F.max_by(F.struct("event_id", "event_type", "value"), "ts").alias("last")).select(key, "last.*")
+
+
+def once(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One event for each key while it is within the watermark: a run that is going on is not started again."""
+    return events.dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+
+
+def once_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finish(once(event_stream(spark, sf_dir).select("user_id", "ts"), ["user_id"]), "append")
