@@ -26,10 +26,12 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 CHUNK = 32_768
 OVERLAP = 1_024
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 50_000
 
 
 @lru_cache(maxsize=4)
@@ -96,7 +98,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             rows, lengths = [], [0]
             for text in batch.column(1).to_pylist():
-                ids = list(chain.from_iterable(map(known.__getitem__, pieces(splitter, text)))) if text else []
+                if not text:
+                    ids = []
+                elif len(text) <= CHUNK:  # one chunk, nothing to stitch: the library splits and encodes in one go
+                    ids = encoding.encode_ordinary(text)
+                else:
+                    ids = list(chain.from_iterable(map(known.__getitem__, pieces(splitter, text))))
                 rows.append(np.array(ids, np.int32))
                 lengths.append(lengths[-1] + len(ids))
                 if len(known) > REMEMBERED:
@@ -105,7 +112,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values))], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -119,21 +126,24 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], names=[id_col, "ids", "decoded"])
 
     kind = coded.schema[id_col].dataType.simpleString()
-    return coded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+    return coded.select(id_col, "ids").mapInArrow(tidy(run), f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of decode()'s rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimal: list[str] = []
         for batch in batches:
             counts, idhash = [], []
             for x in batch.column(1):
                 ids = x.values.tolist() if x.is_valid and x.values is not None else []
+                if ids and max(ids) >= len(decimal):
+                    decimal += map(str, range(len(decimal), max(ids) + 1))
                 counts.append(len(ids))
-                idhash.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                idhash.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
             raw = [hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(idhash), pa.array(raw)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = decoded.schema[id_col].dataType.simpleString()
-    return decoded.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return decoded.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

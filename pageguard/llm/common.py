@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles at a time; a longer document is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 #: Characters that separate words: space and the five ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -43,10 +44,26 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_limits(spark: SparkSession, rows: int = 4000) -> None:
+def arrow_limits(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch carries to a Python worker, in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, giving freed memory back at the end of a task: workers are kept, and would keep it beside the next stage."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
 
 
 def join_sized(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = 100_000) -> DataFrame:
@@ -106,7 +123,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, base, np.uint64)
             p[0] = 1
             made.append(np.cumprod(p))
-        if size > 4 * STEP_BYTES:
+        if size > 16 * STEP_BYTES:
             return made[0][:n], made[1][:n]
         _POWERS[:] = made
     return _POWERS[0][:n], _POWERS[1][:n]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import near_dedup
-from .common import SpanHash, materialize, mix64, steps, text_buffer, word_spans
+from .common import SpanHash, materialize, mix64, steps, text_buffer, tidy, word_spans
 
 PERMUTATIONS = 64
 SHINGLE = 5
@@ -146,7 +146,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows with equal ids follow one another by text, a null id comes first.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = materialize(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_ranges, f"{_SCHEMA}, edge string, edge_text string"))
+    made = materialize(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(_ranges), f"{_SCHEMA}, edge string, edge_text string"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("edge_text"), F.col("edge")]
     # At most two rows for each partition, whatever the input: an ordering over all of them is small.
     w = Window.partitionBy().orderBy(*order)
@@ -154,5 +154,5 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     edge = made.where("edge is not null")
     following = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
     pairs = edge.select("doc_id", F.col("edge_text").alias("text"), "fingerprint", "edge", following("edge_text").alias("next_text"), following("fingerprint").alias("next_fingerprint"))
-    ends = pairs.where("edge = 'last'").drop("edge").mapInArrow(_edges, _SCHEMA)
+    ends = pairs.where("edge = 'last'").drop("edge").mapInArrow(tidy(_edges), _SCHEMA)
     return made.where("edge is null").drop("edge", "edge_text").unionByName(ends)

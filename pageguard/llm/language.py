@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mix64
+from .common import held_out, mix64, tidy
 from .crf import Adam, Chain, gradients, marginals
 from .samples import labelled_sample
 
@@ -31,7 +31,7 @@ ROUNDS = 40
 RUN = 25
 #: Letters of a word that n-grams see: so many from its start and so many from its end.
 EDGE = 12
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -173,7 +173,7 @@ def predict_language(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Samples in a row of an image; payload lengths are multiples of it.
 WIDTH = 192
 
@@ -193,7 +195,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(declared), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "declared", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, declared string, media binary")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, declared string, media binary")
 
 
 def sniff(media: DataFrame, media_col: str = "media", declared_col: str = "declared") -> DataFrame:
@@ -214,7 +216,7 @@ def sniff(media: DataFrame, media_col: str = "media", declared_col: str = "decla
             carved = pa.array([[{"format": n, "start": a, "length": e - a, "samples": s} for n, a, e, s in f] for f in found], carved_type)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(detected), pa.array([a != b for a, b in zip(detected, declared)]), carved], names=[*keep, "detected", "corrected", "carved"])
 
-    return media.select(*keep, media_col).mapInArrow(run, f"{kinds}, detected string, corrected boolean, carved array<struct<format: string, start: long, length: long, samples: binary>>")
+    return media.select(*keep, media_col).mapInArrow(tidy(run), f"{kinds}, detected string, corrected boolean, carved array<struct<format: string, start: long, length: long, samples: binary>>")
 
 
 def payload_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -239,5 +241,5 @@ def payload_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(cols, types)]], names=names)
 
     kind = media.schema[id_col].dataType.simpleString()
-    out = media.select(id_col, "n_bytes", "declared", "media").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, detected string")
+    out = media.select(id_col, "n_bytes", "declared", "media").mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, detected string")
     return out.withColumn("corrected", F.col("declared") != F.col("detected"))

@@ -4,8 +4,10 @@
    BANDS band keys of ROWS MinHash values each, and an odd sketch: every MinHash sample flips one bit of BITS.
 2. Documents with equal sets form one class; only one row of each class goes on.
 3. Classes that share a band key are candidates. Buckets of up to SMALL classes give all their pairs (a few per class);
-   larger ones link each class with two pivots, drawn anew in every band, so a class in a large group meets up to
-   2 * BANDS others of it, and the number of pairs grows with the rows, not with their square.
+   in larger ones each class meets three pivots: two drawn anew in every band, and the one of highest degree, to which
+   changed copies of one text are nearest. After a first round of links, classes in a large bucket that are not in its
+   main component meet SLOTS more of it. So a class in a large group meets hundreds of its members in all, and the
+   number of pairs grows with the rows, not with their square.
 4. The XOR of two odd sketches has about n/2 * (1 - exp(-2m/n)) bits when m samples differ; pairs whose estimate is far
    under the threshold (FAR below) are dropped, all others are confirmed on the full sets before they count as links.
    First each class's likeliest pair is confirmed, then every other pair that would join two components.
@@ -28,12 +30,14 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, join_sized, materialize, mix64, steps, text_buffer, word_spans
+from .common import SpanHash, join_sized, materialize, mix64, steps, text_buffer, tidy, word_spans
 
 SHINGLE = 3
 BANDS, ROWS = 28, 7
 BITS = 512
 SMALL = 8
+#: Members of a large bucket that the ones left out of its main component meet, in each band.
+SLOTS = 16
 #: How far below the threshold an odd sketch's estimate may lie: five standard errors of the MinHash samples.
 FAR = 0.13
 PERCENT = 85
@@ -113,7 +117,7 @@ def sketches(docs: DataFrame, shingler: Shingler, bands: int, rows: int) -> Data
             cols = [pa.array(key[0].astype(np.int64)), pa.array(key[1].astype(np.int64)), _lists(keys), _lists(odd)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(null_if_none, cols)], names=["doc_id", "n_shingles", "node", "check", "bands", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, check long, bands array<long>, odd array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, check long, bands array<long>, odd array<long>")
 
 
 def full_sets(docs: DataFrame, shingler: Shingler) -> DataFrame:
@@ -129,20 +133,47 @@ def full_sets(docs: DataFrame, shingler: Shingler) -> DataFrame:
             sets = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(x.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(node.astype(np.int64)), sets], names=["doc_id", "node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, node long, shingles array<long>")
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes that share a band key. nodes: node and bands, one row each."""
+def _ordered(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b of nodes that share a band key, and the members of large buckets (key, node, degree).
+
+    nodes: node and bands, one row each. A node's degree is the size of all its large buckets together: in a group of
+    copies that were each changed a little, the least changed one has the largest.
+    """
     member = nodes.select("node", F.explode("bands").alias("key"))
     draw = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("node"))
-    buckets = member.groupBy("key").agg(F.count("*").alias("n"), F.min(draw).alias("low"), F.max(draw).alias("high")).where("n > 1")
-    shared = materialize(member.join(buckets.select("key", "n", F.col("low.node").alias("p"), F.col("high.node").alias("q")), "key"))
+    buckets = materialize(member.groupBy("key").agg(F.count("*").alias("n"), F.min(draw)["node"].alias("p"), F.max(draw)["node"].alias("q")).where("n > 1"))
+    shared = materialize(member.join(buckets, "key"))
     small = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("all"))
     paired = small.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
-    pivots = shared.where(F.col("n") > SMALL).select("node", F.explode(F.array("p", "q")).alias("other")).where("node != other")
-    pivoted = pivots.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    return paired.unionByName(pivoted).distinct()
+    large = shared.where(F.col("n") > SMALL)
+    degree = materialize(large.groupBy("node").agg(F.sum("n").alias("degree")))
+    large = materialize(large.join(degree, "node"))
+    centre = materialize(large.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("c")))
+    pivots = large.join(centre, "key").select("node", F.explode(F.array("p", "q", "c")).alias("other")).where("node != other")
+    return paired.unionByName(pivots.select(*_ordered("node", "other"))).distinct(), large.select("key", "node", "degree")
+
+
+def pairs_across(large: DataFrame, root: DataFrame) -> DataFrame:
+    """Further pairs in large buckets whose members are still in several components.
+
+    Every member outside its bucket's largest component meets SLOTS members of the bucket, the one of highest degree in
+    each hash slot, so far as they are in other components; slots differ from band to band.
+    """
+    known = large.join(root, "node", "left").select("key", "node", "degree", F.coalesce("root", "node").alias("root"))
+    main = known.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count("*").alias("parts"))
+    main = materialize(main.where("parts > 1").drop("parts"))
+    known = materialize(known.join(main, "key"))
+    slot = F.pmod(F.xxhash64("key", "node"), F.lit(SLOTS)).alias("slot")
+    pivots = materialize(known.groupBy("key", slot).agg(F.max(F.struct("degree", "node", "root")).alias("x")).select("key", F.col("x.node").alias("other"), F.col("x.root").alias("other_root")))
+    rest = known.where("root != main").join(pivots, "key").where("root != other_root")
+    return rest.select(*_ordered("node", "other")).distinct()
 
 
 def _estimate(odd_a: Column, odd_b: Column, samples: int) -> Column:
@@ -181,21 +212,38 @@ def near_classes(docs: DataFrame, shingler: Shingler = word_shingles, percent: i
     own = materialize(sketches(docs, shingler, bands, rows))
     full = own.where("node is not null")
     classes = materialize(full.groupBy("node", "check").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("bands").alias("bands"), F.min("odd").alias("odd")))
-    pairs = candidate_pairs(classes.select("node", "bands"))
-    odd_of = lambda side, name: classes.select(F.col("node").alias(side), F.col("odd").alias(name))
-    likely = pairs.join(odd_of("a", "odd_a"), "a").join(odd_of("b", "odd_b"), "b").select("a", "b", _estimate(F.col("odd_a"), F.col("odd_b"), bands * rows).alias("estimate"))
-    likely = materialize(likely.where(F.col("estimate") >= percent / 100 - FAR))
-    ids = materialize(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(classes.select("node", "first_id"), "node"))
-    wanted = join_sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), materialize(ids.select(F.col("first_id").alias("doc_id")).distinct()), ["doc_id"], "left_semi")
-    sets = materialize(full_sets(wanted, shingler).join(ids.select("node", F.col("first_id").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]))
-    best = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
-    links = materialize(confirm(best, sets, percent))
+    pairs, large = candidate_pairs(classes.select("node", "bands"))
+    odd = lambda side: classes.select(F.col("node").alias(side), F.col("odd").alias(f"odd_{side}"))
+
+    def likely_of(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(odd("a"), "a").join(odd("b"), "b").select("a", "b", _estimate(F.col("odd_a"), F.col("odd_b"), bands * rows).alias("estimate"))
+        return materialize(both.where(F.col("estimate") >= percent / 100 - FAR))
+
+    def sets_of(likely: DataFrame) -> DataFrame:
+        ids = materialize(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(classes.select("node", "first_id"), "node"))
+        wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(materialize(ids.select(F.col("first_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        return materialize(full_sets(wanted, shingler).join(ids.select("node", F.col("first_id").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]))
+
+    def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+        """The pairs that join two components."""
+        side = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(root_a, a) != coalesce(root_b, b)").select(*pairs.columns)
+
+    def confirmed(likely: DataFrame, links: DataFrame | None) -> DataFrame:
+        """links and those of the likely pairs, each class's likeliest pair first, then all that still matter."""
+        sets = sets_of(likely)
+        best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b"))
+        first = confirm(best, sets, percent)
+        links = materialize(links.union(first) if links is not None else first)
+        rest = apart(likely.select("a", "b"), components(links)).join(best, ["a", "b"], "left_anti")
+        more = materialize(confirm(rest, sets, percent))
+        return materialize(links.union(more)) if more.limit(1).count() else links
+
+    links = confirmed(likely_of(pairs), None)
     root = components(links)
-    side = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = likely.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(root_a, a) != coalesce(root_b, b)")
-    more = materialize(confirm(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), sets, percent))
-    if more.limit(1).count():
-        root = components(links.union(more))
+    further = likely_of(pairs_across(large, root))
+    if further.limit(1).count():
+        root = components(confirmed(further, links))
     named = classes.join(root, "node", "left").select("node", "check", "first_id", "n", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
     grouped = materialize(named.join(least, "root").select("node", "check", "component_id"))

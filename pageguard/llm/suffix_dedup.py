@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, materialize, mix64, steps, text_buffer
+from .common import SpanHash, materialize, mix64, steps, text_buffer, tidy
 
 LENGTH, CORE = 400, 200
 #: Bytes past the core that the multikey sort looks at before blind tries take over.
@@ -89,7 +89,7 @@ def runs(keyed: DataFrame, length: int, core: int) -> DataFrame:
             ints = [pa.array(c.astype(np.int32)) for c in (first, count, reach)]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(h.astype(np.int64)), pa.array(extent.astype(np.int64)), *ints], names=["k1", "k2", "core", "extent", "first", "windows", "reach"])
 
-    return keyed.select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 long, core long, extent long, first int, windows int, reach int")
+    return keyed.select("text", "k1", "k2").mapInArrow(tidy(run), "k1 long, k2 long, core long, extent long, first int, windows int, reach int")
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -309,11 +309,11 @@ def marks(docs: DataFrame, length: int = LENGTH, core: int = CORE, group: int =
     asked = materialize(asked.join(copies, ["k1", "k2"], "left"))
     # Of a text with copies, the one with the least id is read; should several have that id, equal contexts fall together.
     texts = keyed.join(asked, ["k1", "k2"]).where("only is null or doc_id = only")
-    contexts = materialize(texts.select("text", "asked").mapInArrow(_contexts(length), _CONTEXT).dropDuplicates(["core", "extent"]))
+    contexts = materialize(texts.select("text", "asked").mapInArrow(tidy(_contexts(length)), _CONTEXT).dropDuplicates(["core", "extent"]))
     contexts = contexts.join(sizes, "core")
     columns = ["core", "extent", "reach", "windows", "context"]
-    grouped = contexts.where(F.col("in_core") <= group).select(*columns).repartition("core").sortWithinPartitions("core").mapInArrow(_compare(length, core), _FOUND)
-    windows = contexts.where(F.col("in_core") > group).select(*columns).mapInArrow(_window_hashes(length), "core long, extent long, window int, distance int, hash long")
+    grouped = contexts.where(F.col("in_core") <= group).select(*columns).repartition("core").sortWithinPartitions("core").mapInArrow(tidy(_compare(length, core)), _FOUND)
+    windows = contexts.where(F.col("in_core") > group).select(*columns).mapInArrow(tidy(_window_hashes(length)), "core long, extent long, window int, distance int, hash long")
     again = windows.groupBy("core", "distance", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     counted = windows.join(again, ["core", "distance", "hash"]).groupBy("core", "extent").agg(F.sort_array(F.collect_set("window")).alias("begins"))
     counted = counted.select("core", "extent", "begins", F.transform("begins", lambda w: w + 1).alias("ends"))
@@ -366,7 +366,7 @@ def cleaned(docs: DataFrame, carry: bool = False, length: int = LENGTH, core: in
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     if carry:
         fields += f", carried {joined.schema['carried'].dataType.simpleString()}"
-    return joined.select("doc_id", "text", "whole", "begins", "ends", *kept).mapInArrow(run, fields)
+    return joined.select("doc_id", "text", "whole", "begins", "ends", *kept).mapInArrow(tidy(run), fields)
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:

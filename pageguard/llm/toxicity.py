@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, tidy
 from .crf import Adam
 from .samples import labelled_sample
 
-SAMPLE = 3000
+SAMPLE = 2500
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
 LEAST = 4
@@ -35,7 +35,7 @@ MOST_FEATURES = 20_000
 LAMBDA = 4.0
 ROUNDS = 200
 #: Words whose features a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 #: Terms that name groups of people, by kind and language; each may stand for another of its list.
 IDENTITY_TERMS: list[list[str]] = [
@@ -104,8 +104,11 @@ class Model:
 
 def _features(texts: list[list[str]], y: np.ndarray) -> dict[str, int]:
     seen = [Counter(), Counter()]
-    for words, label in zip(texts, y):
-        seen[label].update({f for w in set(words) for f in word_features(w)})
+    for words in (t for t, label in zip(texts, y) if label):
+        seen[1].update({f for w in set(words) for f in word_features(w)})
+    often = {f for f, c in seen[1].items() if c >= LEAST}
+    for words in (t for t, label in zip(texts, y) if not label):
+        seen[0].update({f for w in set(words) for f in word_features(w) if f in often})
     n = np.bincount(y, minlength=2) + 1
     ratio = {f: (c / n[1]) / ((seen[0][f] + 0.5) / n[0]) for f, c in seen[1].items() if c >= LEAST}
     best = sorted((f for f, r in ratio.items() if r >= RATIO), key=lambda f: (-seen[1][f], f))[:MOST_FEATURES]
@@ -134,7 +137,8 @@ def fit(sample: pa.Table, strength: float = LAMBDA, rounds: int = ROUNDS) -> Mod
     y = np.array(sample.column("y").to_pylist(), int).clip(0, 1)
     if not y.any():
         return None
-    texts = [words_of(t) for t in sample.column("text").to_pylist()]
+    one: dict[str, str] = {}
+    texts = [[one.setdefault(w, w) for w in words_of(t.as_py())] for t in sample.column("text")]
     model = Model(_features(texts, y))
     x = _Rows([model.vector(t) for t in texts], len(model.places))
     pairs = [(t, c) for t in texts if (c := counterfactual(t))]
@@ -161,7 +165,7 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -180,4 +184,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([not toxic(t) for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

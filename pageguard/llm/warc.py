@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MIN_REVISIT = 100
 #: Bytes at which an archive is closed.
 ARCHIVE_BYTES = 4 << 20
@@ -92,7 +94,7 @@ def write_archives(records: DataFrame) -> DataFrame:
             yield closed()
 
     cols = ["page_id", "url", "html", "digest", "record_type", "refers_to"]
-    return records.select(*cols).mapInArrow(run, "archive_id string, content binary")
+    return records.select(*cols).mapInArrow(tidy(run), "archive_id string, content binary")
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -202,7 +204,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return archives.select("archive_id", "content").mapInArrow(run, "kind string, archive_id string, start long, length long, reason string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, block binary")
+    return archives.select("archive_id", "content").mapInArrow(tidy(run), "kind string, archive_id string, start long, length long, reason string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, block binary")
 
 
 ORACLE_SQL = """
