@@ -4,14 +4,15 @@
    BANDS band keys of ROWS MinHash values each, and an odd sketch: every MinHash sample flips one bit of BITS.
 2. Documents with equal sets form one class; only one row of each class goes on.
 3. Classes that share a band key are candidates. Buckets of up to SMALL classes give all their pairs (a few per class);
-   in larger ones each class meets three pivots: two drawn anew in every band, and the one of highest degree, to which
-   changed copies of one text are nearest. After a first round of links, classes in a large bucket that are not in its
-   main component meet SLOTS more of it. So a class in a large group meets hundreds of its members in all, and the
-   number of pairs grows with the rows, not with their square.
+   in larger ones each class first meets the one of highest degree, to which changed copies of one text are nearest.
 4. The XOR of two odd sketches has about n/2 * (1 - exp(-2m/n)) bits when m samples differ; pairs whose estimate is far
    under the threshold (FAR below) are dropped, all others are confirmed on the full sets before they count as links.
    First each class's likeliest pair is confirmed, then every other pair that would join two components.
 5. Components follow from minimum labels with pointer jumping; each round is a table in the shared folder.
+6. A large bucket whose members are then in several components is gone through in full: each member outside the main
+   component is held against all members of other components, by odd sketch and then by full set. Blocks of at most
+   about BLOCK members and ITEMS shingles meet in pairs, one task each; of what is found there, only links that join two
+   components leave the task. So no candidate is left out, and no list of a group's pairs is made.
 
 At Jaccard 0.85 a pair misses all bands with probability (1 - 0.85**7)**28, about 2e-5.
 
@@ -36,8 +37,8 @@ SHINGLE = 3
 BANDS, ROWS = 28, 7
 BITS = 512
 SMALL = 8
-#: Members of a large bucket that the ones left out of its main component meet, in each band.
-SLOTS = 16
+#: Members and shingles of a large bucket that one task holds of each of two blocks.
+BLOCK, ITEMS = 4096, 2_000_000
 #: How far below the threshold an odd sketch's estimate may lie: five standard errors of the MinHash samples.
 FAR = 0.13
 PERCENT = 85
@@ -141,39 +142,92 @@ def _ordered(one: str, other: str) -> list[Column]:
 
 
 def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs a < b of nodes that share a band key, and the members of large buckets (key, node, degree).
+    """First pairs a < b of nodes that share a band key, distinct, and the members of large buckets (key, node, n_shingles).
 
-    nodes: node and bands, one row each. A node's degree is the size of all its large buckets together: in a group of
-    copies that were each changed a little, the least changed one has the largest.
+    nodes: node, n_shingles and bands, one row each. A node's degree is the size of all its large buckets together: in a
+    group of copies that were each changed a little, the least changed one has the largest.
     """
-    member = nodes.select("node", F.explode("bands").alias("key"))
-    draw = F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("node"))
-    buckets = materialize(member.groupBy("key").agg(F.count("*").alias("n"), F.min(draw)["node"].alias("p"), F.max(draw)["node"].alias("q")).where("n > 1"))
+    member = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
+    buckets = materialize(member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = materialize(member.join(buckets, "key"))
     small = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("all"))
     paired = small.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
     large = shared.where(F.col("n") > SMALL)
     degree = materialize(large.groupBy("node").agg(F.sum("n").alias("degree")))
     large = materialize(large.join(degree, "node"))
-    centre = materialize(large.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("c")))
-    pivots = large.join(centre, "key").select("node", F.explode(F.array("p", "q", "c")).alias("other")).where("node != other")
-    return paired.unionByName(pivots.select(*_ordered("node", "other"))).distinct(), large.select("key", "node", "degree")
-
-
-def pairs_across(large: DataFrame, root: DataFrame) -> DataFrame:
-    """Further pairs in large buckets whose members are still in several components.
-
-    Every member outside its bucket's largest component meets SLOTS members of the bucket, the one of highest degree in
-    each hash slot, so far as they are in other components; slots differ from band to band.
-    """
-    known = large.join(root, "node", "left").select("key", "node", "degree", F.coalesce("root", "node").alias("root"))
-    main = known.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count("*").alias("parts"))
-    main = materialize(main.where("parts > 1").drop("parts"))
-    known = materialize(known.join(main, "key"))
-    slot = F.pmod(F.xxhash64("key", "node"), F.lit(SLOTS)).alias("slot")
-    pivots = materialize(known.groupBy("key", slot).agg(F.max(F.struct("degree", "node", "root")).alias("x")).select("key", F.col("x.node").alias("other"), F.col("x.root").alias("other_root")))
-    rest = known.where("root != main").join(pivots, "key").where("root != other_root")
-    return rest.select(*_ordered("node", "other")).distinct()
+    centre = materialize(large.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("other")))
+    first = large.join(centre, "key").where("node != other").select(*_ordered("node", "other"))
+    return paired.unionByName(first).distinct(), large.select("key", "node", "n_shingles")
+
+
+def divided_buckets(large: DataFrame, root: DataFrame) -> DataFrame:
+    """Members of the large buckets that are in several components: key, node, root, rest (not in the main one), blocks."""
+    known = large.join(root, "node", "left").select("key", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
+    parts = known.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("items"))
+    main = parts.groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count("*").alias("parts"), F.sum("m").alias("n"), F.sum("items").alias("items"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("items") / ITEMS)).cast("int").alias("blocks")
+    main = materialize(main.where("parts > 1").select("key", "main", blocks))
+    return materialize(known.join(main, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("rest"), "blocks"))
+
+
+def _cells() -> Column:
+    """Pairs of blocks (i, j) that a member goes to: in the row of its block for comparing, if it is one of the rest, in the column to be compared with."""
+    b = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != b)
+    cell = lambda i, j, asks, answers: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), answers.alias("answers"))
+    yes, no = F.lit(True), F.lit(False)
+    asking = F.when(F.col("rest"), F.transform(others, lambda j: cell(b, j, yes, no))).otherwise(F.array().cast("array<struct<i:int,j:int,asks:boolean,answers:boolean>>"))
+    return F.concat(F.array(cell(b, b, F.col("rest"), yes)), asking, F.transform(others, lambda i: cell(i, b, no, yes)))
+
+
+def _matrix(col: pa.ChunkedArray, n: int) -> np.ndarray:
+    return col.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
+
+
+def _links_of_cell(percent: int, samples: int):
+    """Links a, b that join two components, between the asking and the answering members of one cell."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        key, node, root = (table.column(c).to_numpy() for c in ("key", "node", "root"))
+        asks, answers = (table.column(c).to_numpy() for c in ("asks", "answers"))
+        odd, bands = _matrix(table.column("odd"), n), _matrix(table.column("bands"), n)
+        sets = table.column("shingles").combine_chunks()
+        size = pa.compute.list_value_length(sets).to_numpy().astype(np.int64)
+        at = np.cumsum(size) - size
+        values, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        band = int(np.flatnonzero(bands[0].view(np.int64) == key[0])[0])
+        over = {int(r): int(r) for r in np.unique(root)}
+        a, b = [], []
+
+        def top(r: int) -> int:
+            while over[r] != r:
+                over[r] = r = over[over[r]]
+            return r
+
+        for i in np.flatnonzero(asks).tolist():
+            # A pair that shares an earlier band has been compared there; of two that ask, the greater one compares.
+            fit = answers & (root != root[i]) & ~(asks & (node > node[i])) if answers[i] else answers & (root != root[i])
+            fit &= (size * 100 >= size[i] * percent) & (size[i] * 100 >= size * percent)
+            fit &= ~(bands[:, :band] == bands[i, :band]).any(axis=1)
+            c = np.flatnonzero(fit)
+            share = np.minimum(np.bitwise_count(odd[c] ^ odd[i]).sum(axis=1) * (2.0 / BITS), 0.999)
+            c = c[1.0 + np.log(1.0 - share) * (BITS / 2.0) / (2.0 * samples) >= percent / 100 - FAR]
+            mine = top(int(root[i]))
+            c = c[[top(r) != mine for r in root[c].tolist()]] if len(c) else c
+            if len(c):
+                mark = np.zeros(len(values), bool)
+                mark[code[at[i] : at[i] + size[i]]] = True
+                both = np.add.reduceat(mark[code], at, dtype=np.int64)[c]
+                for j in c[both * 100 >= (size[i] + size[c] - both) * percent].tolist():
+                    x, y = top(int(root[i])), top(int(root[j]))
+                    if x != y:
+                        over[max(x, y)] = min(x, y)
+                        a.append(min(node[i], node[j]))
+                        b.append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _estimate(odd_a: Column, odd_b: Column, samples: int) -> Column:
@@ -211,16 +265,16 @@ def near_classes(docs: DataFrame, shingler: Shingler = word_shingles, percent: i
     """doc_id, n_shingles, component_id and kept of every document."""
     own = materialize(sketches(docs, shingler, bands, rows))
     full = own.where("node is not null")
-    classes = materialize(full.groupBy("node", "check").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("bands").alias("bands"), F.min("odd").alias("odd")))
-    pairs, large = candidate_pairs(classes.select("node", "bands"))
+    classes = materialize(full.groupBy("node", "check").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands"), F.min("odd").alias("odd")))
+    pairs, large = candidate_pairs(classes.select("node", "n_shingles", "bands"))
     odd = lambda side: classes.select(F.col("node").alias(side), F.col("odd").alias(f"odd_{side}"))
 
     def likely_of(pairs: DataFrame) -> DataFrame:
         both = pairs.join(odd("a"), "a").join(odd("b"), "b").select("a", "b", _estimate(F.col("odd_a"), F.col("odd_b"), bands * rows).alias("estimate"))
         return materialize(both.where(F.col("estimate") >= percent / 100 - FAR))
 
-    def sets_of(likely: DataFrame) -> DataFrame:
-        ids = materialize(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(classes.select("node", "first_id"), "node"))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        ids = materialize(nodes.distinct().join(classes.select("node", "first_id"), "node"))
         wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(materialize(ids.select(F.col("first_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
         return materialize(full_sets(wanted, shingler).join(ids.select("node", F.col("first_id").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]))
 
@@ -229,21 +283,21 @@ def near_classes(docs: DataFrame, shingler: Shingler = word_shingles, percent: i
         side = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
         return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(root_a, a) != coalesce(root_b, b)").select(*pairs.columns)
 
-    def confirmed(likely: DataFrame, links: DataFrame | None) -> DataFrame:
-        """links and those of the likely pairs, each class's likeliest pair first, then all that still matter."""
-        sets = sets_of(likely)
-        best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b"))
-        first = confirm(best, sets, percent)
-        links = materialize(links.union(first) if links is not None else first)
-        rest = apart(likely.select("a", "b"), components(links)).join(best, ["a", "b"], "left_anti")
-        more = materialize(confirm(rest, sets, percent))
-        return materialize(links.union(more)) if more.limit(1).count() else links
-
-    links = confirmed(likely_of(pairs), None)
+    # Each class's likeliest pair first, then all that still matter.
+    likely = likely_of(pairs)
+    sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")))
+    best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b"))
+    links = materialize(confirm(best, sets, percent))
+    rest = apart(likely.select("a", "b"), components(links)).join(best, ["a", "b"], "left_anti")
+    links = materialize(links.union(confirm(rest, sets, percent)))
     root = components(links)
-    further = likely_of(pairs_across(large, root))
-    if further.limit(1).count():
-        root = components(confirmed(further, links))
+    divided = divided_buckets(large, root)
+    if divided.limit(1).count():
+        info = classes.select("node", "odd", "bands").join(sets_of(divided.select("node")).select("node", "shingles"), "node")
+        cells = divided.select("key", "node", "root", F.explode(_cells()).alias("cell")).select("key", "node", "root", "cell.*").join(info, "node")
+        across = materialize(cells.groupBy("key", "i", "j").applyInArrow(_links_of_cell(percent, bands * rows), "a long, b long"))
+        if across.limit(1).count():
+            root = components(links.union(across))
     named = classes.join(root, "node", "left").select("node", "check", "first_id", "n", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
     grouped = materialize(named.join(least, "root").select("node", "check", "component_id"))

@@ -261,7 +261,9 @@ def test_odd_sketch_estimates():
         assert abs(estimate - true) < near_dedup.FAR / 2
 
 
-def test_near_groups_of_many_sizes(spark):
+@pytest.mark.parametrize("block", [4096, 9])
+def test_near_groups_of_many_sizes(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(11)
     vocab = ["w%03d" % i for i in range(400)]
     texts = []
@@ -272,6 +274,16 @@ def test_near_groups_of_many_sizes(spark):
             for _ in range(rng.randint(0, 4)):
                 words[rng.randrange(len(words))] = rng.choice(vocab)
             texts.append("  ".join(words).upper() if rng.random() < 0.3 else " ".join(words))
+    words = [rng.choice(vocab) for _ in range(120)]
+    for i in range(90):  # a chain: neighbours are linked, all others only through them
+        words[rng.randrange(len(words))] = rng.choice(vocab)
+        texts.append(" ".join(words))
+    base = [rng.choice(vocab) for _ in range(150)]
+    for i in range(60):  # alike, but mostly not linked
+        words = list(base)
+        for _ in range(rng.randint(2, 5)):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        texts.append(" ".join(words))
     sets = []
     for t in texts:
         w = t.lower().split()
