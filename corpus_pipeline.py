@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eve
 reads it back as the next one's docs. All stages but the last return the columns of documents.
 
 Near duplicates: sets of five-word shingles with a similarity of 0.8 or more; the document with the smallest id stays.
-Repeated passages: strings of PASSAGE bytes (about 50 words) that start at two places in what is left. Their bytes are
-cut from the texts, n_chars follows; a text that was nothing else stays as an empty one.
+Repeated passages: strings of WORDS whole words, however short, or of PASSAGE bytes that start at two places in what is
+left. Their bytes are cut from the texts, n_chars follows; a text that was nothing else stays as an empty one.
 Mixing repeats or drops whole documents.
 """
 
@@ -21,7 +21,9 @@ from pageguard.llm import bpe, mixing, near_dedup, suffix_dedup, toxicity
 from pageguard.llm.common import arrow_limits, materialize, table
 from pageguard.llm.queries import RANKS
 
+#: Bytes that make a passage where there are few words, and words that make one of any bytes.
 PASSAGE = 256
+WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     arrow_limits(spark)
-    return suffix_dedup.kept_documents(docs, length=PASSAGE, core=PASSAGE // 2)
+    return suffix_dedup.kept_documents(docs, length=PASSAGE, core=PASSAGE // 2, words=WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

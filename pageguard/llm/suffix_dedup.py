@@ -11,7 +11,9 @@ each (length - core) / 2 bytes), never all suffixes.
    sort by 8-byte words to SHALLOW bytes past the core, then a blind trie for each group that is still equal). Two windows
    at one distance from their anchors are equal iff they lie in one class of each order, cut at their two lengths.
 4. A core with more than GROUP extents does not go to one task: its windows are hashed and counted by Spark instead.
-5. Texts that occur more than once are repeated as a whole; the other documents' repeated windows are joined with their
+5. Windows of whole words (WordWindows) go the same way, with words for bytes: a core is so many words, and a class of the
+   sorted contexts is cut at each window's own length in bytes.
+6. Texts that occur more than once are repeated as a whole; the other documents' repeated windows are joined with their
    text by its hash (128 bits), and the union of the windows' bytes is removed.
 
 Defined results: null is the empty text; texts shorter than a window keep all bytes; repeated rows are copies of each
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHash, materialize, mix64, steps, text_buffer, tidy
+from .common import WORD_PATTERN, SpanHash, materialize, mix64, steps, text_buffer, tidy, word_spans
 
 LENGTH, CORE = 400, 200
 #: Bytes past the core that the multikey sort looks at before blind tries take over.
@@ -52,6 +55,16 @@ def anchored_runs(data: np.ndarray, off: np.ndarray, length: int, core: int) ->
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     spans = SpanHash(data)
     h = spans.rolling(core)
+    first, count, x = _by_anchor(h, off, length, width)
+    reach = x - first
+    row = np.searchsorted(off, first, "right") - 1
+    extent = mix64(spans(first, first + count - 1 + length) + (reach * length + count).astype(np.uint64))
+    return row, first - off[row], count, reach, h[x], extent
+
+
+def _by_anchor(h: np.ndarray, off: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, windows and anchor of each run of windows of `length` units with one anchor; h: hashes of cores, off: rows' first units."""
+    size = np.diff(off)
     n = len(h)
     v = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
     v[:n] = (h & ~_PLACE) | np.arange(n, dtype=np.uint64)
@@ -66,12 +79,23 @@ def anchored_runs(data: np.ndarray, off: np.ndarray, length: int, core: int) ->
     p = np.flatnonzero(np.cumsum(fits[:-1]) > 0)
     x = anchor[p]
     new = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    first = p[new]
-    count = np.diff(np.concatenate((new, [len(p)])))
-    reach = x[new] - first
-    row = np.searchsorted(off, first, "right") - 1
-    extent = mix64(spans(first, first + count - 1 + length) + (reach * length + count).astype(np.uint64))
-    return row, first - off[row], count, reach, h[x[new]], extent
+    return p[new], np.diff(np.concatenate((new, [len(p)]))), x[new]
+
+
+def anchored_word_runs(data: np.ndarray, off: np.ndarray, length: int, core: int) -> tuple[np.ndarray, ...]:
+    """anchored_runs for windows of `length` words and cores of `core` words; windows and distances in words, places in bytes, and each extent's bytes."""
+    starts, ends, first_word = word_spans(data, off)
+    none = np.zeros(0, np.int64)
+    if not (np.diff(first_word) >= length).any():
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
+    spans = SpanHash(data)
+    h = spans(starts[: len(starts) - core + 1], ends[core - 1 :])
+    first, count, x = _by_anchor(h, first_word, length, length - core + 1)
+    reach = x - first
+    row = np.searchsorted(first_word, first, "right") - 1
+    begin, end = starts[first], ends[first + count - 1 + length - 1]
+    extent = mix64(spans(begin, end) + (reach * length + count).astype(np.uint64))
+    return row, begin - off[row], count, reach, h[x], extent, end - begin
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
@@ -81,15 +105,15 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return own.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), "text")})
 
 
-def runs(keyed: DataFrame, length: int, core: int) -> DataFrame:
+def runs(keyed: DataFrame, windows: ByteWindows | WordWindows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            row, first, count, reach, h, extent = anchored_runs(*text_buffer(batch.column(0)), length, core)
+            row, first, count, reach, h, extent, size = windows.runs(*text_buffer(batch.column(0)))
             keys = [batch.column(i).take(pa.array(row)) for i in (1, 2)]
-            ints = [pa.array(c.astype(np.int32)) for c in (first, count, reach)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(h.astype(np.int64)), pa.array(extent.astype(np.int64)), *ints], names=["k1", "k2", "core", "extent", "first", "windows", "reach"])
+            ints = [pa.array(c.astype(np.int32)) for c in (first, count, reach, size)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(h.astype(np.int64)), pa.array(extent.astype(np.int64)), *ints], names=["k1", "k2", "core", "extent", "first", "windows", "reach", "bytes"])
 
-    return keyed.select("text", "k1", "k2").mapInArrow(tidy(run), "k1 long, k2 long, core long, extent long, first int, windows int, reach int")
+    return keyed.select("text", "k1", "k2").mapInArrow(tidy(run), "k1 long, k2 long, core long, extent long, first int, windows int, reach int, bytes int")
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -212,6 +236,90 @@ def repeated_windows(group: np.ndarray, contexts: list[bytes], reach: np.ndarray
     return out
 
 
+def repeated_word_windows(group: np.ndarray, contexts: list[bytes], reach: np.ndarray, count: np.ndarray, length: int, core: int) -> np.ndarray:
+    """repeated_windows for windows of words; contexts begin and end with a word.
+
+    Windows at one distance differ in bytes: two are equal iff both sides need the same bytes and lie in one class, cut there.
+    """
+    n = len(contexts)
+    at = np.concatenate(([0], np.cumsum([len(c) for c in contexts])))
+    starts, ends, first = word_spans(np.frombuffer(b"".join(contexts), np.uint8), at)
+    anchor = first[:-1] + reach
+    begin, end = starts[anchor] - at[:-1], ends[anchor + core - 1] - at[:-1]  # the core's, in its context
+    right = deep_shallow(group, [c[e:] for c, e in zip(contexts, end.tolist())], 0)
+    left = deep_shallow(group, [c[:b][::-1] for c, b in zip(contexts, begin.tolist())], 0)
+    rank = []
+    for order, _ in (right, left):
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        rank.append(place)
+
+    def classes(shared: np.ndarray, place: np.ndarray, need: np.ndarray) -> np.ndarray:
+        out = np.empty(len(need), np.int64)
+        for size in np.unique(need):
+            own = need == size
+            out[own] = np.cumsum(shared < size)[place[own]]
+        return out
+
+    out = np.zeros((n, length - core + 1), bool)
+    least = reach - count + 1
+    for a in range(int(least.min()), int(reach.max()) + 1):
+        live = np.flatnonzero((least <= a) & (a <= reach))
+        if len(live) < 2:
+            continue
+        window = anchor[live] - a
+        after = ends[window + length - 1] - at[live] - end[live]
+        before = begin[live] + at[live] - starts[window]
+        keys = np.stack([classes(right[1], rank[0][live], after), after, classes(left[1], rank[1][live], before), before], axis=1)
+        _, back, times = np.unique(keys, axis=0, return_inverse=True, return_counts=True)
+        out[live, a] = times[back.ravel()] > 1
+    return out
+
+
+@dataclass(frozen=True)
+class ByteWindows:
+    """Windows of `length` bytes with cores of `core` bytes."""
+
+    length: int
+    core: int
+
+    def long_enough(self, text: str) -> Column:
+        return F.octet_length(text) >= self.length
+
+    def runs(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        out = anchored_runs(data, off, self.length, self.core)
+        return *out, out[2] - 1 + self.length
+
+    def repeated(self, *of) -> np.ndarray:
+        return repeated_windows(*of, self.length, self.core)
+
+    def places(self, context: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes and ends of a context's windows."""
+        first = np.arange(count)
+        return first, first + self.length
+
+
+@dataclass(frozen=True)
+class WordWindows:
+    """Windows of `length` whole words, and what stands between them, with cores of `core` words."""
+
+    length: int
+    core: int
+
+    def long_enough(self, text: str) -> Column:
+        return (F.octet_length(text) >= 2 * self.length - 1) & (F.regexp_count(text, F.lit(WORD_PATTERN)) >= self.length)
+
+    def runs(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        return anchored_word_runs(data, off, self.length, self.core)
+
+    def repeated(self, *of) -> np.ndarray:
+        return repeated_word_windows(*of, self.length, self.core)
+
+    def places(self, context: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, _ = word_spans(np.frombuffer(context, np.uint8), np.array([0, len(context)]))
+        return starts[:count], ends[self.length - 1 :][:count]
+
+
 def _intervals(flags: np.ndarray) -> tuple[list[int], list[int]]:
     edge = np.diff(np.concatenate(([0], flags.view(np.int8), [0])))
     return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
@@ -221,7 +329,7 @@ _CONTEXT = "core long, extent long, reach int, windows int, context binary"
 _FOUND = "core long, extent long, begins array<int>, ends array<int>"
 
 
-def _contexts(length: int):
+def _contexts():
     """Cut the extents asked for (struct list `asked`) out of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +337,7 @@ def _contexts(length: int):
             rows: list[tuple] = []
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = text.encode()
-                rows += [(q["core"], q["extent"], q["reach"], q["windows"], data[q["first"] : q["first"] + q["windows"] - 1 + length]) for q in asked]
+                rows += [(q["core"], q["extent"], q["reach"], q["windows"], data[q["first"] : q["first"] + q["bytes"]]) for q in asked]
             cols = list(zip(*rows)) if rows else [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["core", "extent", "reach", "windows", "context"])
@@ -237,18 +345,20 @@ def _contexts(length: int):
     return run
 
 
-def _compare(length: int, core: int):
+def _compare(windows: ByteWindows | WordWindows):
     """Over rows sorted by core: repeated windows of each extent, whole groups at a time."""
 
     def done(table: pa.Table) -> pa.RecordBatch:
         cores = table.column("core").to_numpy()
         reach, count = (table.column(c).to_numpy().astype(np.int64) for c in ("reach", "windows"))
-        flags = repeated_windows(cores, table.column("context").to_pylist(), reach, count, length, core)
+        contexts = table.column("context").to_pylist()
+        flags = windows.repeated(cores, contexts, reach, count)
         begins, ends = [], []
-        for f, r, c in zip(flags, reach.tolist(), count.tolist()):
+        for context, f, r, c in zip(contexts, flags, reach.tolist(), count.tolist()):
             b, e = _intervals(f[r - c + 1 : r + 1][::-1])  # by place in the text, the farthest from the anchor first
-            begins.append(b)
-            ends.append(e)
+            first, after = windows.places(context, c) if b else ([], [])
+            begins.append([int(first[i]) for i in b])
+            ends.append([int(after[i - 1]) for i in e])
         ints = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays([table.column("core").combine_chunks(), table.column("extent").combine_chunks(), pa.array(begins, ints), pa.array(ends, ints)], names=["core", "extent", "begins", "ends"])
 
@@ -274,49 +384,50 @@ def _compare(length: int, core: int):
     return run
 
 
-def _window_hashes(length: int):
-    """core, extent, window (place in the run), distance and hash of every window of the given contexts."""
+def _window_hashes(windows: ByteWindows | WordWindows):
+    """core, extent, begin and end (in the context), distance and hash of every window of the given contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            core, extent, reach, windows = (batch.column(i).to_numpy() for i in range(4))
+            core, extent, reach, count = (batch.column(i).to_numpy() for i in range(4))
             for i, context in enumerate(batch.column(4).to_pylist()):
-                n = int(windows[i])
-                h = SpanHash(np.frombuffer(context, np.uint8)).rolling(length)[:n]
-                place = np.arange(n, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, core[i])), pa.array(np.full(n, extent[i])), pa.array(place), pa.array((reach[i] - place).astype(np.int32)), pa.array(h.astype(np.int64))], names=["core", "extent", "window", "distance", "hash"])
+                n = int(count[i])
+                first, after = windows.places(context, n)
+                h = SpanHash(np.frombuffer(context, np.uint8))(first, after)
+                ints = [pa.array(c.astype(np.int32)) for c in (first, after, reach[i] - np.arange(n))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, core[i])), pa.array(np.full(n, extent[i])), *ints, pa.array(h.astype(np.int64))], names=["core", "extent", "begin", "end", "distance", "hash"])
 
     return run
 
 
-def marks(docs: DataFrame, length: int = LENGTH, core: int = CORE, group: int = GROUP) -> DataFrame:
+def marks(docs: DataFrame, windows: ByteWindows | WordWindows, group: int = GROUP) -> DataFrame:
     """k1, k2, whole, begins, ends: what is removed of each text; whole is set for texts that occur more than once.
 
-    begins and ends are first windows and the places after last windows of repeated runs (unmerged, of one document).
+    begins and ends are first bytes and the places after last bytes of repeated runs (unmerged, of one document).
     Tables are written where a join follows an aggregation, so that both sides of the join are plain shuffles and a hot
     key can be split.
     """
     keyed = _keyed(docs)
-    copies = materialize(keyed.where(F.octet_length("text") >= length).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("only")).where("n > 1").drop("n"))
-    every = materialize(runs(keyed, length, core))
+    copies = materialize(keyed.where(windows.long_enough("text")).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("only")).where("n > 1").drop("n"))
+    every = materialize(runs(keyed, windows))
     cores = materialize(every.groupBy("core").agg(F.count("*").alias("n"), (F.min("extent") != F.max("extent")).alias("mixed")).where("n > 1").select("core", "mixed"))
     shared = materialize(every.join(cores, "core"))
-    place = F.struct("k1", "k2", "first", "windows", "reach")
+    place = F.struct("k1", "k2", "first", "windows", "reach", "bytes")
     extents = materialize(shared.groupBy("core", "extent", "mixed").agg(F.count("*").alias("n"), F.min(place).alias("at")))
     mixed = extents.where("mixed")
     sizes = materialize(mixed.groupBy("core").agg(F.count("*").alias("in_core")))
-    asked = mixed.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("core", "extent", "at.first", "at.windows", "at.reach")).alias("asked"))
+    asked = mixed.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("core", "extent", "at.first", "at.windows", "at.reach", "at.bytes")).alias("asked"))
     asked = materialize(asked.join(copies, ["k1", "k2"], "left"))
     # Of a text with copies, the one with the least id is read; should several have that id, equal contexts fall together.
     texts = keyed.join(asked, ["k1", "k2"]).where("only is null or doc_id = only")
-    contexts = materialize(texts.select("text", "asked").mapInArrow(tidy(_contexts(length)), _CONTEXT).dropDuplicates(["core", "extent"]))
+    contexts = materialize(texts.select("text", "asked").mapInArrow(tidy(_contexts()), _CONTEXT).dropDuplicates(["core", "extent"]))
     contexts = contexts.join(sizes, "core")
     columns = ["core", "extent", "reach", "windows", "context"]
-    grouped = contexts.where(F.col("in_core") <= group).select(*columns).repartition("core").sortWithinPartitions("core").mapInArrow(tidy(_compare(length, core)), _FOUND)
-    windows = contexts.where(F.col("in_core") > group).select(*columns).mapInArrow(tidy(_window_hashes(length)), "core long, extent long, window int, distance int, hash long")
-    again = windows.groupBy("core", "distance", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = windows.join(again, ["core", "distance", "hash"]).groupBy("core", "extent").agg(F.sort_array(F.collect_set("window")).alias("begins"))
-    counted = counted.select("core", "extent", "begins", F.transform("begins", lambda w: w + 1).alias("ends"))
+    grouped = contexts.where(F.col("in_core") <= group).select(*columns).repartition("core").sortWithinPartitions("core").mapInArrow(tidy(_compare(windows)), _FOUND)
+    hashed = contexts.where(F.col("in_core") > group).select(*columns).mapInArrow(tidy(_window_hashes(windows)), "core long, extent long, begin int, end int, distance int, hash long")
+    again = hashed.groupBy("core", "distance", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    counted = hashed.join(again, ["core", "distance", "hash"]).groupBy("core", "extent").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("w"))
+    counted = counted.select("core", "extent", F.col("w.begin").alias("begins"), F.col("w.end").alias("ends"))
     found = materialize(grouped.unionByName(counted).where(F.size("begins") > 0))
     whole = extents.where("n > 1").select("core", "extent", F.lit(True).alias("all"))
     part = found.join(whole, ["core", "extent"], "left_anti").select("core", "extent", F.lit(False).alias("all"), "begins", "ends")
@@ -325,14 +436,14 @@ def marks(docs: DataFrame, length: int = LENGTH, core: int = CORE, group: int =
     # Copies are removed as a whole; their places would only swell what is gathered for each text.
     hits = shared.join(copies, ["k1", "k2"], "left_anti").join(known, ["core", "extent"])
     begin = F.when(F.col("all"), F.array(F.lit(0))).otherwise(F.col("begins"))
-    end = F.when(F.col("all"), F.array("windows")).otherwise(F.col("ends"))
+    end = F.when(F.col("all"), F.array("bytes")).otherwise(F.col("ends"))
     moved = hits.select("k1", "k2", F.explode(F.arrays_zip(F.transform(begin, lambda x: x + F.col("first")).alias("b"), F.transform(end, lambda x: x + F.col("first")).alias("e"))).alias("w"))
     gathered = moved.groupBy("k1", "k2").agg(F.collect_list("w.b").alias("begins"), F.collect_list("w.e").alias("ends"))
     once = gathered.select("k1", "k2", F.lit(False).alias("whole"), "begins", "ends")
     return once.unionByName(copies.select("k1", "k2", F.lit(True).alias("whole"), none.alias("begins"), none.alias("ends")))
 
 
-def _cut(data: bytes, whole: bool, begins: list[int] | None, ends: list[int] | None, length: int) -> tuple[bytes, int]:
+def _cut(data: bytes, whole: bool, begins: list[int] | None, ends: list[int] | None) -> tuple[bytes, int]:
     """The bytes that stay and the number of maximal runs that go."""
     if whole:
         return b"", 1
@@ -340,15 +451,22 @@ def _cut(data: bytes, whole: bool, begins: list[int] | None, ends: list[int] | N
         return data, 0
     edge = np.zeros(len(data) + 1, np.int32)
     np.add.at(edge, np.array(begins), 1)
-    np.add.at(edge, np.array(ends) - 1 + length, -1)
+    np.add.at(edge, np.array(ends), -1)
     gone = np.cumsum(edge[:-1]) > 0
     runs_ = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), runs_
 
 
-def cleaned(docs: DataFrame, carry: bool = False, length: int = LENGTH, core: int = CORE, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (bytes) of every document; with carry, its row as struct `carried`."""
-    known = materialize(marks(docs, length, core, group))
+def cleaned(docs: DataFrame, carry: bool = False, length: int = LENGTH, core: int = CORE, group: int = GROUP, words: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (bytes) of every document; with carry, its row as struct `carried`.
+
+    With words, repeated strings of so many whole words are removed too, however few bytes they have.
+    """
+    known = materialize(marks(docs, ByteWindows(length, core), group))
+    if words:
+        both = known.unionByName(materialize(marks(docs, WordWindows(words, words // 2), group)))
+        all_of = lambda c: F.flatten(F.collect_list(c)).alias(c)
+        known = materialize(both.groupBy("k1", "k2").agg(F.max("whole").alias("whole"), all_of("begins"), all_of("ends")))
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("carried")] if carry else []
     joined = _keyed(docs, *row).join(known, ["k1", "k2"], "left").drop("k1", "k2")
     kept = ["carried"] if carry else []
@@ -357,7 +475,7 @@ def cleaned(docs: DataFrame, carry: bool = False, length: int = LENGTH, core: in
         for batch in steps(batches):
             col = lambda c: batch.column(batch.schema.get_field_index(c))
             raw = [t.encode() for t in col("text").to_pylist()]
-            out = [_cut(t, bool(w), b, e, length) for t, w, b, e in zip(raw, col("whole").to_pylist(), col("begins").to_pylist(), col("ends").to_pylist())]
+            out = [_cut(t, bool(w), b, e) for t, w, b, e in zip(raw, col("whole").to_pylist(), col("begins").to_pylist(), col("ends").to_pylist())]
             n = np.array([len(t) for t in raw], np.int64)
             stay = np.array([len(k) for k, _ in out], np.int64)
             arrays = [col("doc_id"), pa.array(n), pa.array(n - stay), pa.array([s for _, s in out], pa.int64()), pa.array([k for k, _ in out], pa.binary()), *[col(c) for c in kept]]
@@ -378,9 +496,9 @@ def whole_characters(data: bytes) -> str:
     return data.decode(errors="ignore")
 
 
-def kept_documents(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
+def kept_documents(docs: DataFrame, length: int = LENGTH, core: int = CORE, words: int = 0) -> DataFrame:
     """docs with repeated strings cut from their texts and n_chars (if there) set anew; columns as given."""
-    out = cleaned(docs, carry=True, length=length, core=core)
+    out = cleaned(docs, carry=True, length=length, core=core, words=words)
     text = F.when(F.col("n_removed") > 0, _text_of(F.col("kept"))).otherwise(F.decode("kept", "UTF-8"))
     out = out.select("carried", text.alias("text"))
     cols = []

@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import public_tokenizers
+import pytest
 
 import corpus_pipeline
-from pageguard.llm import bpe, mixing
+from pageguard.llm import bpe, mixing, suffix_dedup
 from pageguard.llm.queries import RANKS
 
 
@@ -70,3 +72,44 @@ def test_run_encodes_the_mix(spark, tmp_path):
     whole = [r for r in rows if hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest() == r["decoded_sha256"]]
     assert len(whole) > 30 and all(r["n_tokens"] == len(r["ids"]) for r in rows)
     assert all(r["ids"] == encoding.encode_ordinary(texts[r["doc_id"]] or "") for r in whole)
+
+
+def test_short_words_make_a_passage(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda least, most: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(least, most)))
+    prose = lambda n: " ".join(word(5, 8) for _ in range(n))
+    enough, few = ([word(1, 2) for _ in range(n)] for n in (51, 50))
+    enough[40:42] = ["é", "∞"]
+    texts = [f"{prose(20)} {' '.join(passage)}{end} {prose(20)}" for passage in (enough, few) for end in ("", " ", "\n")]
+    texts += [" ".join(enough), f"{' '.join(enough)}x {prose(5)}", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = sorted(corpus_pipeline.cut_repeated_passages(spark, docs, str(tmp_path)).collect())
+    assert len(" ".join(enough).encode()) < corpus_pipeline.PASSAGE // 2 + 40
+    for i, r in enumerate(rows):
+        # The text with one more letter at the last word holds no whole repeated window of 51 words.
+        want = texts[i].replace(" ".join(enough), "") if i < 3 or i == 6 else texts[i] or ""
+        assert r["text"] == want and r["n_chars"] == len(want), i
+
+
+def brute_words(texts, words):
+    """Texts without the strings of so many words that occur again."""
+    spans = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for t in texts]
+    windows = [[(s[i][0], s[i + words - 1][1]) for i in range(len(s) - words + 1)] for s in spans]
+    seen = Counter(t[a:b] for t, w in zip(texts, windows) for a, b in w)
+    out = []
+    for t, w in zip(texts, windows):
+        gone = {i for a, b in w if seen[t[a:b]] > 1 for i in range(a, b)}
+        out.append("".join(c for i, c in enumerate(t) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("group", [20_000, 2])
+def test_repeated_words_against_brute_force(spark, group):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abé\x1f") for _ in range(rng.randint(1, 3)))
+    base = ["".join(word() + rng.choice([" ", " ", "\t", "  ", "\n"]) for _ in range(50)) for _ in range(5)]
+    texts = ["".join(rng.choice(base)[rng.randint(0, 60) :][: rng.randint(10, 120)] for _ in range(rng.randint(1, 5))).strip() for _ in range(60)]
+    texts = [*dict.fromkeys(texts), "a " * 40 + "b", "a " * 25 + "c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = suffix_dedup.cleaned(docs, length=100_000, core=50_000, group=group, words=9).collect()
+    assert [bytes(r["kept"]).decode() for r in sorted(rows, key=lambda r: r["doc_id"])] == brute_words(texts, 9)
