@@ -18,7 +18,8 @@ At Jaccard 0.85 a pair misses all bands with probability (1 - 0.85**7)**28, abou
 
 Defined results: texts without words (null, empty, blank) have an empty set and link with nothing; fewer words than a
 shingle make one shingle of all of them; rows with a null id belong to their class but never name it; equal rows share
-a component.
+a component. near_classes has `kept` for each id, as its SQL does; first_documents keeps exactly one row of each component,
+whatever the rows' ids: by a key of each row that is written once with it.
 """
 
 from __future__ import annotations
@@ -98,8 +99,13 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(values.astype(np.int64).ravel()))
 
 
-def sketches(docs: DataFrame, shingler: Shingler, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node and check (a set's key), bands and odd; the last four are null for empty sets."""
+def with_keys(docs: DataFrame, *more: Column) -> DataFrame:
+    """key (a number of each row's own), doc_id and text, written once, so that the key stays with its row."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more))
+
+
+def sketches(keyed: DataFrame, shingler: Shingler, bands: int, rows: int) -> DataFrame:
+    """key, doc_id, n_shingles, node and check (a set's key), bands and odd; the last four are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -116,13 +122,13 @@ def sketches(docs: DataFrame, shingler: Shingler, bands: int, rows: int) -> Data
                 keys[full], odd[full] = sketch(x, places, bands, rows)
             null_if_none = lambda c: pa.compute.if_else(none, pa.scalar(None, c.type), c)
             cols = [pa.array(key[0].astype(np.int64)), pa.array(key[1].astype(np.int64)), _lists(keys), _lists(odd)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(null_if_none, cols)], names=["doc_id", "n_shingles", "node", "check", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *map(null_if_none, cols)], names=["key", "doc_id", "n_shingles", "node", "check", "bands", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, check long, bands array<long>, odd array<long>")
+    return keyed.select("key", "text", "doc_id").mapInArrow(tidy(run), "key long, doc_id long, n_shingles long, node long, check long, bands array<long>, odd array<long>")
 
 
-def full_sets(docs: DataFrame, shingler: Shingler) -> DataFrame:
-    """doc_id, node and shingles (the whole distinct set) of docs' texts."""
+def full_sets(keyed: DataFrame, shingler: Shingler) -> DataFrame:
+    """key, node and shingles (the whole distinct set) of the rows' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -132,9 +138,9 @@ def full_sets(docs: DataFrame, shingler: Shingler) -> DataFrame:
             places = np.concatenate((at[full], at[-1:]))
             node = mix64(np.add.reduceat(mix64(x), places[:-1]) + n[full].astype(np.uint64)) if len(full) else x[:0]
             sets = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(x.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(node.astype(np.int64)), sets], names=["doc_id", "node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(node.astype(np.int64)), sets], names=["key", "node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, node long, shingles array<long>")
+    return keyed.select("key", "text").mapInArrow(tidy(run), "key long, node long, shingles array<long>")
 
 
 def _ordered(one: str, other: str) -> list[Column]:
@@ -261,11 +267,11 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def near_classes(docs: DataFrame, shingler: Shingler = word_shingles, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    own = materialize(sketches(docs, shingler, bands, rows))
+def near_rows(keyed: DataFrame, shingler: Shingler, percent: int, bands: int, rows: int) -> DataFrame:
+    """key, doc_id, n_shingles, component_id and first_key (of the row that stands for the component) of every row of with_keys."""
+    own = materialize(sketches(keyed, shingler, bands, rows))
     full = own.where("node is not null")
-    classes = materialize(full.groupBy("node", "check").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands"), F.min("odd").alias("odd")))
+    classes = materialize(full.groupBy("node", "check").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.count("*").alias("n"), F.min("n_shingles").alias("n_shingles"), F.min("bands").alias("bands"), F.min("odd").alias("odd")))
     pairs, large = candidate_pairs(classes.select("node", "n_shingles", "bands"))
     odd = lambda side: classes.select(F.col("node").alias(side), F.col("odd").alias(f"odd_{side}"))
 
@@ -274,9 +280,9 @@ def near_classes(docs: DataFrame, shingler: Shingler = word_shingles, percent: i
         return materialize(both.where(F.col("estimate") >= percent / 100 - FAR))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        ids = materialize(nodes.distinct().join(classes.select("node", "first_id"), "node"))
-        wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(materialize(ids.select(F.col("first_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
-        return materialize(full_sets(wanted, shingler).join(ids.select("node", F.col("first_id").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]))
+        wanted = materialize(nodes.distinct().join(classes.select("node", F.col("first.key").alias("key")), "node"))
+        texts = keyed.join(wanted.select("key"), "key", "left_semi")
+        return materialize(full_sets(texts, shingler).join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node"]))
 
     def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
         """The pairs that join two components."""
@@ -298,18 +304,25 @@ def near_classes(docs: DataFrame, shingler: Shingler = word_shingles, percent: i
         across = materialize(cells.groupBy("key", "i", "j").applyInArrow(_links_of_cell(percent, bands * rows), "a long, b long"))
         if across.limit(1).count():
             root = components(links.union(across))
-    named = classes.join(root, "node", "left").select("node", "check", "first_id", "n", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
-    grouped = materialize(named.join(least, "root").select("node", "check", "component_id"))
-    out = own.select("doc_id", "n_shingles", "node", "check").join(grouped, ["node", "check"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = classes.join(root, "node", "left").select("node", "check", "first", "n", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("low"), F.sum("n").alias("size")).where("size > 1")
+    grouped = materialize(named.join(least, "root").select("node", "check", F.col("low.doc_id").alias("component_id"), F.col("low.key").alias("first_key")))
+    out = own.select("key", "doc_id", "n_shingles", "node", "check").join(grouped, ["node", "check"], "left")
+    return out.select("key", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("first_key", "key").alias("first_key"))
+
+
+def near_classes(docs: DataFrame, shingler: Shingler = word_shingles, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    out = near_rows(with_keys(docs), shingler, percent, bands, rows)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def first_documents(docs: DataFrame, shingler: Shingler = word_shingles, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs with one document of each near-duplicate group; columns as given."""
-    dropped = materialize(near_classes(docs, shingler, percent, bands, rows).where("not kept").select("doc_id").distinct())
-    return join_sized(docs, dropped, ["doc_id"], "left_anti").select(*docs.columns)
+    """docs with one row of each near-duplicate group; columns as given."""
+    keyed = with_keys(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("carried"))
+    dropped = materialize(near_rows(keyed, shingler, percent, bands, rows).where("key != first_key").select("key"))
+    kept = join_sized(keyed, dropped, ["key"], "left_anti")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = """

@@ -113,3 +113,20 @@ def test_repeated_words_against_brute_force(spark, group):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = suffix_dedup.cleaned(docs, length=100_000, core=50_000, group=group, words=9).collect()
     assert [bytes(r["kept"]).decode() for r in sorted(rows, key=lambda r: r["doc_id"])] == brute_words(texts, 9)
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, tmp_path):
+    rng = random.Random(8)
+    prose = lambda: ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(70)]
+    again, nameless, mixed, near, shared = (prose() for _ in range(5))
+    rows = [(10, again), (10, again), (None, nameless), (None, nameless), (20, mixed), (None, mixed), (None, near), (None, [*near[:-1], "other"])]
+    rows += [(30, shared), (31, shared), (31, prose()), (None, prose())]
+    rows = [(i, " ".join(w), "en", "s", len(" ".join(w))) for i, w in rows] + [(40, None, None, None, None), (40, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeated_passages):
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)))
+        left = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+        near_left = [(i, t) for i, t in left if i is None and t in (rows[6][1], rows[7][1])]
+        want = [rows[i][:2] for i in (0, 2, 4, 8, 10, 11)] + near_left
+        assert len(near_left) == 1 and all(left[x] == 1 for x in want)
+        assert sum(left.values()) == len(want) + 2 and {t for i, t in left if i == 40} <= {None, ""}
