@@ -6,7 +6,7 @@
 3. Classes that share a band key are candidates. Buckets of up to SMALL classes give all their pairs (a few per class);
    in larger ones each class first meets the one of highest degree, to which changed copies of one text are nearest.
 4. The XOR of two odd sketches has about n/2 * (1 - exp(-2m/n)) bits when m samples differ; pairs whose estimate is far
-   under the threshold (FAR below) are dropped, all others are confirmed on the full sets before they count as links.
+   under the threshold (margin below) are dropped, all others are confirmed on the full sets before they count as links.
    First each class's likeliest pair is confirmed, then every other pair that would join two components.
 5. Components follow from minimum labels with pointer jumping; each round is a table in the shared folder.
 6. A large bucket whose members are then in several components is gone through in full: each member outside the main
@@ -40,12 +40,23 @@ BITS = 512
 SMALL = 8
 #: Members and shingles of a large bucket that one task holds of each of two blocks.
 BLOCK, ITEMS = 4096, 2_000_000
-#: How far below the threshold an odd sketch's estimate may lie: five standard errors of the MinHash samples.
-FAR = 0.13
 PERCENT = 85
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+
+def margin(percent: int, samples: int) -> float:
+    """How far below the threshold an odd sketch's estimate may lie: five standard errors of it at the threshold.
+
+    m of the samples differ, a binomial count; 2m bits are flipped, so the number of odd ones scatters too.
+    """
+    m = samples * (1 - percent / 100)
+    flips = BITS / 16 * np.expm1(8 * m / BITS) - m / 2
+    return 5 * float(np.sqrt(m * percent / 100 + flips)) / samples
+
+
+FAR = margin(PERCENT, BANDS * ROWS)
+
 #: Texts' bytes and offsets -> shingle hashes and the place of each text's first (n + 1 values); repeats allowed.
 Shingler = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -218,7 +229,7 @@ def _links_of_cell(percent: int, samples: int):
             fit &= ~(bands[:, :band] == bands[i, :band]).any(axis=1)
             c = np.flatnonzero(fit)
             share = np.minimum(np.bitwise_count(odd[c] ^ odd[i]).sum(axis=1) * (2.0 / BITS), 0.999)
-            c = c[1.0 + np.log(1.0 - share) * (BITS / 2.0) / (2.0 * samples) >= percent / 100 - FAR]
+            c = c[1.0 + np.log(1.0 - share) * (BITS / 2.0) / (2.0 * samples) >= percent / 100 - margin(percent, samples)]
             mine = top(int(root[i]))
             c = c[[top(r) != mine for r in root[c].tolist()]] if len(c) else c
             if len(c):
@@ -277,7 +288,7 @@ def near_rows(keyed: DataFrame, shingler: Shingler, percent: int, bands: int, ro
 
     def likely_of(pairs: DataFrame) -> DataFrame:
         both = pairs.join(odd("a"), "a").join(odd("b"), "b").select("a", "b", _estimate(F.col("odd_a"), F.col("odd_b"), bands * rows).alias("estimate"))
-        return materialize(both.where(F.col("estimate") >= percent / 100 - FAR))
+        return materialize(both.where(F.col("estimate") >= percent / 100 - margin(percent, bands * rows)))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = materialize(nodes.distinct().join(classes.select("node", F.col("first.key").alias("key")), "node"))

@@ -261,6 +261,17 @@ def test_odd_sketch_estimates():
         assert abs(estimate - true) < near_dedup.FAR / 2
 
 
+@pytest.mark.parametrize(("percent", "bands", "rows"), [(85, 28, 7), (80, 30, 5)])
+def test_margin_is_five_standard_errors_of_the_estimate(percent, bands, rows):
+    rng, n = np.random.default_rng(4), bands * rows
+    estimates = []
+    for m in rng.binomial(n, 1 - percent / 100, 20_000):
+        odd = np.bincount(rng.integers(0, near_dedup.BITS, 2 * m), minlength=near_dedup.BITS) % 2
+        estimates.append(1 + near_dedup.BITS / 2 * np.log(1 - 2 * odd.sum() / near_dedup.BITS) / (2 * n))
+    assert 4.8 < near_dedup.margin(percent, n) / np.std(estimates) < 5.2
+    assert min(estimates) > percent / 100 - near_dedup.margin(percent, n)
+
+
 @pytest.mark.parametrize("block", [4096, 9])
 def test_near_groups_of_many_sizes(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
