@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pageguard.operators.agent import NEXT_STATES, STATES
+from pageguard.operators.agent import STATES, allowed
 
 WATERMARK = "10 minutes"
 
@@ -25,44 +25,76 @@ def debounce(events: DataFrame, key: str, gap: str = "400 milliseconds") -> Data
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event files as a stream, with ts as a timestamp and a watermark."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The event files as a stream, with ts as a timestamp and a watermark; events.parquet is one file or a folder of them."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(place).isDirectory()
+    # A stream takes a single file only by a pattern.
+    raw = spark.readStream.schema(schema).parquet(path if folder else f"{sf_dir}/events.parque[t]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
 
 
-def _finish(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there into a table of this session, and return it."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def _run_folder(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share; a temporary one only where none is set (local tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="pageguard-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/pageguard/{uuid.uuid4().hex}"
+
+
+def _finish(stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there into a table in the shared folder, and read it back."""
+    at = _run_folder(stream.sparkSession)
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
 def debounced_stream(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
-    return _finish(debounce(event_stream(spark, sf_dir), "user_id", gap), "append")
+    return _finish(debounce(event_stream(spark, sf_dir), "user_id", gap))
+
+
+def check_transitions(steps: DataFrame, known: DataFrame) -> DataFrame:
+    """Each task's state and counts after these steps (user_id, ts, event_id, state), from known ones of the same columns.
+
+    Steps are sorted and counted by Spark: nothing gathers a task's rows. A task that was completed starts anew.
+    """
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = known.where("state != 'COMPLETED'").select("user_id", F.col("state").alias("was"), F.col("n_invalid").alias("bad"), F.col("n_steps").alias("seen"))
+    after = steps.select("*", F.lag("state").over(w).alias("previous")).join(before, "user_id", "left")
+    valid = allowed(F.coalesce("previous", "was", F.lit("IDLE")), F.col("state"), False)
+    at = F.max_by("state", F.struct("ts", "event_id")).alias("state")
+    plus = lambda c: F.coalesce(F.max(c), F.lit(0))
+    return after.groupBy("user_id").agg(at, (plus("bad") + F.count_if(~valid)).alias("n_invalid"), (plus("seen") + F.count("*")).alias("n_steps"))
+
+
+_CHECKED = "user_id long, state string, n_invalid long, n_steps long"
+
+
+def run_checks(steps: DataFrame) -> DataFrame:
+    """The last state and counts of every task of a stream of steps."""
+    spark, at = steps.sparkSession, _run_folder(steps.sparkSession)
+    done: list[int] = []
 
+    def fold(batch: DataFrame, n: int) -> None:
+        own = batch.sparkSession
+        known = own.read.schema(_CHECKED).parquet(f"{at}/states/{done[-1]}") if done else own.createDataFrame([], _CHECKED)
+        new = check_transitions(batch, known)
+        new.unionByName(known.join(new.select("user_id"), "user_id", "left_anti")).write.mode("overwrite").parquet(f"{at}/states/{n}")
+        done.append(n)
 
-def check_transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps a task's state and its count of invalid steps; both go when the task is completed."""
-    previous, bad, seen = state.get if state.exists else ("IDLE", 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for step in rows["state"]:
-        seen += 1
-        bad += step != "ERROR" and step not in NEXT_STATES.get(previous, [])
-        previous = step
-    if previous == "COMPLETED":
-        state.remove()
-    else:
-        state.update((previous, bad, seen))
-    yield pd.DataFrame({"user_id": [key[0]], "state": [previous], "n_invalid": [bad], "n_steps": [seen]})
+    steps.writeStream.foreachBatch(fold).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(_CHECKED).parquet(f"{at}/states/{done[-1]}") if done else spark.createDataFrame([], _CHECKED)
 
 
 def checked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.element_at(F.array(*map(F.lit, STATES)), (F.col("event_id") % 12 + 1).cast("int"))
-    steps = event_stream(spark, sf_dir).select("user_id", "ts", "event_id", state.alias("state"))
-    out = steps.groupBy("user_id").applyInPandasWithState(check_transitions, "user_id long, state string, n_invalid long, n_steps long", "state string, n_invalid long, n_steps long", "update", GroupStateTimeout.NoTimeout)
-    return _finish(out, "update")
+    return run_checks(event_stream(spark, sf_dir).select("user_id", "ts", "event_id", state.alias("state")))
 
 
 def latest(events: DataFrame, key: str) -> DataFrame:
@@ -76,4 +108,4 @@ def once(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def once_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finish(once(event_stream(spark, sf_dir).select("user_id", "ts"), ["user_id"]), "append")
+    return _finish(once(event_stream(spark, sf_dir).select("user_id", "ts"), ["user_id"]))

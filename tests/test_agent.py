@@ -59,3 +59,23 @@ def test_stream_has_the_sessions_that_the_watermark_closed(spark):
     stream = {tuple(r) for r in sessions.debounced_stream(spark, sf, "30 minutes").collect()}
     last = events.agg(F.unix_micros(F.max("ts"))).first()[0]
     assert stream <= batch and all(r[2] > last - 600_000_000 for r in batch - stream)
+
+
+def test_streams_read_a_folder_of_part_files(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/events.parquet").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    rows = lambda f, *more: sorted(tuple(r) for r in f(spark, *more).collect())
+    for f, more in ((sessions.once_stream, ()), (sessions.checked_stream, ()), (sessions.debounced_stream, ("30 minutes",))):
+        one, many = rows(f, sf, *more), rows(f, str(tmp_path), *more)
+        assert many and [r[0] for r in many] == [r[0] for r in one] and (f is sessions.once_stream or many == one)
+
+
+def test_checks_fold_batch_by_batch(spark, tmp_path):
+    steps = [(1, "TASK_RECEIVED"), (1, "PAGE_ANALYSIS"), (2, "EXECUTING"), (1, "ERROR"), (1, "EXECUTING"), (2, "COMPLETED"), (2, "TASK_RECEIVED"), (3, "TASK_RECEIVED")]
+    schema = "user_id long, ts long, event_id long, state string"
+    for i, (a, b) in enumerate(((0, 2), (2, 4), (4, 6), (6, 8))):
+        part = [(u, n, n, s) for n, (u, s) in enumerate(steps)][a:b]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/steps")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/steps")
+    got = sorted(tuple(r) for r in sessions.run_checks(stream).collect())
+    assert got == [(1, "EXECUTING", 1, 4), (2, "TASK_RECEIVED", 0, 1), (3, "TASK_RECEIVED", 0, 1)]
