@@ -29,6 +29,11 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir).where(F.col("tag").isin("a", "article", "nav", "ul", "title", "script", "h1", "br")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def all_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements by tag, every tag of the node table."""
+    return _nodes(spark, sf_dir).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n"))
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.elements(_nodes(spark, sf_dir), compat=True).where("type = 'link'").groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
@@ -71,7 +76,7 @@ def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.to_json("elements").alias("elements"), F.to_json("sensitive_items").alias("sensitive_items"), "n_elements", "n_visible_text", "n_sensitive_items")
 
 
-QUERIES = {f.__name__: f for f in (html_nodes, tag_counts, page_links, element_ids, page_titles, page_text_runs, text_to_element, selectors, selector_rejoin, page_extraction)}
+QUERIES = {f.__name__: f for f in (html_nodes, tag_counts, all_tag_counts, page_links, element_ids, page_titles, page_text_runs, text_to_element, selectors, selector_rejoin, page_extraction)}
 
 _UNESCAPED = """replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')"""
 _LINKS = "links as (select page_id, hs, unnest(range(1, len(hs) + 1)) as i from (select page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) as hs from pages))"

@@ -54,6 +54,11 @@ def redact_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", detect.redact_value(F.split_part("text", F.lit("\n"), F.lit(1))).alias("value"))
 
 
+def redact_line_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of each document as the value of a form control."""
+    return _lines(spark, sf_dir).select("doc_id", "line", detect.redact_value(F.col("text")).alias("value"))
+
+
 def bare_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = table(spark, sf_dir, "nation").select("n_nationkey", F.initcap("n_name").alias("value"), F.when(F.col("n_nationkey") % 3 == 0, "Full name").when(F.col("n_nationkey") % 3 == 1, "Guest").otherwise("City").alias("label"))
     named = detect.bare_name(F.col("label"), F.col("value"), F.lit(False))
@@ -116,6 +121,7 @@ QUERIES = {
     "match_boxes": match_boxes,
     "redact_lines": redact_lines,
     "redact_values": redact_values,
+    "redact_line_values": redact_line_values,
     "bare_name": bare_name,
     "flagged_docs": flagged_docs,
     "clean_docs": clean_docs,
@@ -179,6 +185,9 @@ ORACLE_SQL = {
     "redact_values": f"""with firsts as (select doc_id, split_part(text, chr(10), 1) as value from documents),
       hit as (select distinct doc_id from ({_all(id="doc_id", text="value", src="firsts")}))
       select doc_id, case when hit.doc_id is not null then '[REDACTED]' else value end as value from firsts left join hit using (doc_id)""",
+    "redact_line_values": f"""with lines as ({_LINES}), keyed as (select doc_id * 1000000 + line as k, * from lines),
+      hit as (select distinct k from ({_all(id="k", text="text", src="keyed")}))
+      select doc_id, line, case when hit.k is not null then '[REDACTED]' else text end as value from keyed left join hit using (k)""",
     "bare_name": """with f as (select n_nationkey, array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') as value from nation)
       select n_nationkey, n_nationkey % 3 < 2 and regexp_matches(value, '^[A-Z][a-z]+(\\s[A-Z][a-z]+){1,2}$') as is_name,
       case when n_nationkey % 3 < 2 and regexp_matches(value, '^[A-Z][a-z]+(\\s[A-Z][a-z]+){1,2}$') then left(value, 1) || repeat('*', length(value) - 1) end as masked from f""",

@@ -1,6 +1,7 @@
 """Node trees, elements, runs and selectors of small pages."""
 
 from pageguard.operators import page
+from pageguard.plans import pages as plans
 from pageguard.sources import html
 
 FORM = """<!DOCTYPE html><html><body><p>one<p>two <b>bold</b>
@@ -57,3 +58,10 @@ def test_selectors(spark):
     by = {rows[i]: tags[i] for i in rows}
     assert by["#user"]["tag"] == "input" and by['[data-testid="t1"]']["tag"] == "a"
     assert [s for s, n in by.items() if n["attrs"].get("id") == "dup"] == ["html > body:nth-of-type(1) > a:nth-of-type(2)", "html > body:nth-of-type(1) > a:nth-of-type(3)"]
+
+
+def test_every_tag_is_counted(spark, tmp_path):
+    small = "<p>one<p>two<ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table><div><span>x</span><a href='#'>y</a></div>"
+    spark.createDataFrame([(1, "u", small), (2, "u", "<p>x<br>"), (3, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["tag"]: r["n"] for r in plans.all_tag_counts(spark, str(tmp_path)).collect()}
+    assert got == {"p": 3, "ul": 1, "li": 2, "table": 1, "tr": 2, "td": 3, "div": 1, "span": 1, "a": 1, "br": 1}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageguard.functions import masking, patterns, urls
 from pageguard.operators import detect
+from pageguard.plans import pii as plans
 
 
 def items_of(spark, *texts):
@@ -86,3 +87,10 @@ def test_urls(spark):
     assert [g[0] for g in got] == [w for _, w in rows]
     assert got[0][1] == "https://example.com/reset?..." and got[2][1] == "https://base.org/a?..."
     assert df.select(urls.resolve(F.lit("x.html"), F.col("b"))).first()[0] == "https://base.org/dir/x.html"
+
+
+def test_values_on_later_lines_are_redacted(spark, tmp_path):
+    rows = [(1, "nothing here\nwrite to jane.doe@example.com\n\nthe end"), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in plans.redact_line_values(spark, str(tmp_path)).orderBy("doc_id", "line").collect()]
+    assert got == [(1, 0, "nothing here"), (1, 1, "[REDACTED]"), (1, 3, "the end")]
