@@ -15,7 +15,6 @@ from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pageguard.llm import bpe, mixing, near_dedup, suffix_dedup, toxicity
 from pageguard.llm.common import arrow_limits, materialize, table
@@ -49,8 +48,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """doc_id, n_tokens, ids and the hash of the decoded bytes, one row for each document of the mix."""
     arrow_limits(spark)
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, path, pattern, with_ids=True).select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -57,7 +57,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_limits(spark)
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
