@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 
 from .common import held_out, materialize
 
+#: Texts of more bytes than these are not learnt from, so that a sample's size in bytes is bounded too.
+MOST_BYTES = 1 << 16
+
+
+def hash_bound(n: int, per_class: int) -> int:
+    """The value of a 63-bit hash under which about per_class of n rows lie."""
+    return min((1 << 63) - 1, (per_class << 63) // max(n, 1))
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, keep: str = "doc_id") -> pa.Table:
     """doc_id, text and y of about per_class training documents for each label value, chosen by a hash of the id.
@@ -15,15 +23,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     labels: doc_id and label_col; ids whose crc32 mod 5 is 0 are held out, null labels and ids are skipped, and an id
     labelled more than once has its largest label. A first pass counts the classes in the narrow labels; the thresholds
     that follow bound the ids (and so what is broadcast and collected) to about per_class for each class at every size.
+    A class of fewer rows is taken whole. Texts of more than MOST_BYTES bytes are left out.
     """
     own = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max(label_col).alias("y"))
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     chosen = F.lit(False)
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        chosen = chosen | ((F.col("y") == F.lit(value)) & (share < int(min(1.0, per_class / n) * 1_000_000)))
+        chosen = chosen | ((F.col("y") == F.lit(value)) & (share <= F.lit(hash_bound(n, per_class))))
     ids = materialize(own.where(chosen))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES).join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
     out = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return out.combine_chunks()

@@ -1,8 +1,9 @@
 """Operator 8: toxicity by a counterfactual-regularised classifier.
 
-A logistic model over words and word beginnings. For every labelled text that names a group, a copy is made with each
-identity term swapped for another of its kind and language; training adds LAMBDA times the squared change of score
-between the two, so a mention of a group cannot carry weight by itself.
+A logistic model over words and word beginnings. For every labelled text that names a group, copies are made with each
+identity term swapped for SWAPS others of its kind and language, and one without the terms; for a text that names none, a
+copy in which a term has been put in. Training adds LAMBDA times the mean squared change of score (before the logistic
+function) between text and copy, so a mention of a group cannot carry weight by itself.
 
 Features are the words and beginnings of PREFIXES characters that occur in at least LEAST training texts of the toxic
 class and are at least RATIO times as common there; a text's value for each is log(1 + count). The model is fitted on
@@ -33,6 +34,7 @@ LEAST = 4
 RATIO = 6.0
 MOST_FEATURES = 20_000
 LAMBDA = 4.0
+SWAPS = 3
 ROUNDS = 200
 #: Words whose features a worker remembers.
 REMEMBERED = 60_000
@@ -57,7 +59,8 @@ IDENTITY_TERMS: list[list[str]] = [
     ["musulmanes", "cristianos", "judíos", "hindúes", "budistas"],
     ["refugiados", "extranjeros", "inmigrantes", "nativos"],
 ]
-_SWAP = {term: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, term in enumerate(kind)}
+_SWAP = {term: kind[i + 1 :] + kind[:i] for kind in IDENTITY_TERMS for i, term in enumerate(kind)}
+_TERMS = list(_SWAP)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -69,9 +72,12 @@ def word_features(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in PREFIXES if len(word) > n)]
 
 
-def counterfactual(words: list[str]) -> list[str] | None:
-    """words with identity terms swapped, or None if there are none."""
-    return [_SWAP.get(w, w) for w in words] if any(w in _SWAP for w in words) else None
+def counterfactuals(words: list[str]) -> list[list[str]]:
+    """words with identity terms swapped, several times, and left out; with a term put in if there is none."""
+    if not any(w in _SWAP for w in words):
+        return [[*words, _TERMS[sum(map(len, words)) % len(_TERMS)]]] if words else []
+    swapped = [[_SWAP[w][i % len(_SWAP[w])] if w in _SWAP else w for w in words] for i in range(SWAPS)]
+    return [*swapped, [w for w in words if w not in _SWAP]]
 
 
 class Model:
@@ -116,13 +122,22 @@ def _features(texts: list[list[str]], y: np.ndarray) -> dict[str, int]:
     return {f: i for i, f in enumerate(dict.fromkeys(best))}
 
 
+def values(counts: Counter) -> dict[int, float]:
+    return dict(zip(counts, np.log1p(np.fromiter(counts.values(), float, len(counts)))))
+
+
+def change(a: Counter, b: Counter) -> dict[int, float]:
+    """The values of a less those of b, where they differ."""
+    return {p: float(np.log1p(a[p]) - np.log1p(b[p])) for p in a.keys() | b.keys() if a[p] != b[p]}
+
+
 class _Rows:
-    """Sparse rows: z = X w and X' g."""
+    """Sparse rows of feature place -> value: z = X w and X' g."""
 
-    def __init__(self, vectors: list[Counter], width: int):
+    def __init__(self, vectors: list[dict[int, float]], width: int):
         self.row = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
         self.col = np.array([p for v in vectors for p in v], int)
-        self.value = np.log1p(np.array([c for v in vectors for c in v.values()], float))
+        self.value = np.array([c for v in vectors for c in v.values()], float)
         self.n, self.width = len(vectors), width
 
     def times(self, w: np.ndarray) -> np.ndarray:
@@ -140,18 +155,17 @@ def fit(sample: pa.Table, strength: float = LAMBDA, rounds: int = ROUNDS) -> Mod
     one: dict[str, str] = {}
     texts = [[one.setdefault(w, w) for w in words_of(t.as_py())] for t in sample.column("text")]
     model = Model(_features(texts, y))
-    x = _Rows([model.vector(t) for t in texts], len(model.places))
-    pairs = [(t, c) for t in texts if (c := counterfactual(t))]
-    a, b = (_Rows([model.vector(p[i]) for p in pairs], len(model.places)) for i in range(2))
+    vectors = [model.vector(t) for t in texts]
+    x = _Rows([values(v) for v in vectors], len(model.places))
+    pairs = _Rows([change(v, model.vector(c)) for t, v in zip(texts, vectors) for c in counterfactuals(t)], len(model.places))
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     steps = Adam([model.weights, model.bias], 0.1, 1e-4)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x.times(model.weights) + model.bias, -30, 30)))
         g = weight * (y - p)
         d = x.back(g)
-        if pairs and strength:
-            change = (a.times(model.weights) - b.times(model.weights)) * (2 * strength / len(pairs))
-            d = d - a.back(change) + b.back(change)
+        if pairs.n and strength:
+            d = d - pairs.back(pairs.times(model.weights) * (2 * strength / pairs.n))
         steps.step([d, np.array([g.sum()])])
     return model
 
