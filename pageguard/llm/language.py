@@ -5,7 +5,8 @@ with the n-grams into BUCKETS); learned transitions join neighbouring words, and
 code-switched text. A document's language is the one with most letters, weighted by the words' marginals.
 
 Training sequences are spliced from runs of words of different languages, so the transitions learn to switch. The model
-is fitted on about SAMPLE training documents for each language; prediction covers every word of every text.
+is fitted on about SAMPLE training documents for each language; prediction covers every letter of every text: a run of more
+than LETTERS letters is labelled in pieces of so many, one after another in the chain.
 Defined results: `und` with score 0.0 if the text is null or has no letter, or if there is nothing to learn from; ties go
 to the first language by code point; repeated rows repeat.
 """
@@ -29,19 +30,18 @@ BUCKETS = 1 << 16
 ROUNDS = 40
 #: Words in a run of one language in spliced training text.
 RUN = 25
-#: Letters of a word that n-grams see: so many from its start and so many from its end.
-EDGE = 12
+#: Letters of one item of the chain: a longer run of letters, as in writing without spaces, is several items.
+LETTERS = 24
 REMEMBERED = 80_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,%d}" % LETTERS)
 
 
 def word_features(words: list[str]) -> np.ndarray:
-    """words x features: buckets of n-grams, affixes and the word itself; BUCKETS where a word has no more."""
-    short = [w if len(w) <= 2 * EDGE else w[:EDGE] + w[-EDGE:] for w in words]
-    width = 2 * EDGE + 2
-    size = np.array([len(w) for w in short]) + 2
+    """words x features: buckets of n-grams, affixes and the word itself (of at most LETTERS letters); BUCKETS where a word has no more."""
+    width = LETTERS + 2
+    size = np.array([len(w) for w in words]) + 2
     chars = np.zeros((len(words), width + 3), np.uint64)
-    chars[:, 1 : width - 1] = np.array(short, dtype=f"<U{2 * EDGE}").view(np.uint32).reshape(len(words), 2 * EDGE)
+    chars[:, 1 : width - 1] = np.array(words, dtype=f"<U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS)
     rows = np.arange(len(words))
     chars[:, 0] = 1
     chars[rows, size - 1] = 2

@@ -6,7 +6,8 @@ and carves every confirmed medium, embedded ones included. `payload_of` reads th
 
 Formats: WAV (8-bit unsigned mono), AU (8-bit linear), PGM, BMP (8-bit grey) and PNG (8-bit grey, no filter).
 Defined results: a null or empty binary has no media and the type `unknown`; hits that overlap a confirmed medium are
-part of it; bytes that no validator confirms are never carved.
+part of it; bytes that no validator confirms are never carved. payload_digests has a null payload, crc and feature and the
+type `unknown` where no medium is found (null, empty or damaged data), and a null media hash for null data.
 """
 
 from __future__ import annotations
@@ -230,9 +231,12 @@ def payload_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             rows = []
             for n, declared, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found = carve(data)
+                if not found:
+                    rows.append((n, None, None, None, None if data is None else len(data), None if data is None else digest(data).hexdigest(), None, declared, "unknown"))
+                    continue
                 name, _, _, payload = found[0]
                 counts = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
-                share = counts / counts.sum()
+                share = counts / max(counts.sum(), 1)
                 entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
                 feature = f"{name};{len(payload)};{entropy:.4f};" + ",".join(f"{x:.4f}" for x in share)
                 rows.append((n, len(payload), digest(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), digest(data).hexdigest(), feature, declared, name))

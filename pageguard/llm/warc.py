@@ -2,7 +2,7 @@
 
 `plan_records` decides response or revisit, `write_archives` packs records as gzip members into archive blobs, and
 `read_archives` reads them back. After a member or record fails a check (gzip checksum, version line, header block,
-content length, payload digest), the reader searches for the next valid member or version line, goes on there, and
+content length, payload digest, payload length), the reader searches for the next valid member or version line, goes on there, and
 returns the skipped bytes as a row of kind `gap` with the reason.
 
 Defined results: null html is an empty payload; payloads under MIN_REVISIT bytes are never revisited; a row whose id is
@@ -134,6 +134,9 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     block = data[start:end]
     if head.get("warc-type") == "response" and head.get("warc-payload-digest") != f"sha256:{hashlib.sha256(block).hexdigest()}":
         return "payload digest differs"
+    payload = head.get("warc-payload-length", length)
+    if not (payload.isascii() and payload.isdigit()) or head.get("warc-type") == "response" and int(payload) != len(block):
+        return "payload length differs"
     return head, block, end + 4
 
 
@@ -197,7 +200,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 rows = []
                 for kind, at, n, reason, head, block in salvage(content or b""):
                     size = head.get("warc-payload-length", str(len(block)))
-                    rows.append((kind, archive, at, n, reason, _id(head.get("warc-record-id", "")), head.get("warc-type"), _id(head.get("warc-refers-to", "")), head.get("warc-payload-digest", "").removeprefix("sha256:") or None, int(size) if size.isascii() and size.isdigit() else None, block))
+                    rows.append((kind, archive, at, n, reason, _id(head.get("warc-record-id", "")), head.get("warc-type"), _id(head.get("warc-refers-to", "")), head.get("warc-payload-digest", "").removeprefix("sha256:") or None, int(size), block))
                     if len(rows) >= 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
                         rows = []
