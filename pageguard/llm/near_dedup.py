@@ -39,7 +39,7 @@ BANDS, ROWS = 28, 7
 BITS = 512
 SMALL = 8
 #: Members and shingles of a large bucket that one task holds of each of two blocks.
-BLOCK, ITEMS = 4096, 2_000_000
+BLOCK, ITEMS = 512, 2_000_000
 PERCENT = 85
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -214,6 +214,7 @@ def _links_of_cell(percent: int, samples: int):
         at = np.cumsum(size) - size
         values, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
         band = int(np.flatnonzero(bands[0].view(np.int64) == key[0])[0])
+        mark = np.zeros(len(values), bool)
         over = {int(r): int(r) for r in np.unique(root)}
         a, b = [], []
 
@@ -233,9 +234,12 @@ def _links_of_cell(percent: int, samples: int):
             mine = top(int(root[i]))
             c = c[[top(r) != mine for r in root[c].tolist()]] if len(c) else c
             if len(c):
-                mark = np.zeros(len(values), bool)
-                mark[code[at[i] : at[i] + size[i]]] = True
-                both = np.add.reduceat(mark[code], at, dtype=np.int64)[c]
+                own = code[at[i] : at[i] + size[i]]
+                mark[own] = True
+                ends = np.cumsum(size[c])
+                items = np.repeat(at[c] - ends + size[c], size[c]) + np.arange(ends[-1])  # the candidates' items only
+                both = np.add.reduceat(mark[code[items]], ends - size[c], dtype=np.int64)
+                mark[own] = False
                 for j in c[both * 100 >= (size[i] + size[c] - both) * percent].tolist():
                     x, y = top(int(root[i])), top(int(root[j]))
                     if x != y:
