@@ -51,7 +51,7 @@ RUNS = {
     "near": lambda d, lab: near_dedup.near_classes(d),
     "language": lambda d, lab: language.classify(d),
     "toxicity": lambda d, lab: toxicity.classify(d, lab),
-    "bpe": lambda d, lab: bpe.digests(bpe.decode(bpe.encode(d, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)),
+    "bpe": lambda d, lab: bpe.round_trip(d, PATH, public_tokenizers.PATTERN),
     "fingerprints": lambda d, lab: fingerprints.with_next(d),
 }
 
@@ -86,6 +86,24 @@ def test_defined_results(odd, labels):
     assert prints[5]["near_next"] == 1.0
 
 
+def test_media_that_cannot_be_read(spark):
+    whole = media._wav(media.padded(b"a text"))
+    rows = [(1, 6, "wav", whole), (2, 6, "wav", None), (3, 6, "png", whole[:60]), (4, 0, None, b""), (None, None, "au", b"RIFF")]
+    out = {r["doc_id"]: r for r in media.payload_digests(spark.createDataFrame(rows, "doc_id long, n_bytes long, declared string, media binary")).collect()}
+    assert out[1]["payload_bytes"] == 192 and out[1]["detected"] == "wav"
+    for i in (2, 3, 4, None):
+        assert out[i]["payload_bytes"] is None and out[i]["payload_sha256"] is None and out[i]["tail_crc32"] is None and out[i]["detected"] == "unknown"
+    assert out[2]["media_bytes"] is None and out[3]["media_bytes"] == 60 and out[4]["media_bytes"] == 0
+
+
+def test_damaged_payload_lengths():
+    one = warc.record(1, "http://a", b"some text", __import__("hashlib").sha256(b"some text").hexdigest(), "response", None)
+    two = warc.record(2, "http://a", b"some text", "0", "revisit", 1)
+    for damaged in (one.replace(b"Payload-Length: 9", b"Payload-Length: 8"), one.replace(b"Payload-Length: 9", b"Payload-Length: x"), two.replace(b"Payload-Length: 9", b"Payload-Length: -9")):
+        rows = list(warc.salvage(damaged + one))
+        assert [(r[0], r[3]) for r in rows] == [("gap", "payload length differs"), ("record", "")]
+
+
 def test_pages_with_odd_rows(spark):
     rows = [(1, "http://a", "x" * 200, 5), (2, None, "x" * 200, 5), (2, None, "x" * 200, 5), (3, "u\r\nWARC/1.0", None, 5), (None, "n", "x" * 200, 5), (4, "", "short", 5), (5, "", "short", 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")

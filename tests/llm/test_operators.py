@@ -117,6 +117,16 @@ def test_language_accuracy(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) >= 0.97
 
 
+def test_letters_in_the_middle_of_long_runs_count():
+    rng = random.Random(6)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(" ".join(make(k, rng.randint(2, 9)) for _ in range(40)), k) for k in ("abcd", "wxyz") for _ in range(30)]
+    model = language.fit(pa.table({"doc_id": list(range(60)), "text": [r[0] for r in rows], "y": [r[1] for r in rows]}))
+    a, b = "abcd" * 3, "wxyz" * 2500
+    assert model.predict([a + b + a, b[:30] + "abcd" * 2500 + b[:30], "abcd" * 2500])[0] == ["wxyz", "abcd", "abcd"]
+    assert model.predict([a + b + a])[1][0] > 0.9
+
+
 def test_code_switched_words():
     rng = random.Random(2)
     lex = {"aa": ["talo", "kissa", "vesi", "puu", "katu"], "bb": ["szko", "drze", "woda", "czas", "ulic"]}
@@ -134,12 +144,18 @@ def test_identity_terms_carry_less_with_the_counterfactual_term():
     t = pa.table({"doc_id": list(range(40)), "text": toxic + clean, "y": [1] * 20 + [0] * 20})
     plain, fair = toxicity.fit(t, strength=0.0), toxicity.fit(t)
     neutral = "muslims celebrate a feast"
+    assert all(abs(fair.score(f"{t} celebrate a feast") - fair.score("celebrate a feast")) < 0.25 for t in toxicity.IDENTITY_TERMS[2])
+    held = [f"{t} {rest}" for kind in toxicity.IDENTITY_TERMS[:6] for t in kind for rest in ("live in this street", "sing a song today", "like tea")]
+    assert sum(fair.score(t) >= 0.5 for t in held) == 0 < sum(plain.score(t) >= 0.5 for t in held)
     assert fair.score(neutral) < plain.score(neutral) - 0.1 and fair.score(neutral) < 0.5 < fair.score("utter filth")
 
 
 def test_samples_leave_out_the_held_out_fifth_and_are_bounded(spark, docs):
     labels = table(spark, SF, "labels")
     out = samples.labelled_sample(docs, labels, "quality", 20)
+    assert {0, 1} == set(out.column("y").to_pylist())
+    for n in (1, 10**3, 10**9, 10**12, 10**18):
+        assert 0 < samples.hash_bound(n, 20) < 1 << 63 and abs(samples.hash_bound(n, 20) / 2**63 * n - min(n, 20)) < 1e-3 * n + 0.1
     ids = out.column("doc_id").to_pylist()
     assert ids and all(zlib.crc32(str(i).encode()) % 5 for i in ids) and len(ids) < 120
 
@@ -162,6 +178,45 @@ def removed(texts, length):
     return out
 
 
+def test_passages_at_full_length(spark):
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for n in (390, 399, 400, 401, 410, 650):
+        passage = "x" + letters(n - 2) + "x"
+        texts += [letters(rng.randint(300, 900)) + "<" + passage + ">" + letters(300), letters(200) + "(" + passage + ")" + letters(rng.randint(100, 900)), "[" + passage + "]" + passage]
+    texts += [*(letters(60) + "é" * 230 + letters(50) for _ in range(2)), texts[3], None, ""]
+    rows = suffix_dedup.digest_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [tuple(r)[1:5] for r in sorted(rows)] == removed(texts, 400)
+
+
+@pytest.mark.parametrize("group", [400, 3])
+def test_passages_shared_between_documents(spark, group):
+    rng = random.Random(12)
+    words = lambda n: [rng.choice("abcde") + rng.choice("fghij") + rng.choice("klmno") for _ in range(n)]
+    texts = []
+    for n in (49, 50, 51, 52, 80):
+        passage = words(n)
+        texts += [" ".join([*words(rng.randint(0, 60)), *passage, *words(rng.randint(1, 60))]) for _ in range(7)]
+    twice = words(60)
+    texts += [" ".join(words(9) + twice + words(9) + twice + words(9)), "same same " * 60, "\n".join(words(70)), "short one", "short one", None, ""]
+    texts += [texts[-5]] * 2
+    spans = [[tuple(m.span()) for m in regex.finditer(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    windows = [{t[s[i][0] : s[i + 50][1]] for i in range(len(s) - 50)} for t, s in zip(texts, spans)]
+    seen = Counter(w for ws in windows for w in ws)
+    rows = suffix_dedup.cleaned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), group=group, passage_words=51).collect()
+    assert [r["repeats_passage"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [any(seen[w] > 1 for w in ws) for ws in windows]
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.integers(0, 3)), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_multikey_quicksort(rows):
+    keys = np.array(rows, np.uint64).reshape(-1, 3)
+    order, edge = suffix_dedup.multikey_quicksort(keys)
+    assert [tuple(keys[i]) for i in order] == sorted(map(tuple, keys))
+    assert [tuple(keys[order[i]]) for i in edge[:-1]] == sorted(set(map(tuple, keys)))
+
+
 def make_texts(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 5)))
@@ -320,7 +375,7 @@ def test_near_groups_of_many_sizes(spark, monkeypatch, block):
 
 
 def test_encoding_is_that_of_the_library(docs):
-    _, encoding, _ = bpe._coder(PATH, public_tokenizers.PATTERN)
+    encoding = library(PATH)
     rows = {r["doc_id"]: r for r in queries.op9_bpe(docs.sparkSession, SF).collect()}
     for d in docs.collect():
         ids = encoding.encode_ordinary(d["text"])
@@ -340,7 +395,7 @@ def test_texts_of_several_chunks(spark):
     rng = random.Random(8)
     text = " ".join("".join(rng.choice("abcde'sß🙂") for _ in range(rng.randint(1, 9))) + rng.choice(["", "  ", "\n\n "]) for _ in range(20_000))
     df = spark.createDataFrame([(1, text), (2, "z" * 70_000)], "doc_id long, text string")
-    _, encoding, _ = bpe._coder(PATH, public_tokenizers.PATTERN)
+    encoding = library(PATH)
     rows = {r["doc_id"]: r for r in bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).collect()}
     assert rows[1]["ids"] == encoding.encode_ordinary(text) and bytes(rows[1]["decoded"]).decode() == text
     assert rows[2]["ids"] == encoding.encode_ordinary("z" * 70_000)
@@ -350,7 +405,28 @@ def test_runs_longer_than_an_overlap():
     pattern = regex.compile(public_tokenizers.PATTERN)
     for text in ("a" * 500, " " * 500, "ab " * 50 + "x" * 300 + " yz" * 50, "'" * 99 + "re" * 99):
         assert bpe.pieces(pattern, text, 40, 10) == pattern.findall(text)
-    assert isinstance(bpe._coder(PATH, public_tokenizers.PATTERN)[1], tiktoken.Encoding)
+
+
+def library(path):
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.coder(path, public_tokenizers.PATTERN).ranks, special_tokens={})
+
+
+@given(st.lists(st.binary(min_size=1, max_size=90), max_size=30))
+@settings(max_examples=150, deadline=None)
+def test_merges_are_those_of_the_library(found):
+    own, encoding = bpe.coder(PATH, public_tokenizers.PATTERN), library(PATH)
+    want = [tuple(encoding._encode_single_piece(p)) for p in found]
+    assert [own.merge_long(p) for p in found] == [w if p not in own.ranks else own.merge_long(p) for p, w in zip(found, want)]
+    short = [p for p in found if len(p) <= bpe.WIDE]
+    assert own.merge(short) == [own.merge_long(p) for p in short]
+
+
+def test_patterns_that_leave_gaps():
+    rng = random.Random(4)
+    pattern = regex.compile(r"\p{L}+|\d")
+    for _ in range(100):
+        text = "".join(rng.choice(["ab", "c", " ", "1", "..", "é"]) for _ in range(200))
+        assert bpe.pieces(pattern, text, 40, 10) == pattern.findall(text)
 
 
 # 10

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import tiktoken
 import pytest
 
 import corpus_pipeline
@@ -67,7 +68,8 @@ def test_planted_cases(spark, tmp_path):
 
 def test_run_encodes_the_mix(spark, tmp_path):
     texts, _, _ = planted(spark, tmp_path)
-    _, encoding, _ = bpe._coder(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    ranks = bpe.coder(public_tokenizers.path(RANKS), public_tokenizers.PATTERN).ranks
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     whole = [r for r in rows if hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest() == r["decoded_sha256"]]
     assert len(whole) > 30 and all(r["n_tokens"] == len(r["ids"]) for r in rows)
