@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values. White space and word boundaries are spelt out, because Java's \s and \b differ from the ones meant here.
@@ -13,12 +13,19 @@ PHONE = rf"(\+\d{{1,3}}[{SPACE}.-]?)?(\(?\d{{2,4}}\)?[{SPACE}.-]?)?\d{{3,4}}[{SP
 CARD = rf"{BOUNDARY}(?:\d[ -]?){{13,19}}{BOUNDARY}"
 IPV4 = rf"{BOUNDARY}(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d){BOUNDARY}"
 NAME_LABEL = r"(?i)\b(name|passenger|patient|customer|guest)\b"
-NAME_VALUE = r"^[A-Z][a-z]+(\s[A-Z][a-z]+){1,2}$"
+NAME_VALUE = rf"^[A-Z][a-z]+([{SPACE}][A-Z][a-z]+){{1,2}}$"
 CONFIDENCE = {"EMAIL": 0.98, "CARD": 0.95, "PHONE": 0.80, "IP_ADDRESS": 0.90, "SENSITIVE_URL_PARAM": 0.70, "NAME": 0.60}
 SENSITIVE_QUERY_KEYS = ["token", "access_token", "auth", "password", "pwd", "email", "ssn", "api_key", "apikey", "key", "session", "sid"]
 LOG_KEYS = ["value", "text", "password", "email", "phone", "card", "cardNumber", "ssn", "name", "dob", "screenshot", "dataUrl", "raw"]
 LINE_MARK = "[REDACTED - sensitive text on this line]"
 REDACTED = "[REDACTED]"
+#: Hits whose places are summed up in one go.
+_BLOCK = 64
+
+
+def trim(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -59,15 +66,30 @@ def luhn(number: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))) % 10 == 0
 
 
-def starts_of(text: Column, pattern: str) -> Column:
-    """0-based places of found()'s matches, in code points."""
-    matches, gaps = found(text, pattern), F.split(text, pattern, -1)
-
-    def place(_: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda s, x: s + F.length(x))
-        return F.aggregate(F.slice(matches, 1, i), before, lambda s, x: s + F.length(x))
-
-    return F.transform(matches, place)
+def with_places(df: DataFrame, name: str, text: Column, pattern: str, guard: Column | None = None) -> DataFrame:
+    """df with an array `name` of the pattern's matches and their 0-based places in code points: match, start.
+
+    Each step is a column of its own, so that both regular expressions run once a text. Places are running sums inside
+    blocks of _BLOCK hits, on top of the blocks' own running sums: no step is quadratic in a text's hits.
+    """
+    none = F.array().cast("array<string>")
+    if_any = lambda c: c if guard is None else F.when(guard, c).otherwise(none)
+    hits, blocks, base = (f"_{name}_{x}" for x in ("hits", "blocks", "base"))
+    own = df.withColumns({hits: if_any(found(text, pattern)), blocks: if_any(F.split(text, pattern, -1))})
+    # The last gap, after all hits, is left out.
+    own = own.withColumn(hits, F.zip_with(hits, F.slice(blocks, 1, F.size(hits)), lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap"))))
+    places = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / _BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    own = own.withColumn(blocks, F.transform(places, lambda i: F.slice(hits, i * _BLOCK + 1, _BLOCK)))
+    size = lambda x: x["gap"] + F.length(x["match"])
+    total = lambda block: F.aggregate(block, F.lit(0), lambda s, x: s + size(x))
+    own = own.withColumn(base, F.aggregate(F.transform(blocks, total), F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<match:string,start:int>>").alias("out"))
+
+    def inside(block: Column, first: Column) -> Column:
+        step = lambda s, x: F.struct((s["end"] + size(x)).alias("end"), F.concat(s["out"], F.array(F.struct(x["match"].alias("match"), (s["end"] + x["gap"]).alias("start")))).alias("out"))
+        return F.aggregate(block, start.withField("end", first), step, lambda s: s["out"])
+
+    return own.withColumn(name, F.flatten(F.zip_with(blocks, F.slice(base, 1, F.size(blocks)), inside))).drop(hits, blocks, base)
 
 
 def js_round(x: Column) -> Column:

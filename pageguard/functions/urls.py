@@ -27,6 +27,23 @@ def resolve(href: Column, base: Column) -> Column:
     )
 
 
+def normalised(url: Column) -> Column:
+    """An absolute http(s) URL as browsers write it: no outer blanks, scheme and host in lower case, no default port, no dot segments."""
+    url = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    origin = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1))
+    origin = F.regexp_replace(F.regexp_replace(origin, r"^(http://.*):(80)?$", "$1"), r"^(https://.*):(443)?$", "$1")
+    rest = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*[^?#]*([?#][\s\S]*)?$", 1)
+    parts = F.split(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/")
+    up = lambda p: F.lower(p).isin("..", ".%2e", "%2e.", "%2e%2e")
+    here = lambda p: F.lower(p).isin(".", "%2e")
+    # The first part is empty, it stands before the leading slash; a last dot segment leaves an empty one.
+    parts = F.transform(parts, lambda p, i: F.struct(p.alias("p"), (i == F.size(parts) - 1).alias("last")))
+    after = lambda s, p: F.when(p["last"], F.concat(s, F.array(F.lit("")))).otherwise(s)
+    step = lambda s, p: F.when(up(p["p"]), after(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(1))), p)).when(here(p["p"]), after(s, p)).otherwise(F.concat(s, F.array(p["p"])))
+    path = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(url.rlike("^(?i)https?://"), F.concat(origin, F.when(path == "", F.lit("/")).otherwise(path), rest)).otherwise(url)
+
+
 def query_keys(url: Column) -> Column:
     """Decoded names of the query's parameters, in order, repeats kept."""
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)

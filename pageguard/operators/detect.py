@@ -38,18 +38,26 @@ def has_items(text: Column) -> Column:
 
 def offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """type, start (0-based code point) and match of every raw pattern hit, before length and checksum tests."""
-    text = F.col(text_col)
-    raw = {"EMAIL": patterns.EMAIL, "CARD": patterns.CARD, "PHONE": patterns.PHONE, "IP_ADDRESS": patterns.IPV4}
+    text = F.col("_text")
+    raw = {
+        "EMAIL": (patterns.EMAIL, F.contains(text, F.lit("@"))),
+        "CARD": (patterns.CARD, text.rlike(r"\d[ -]?\d[ -]?\d")),
+        "PHONE": (patterns.PHONE, text.rlike(r"\d{3}")),
+        "IP_ADDRESS": (patterns.IPV4, text.rlike(r"\d\.\d")),
+    }
+    own = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    for kind, (pattern, guard) in raw.items():
+        own = patterns.with_places(own, kind, text, pattern, F.coalesce(guard, F.lit(False)))
 
-    def of(kind: str, pattern: str) -> Column:
-        return F.zip_with(patterns.starts_of(text, pattern), patterns.found(text, pattern), lambda s, m: F.struct(F.lit(kind).alias("type"), s.alias("start"), m.alias("match")))
+    def typed(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("type"), x["start"].alias("start"), x["match"].alias("match")))
 
-    return df.select(id_col, F.explode(F.concat(*(of(k, p) for k, p in raw.items()))).alias("_item")).select(id_col, "_item.*")
+    return own.select(F.col("_id").alias(id_col), F.explode(F.concat(*map(typed, raw))).alias("_item")).select(id_col, "_item.*")
 
 
 def bare_name(label: Column, value: Column, seen: Column) -> Column:
     """Whether a field labelled like a name holds two or three capitalised words, and no name was seen in it."""
-    ok = label.rlike(patterns.NAME_LABEL) & F.trim(value).rlike(patterns.NAME_VALUE) & ~seen
+    ok = label.rlike(patterns.NAME_LABEL) & patterns.trim(value).rlike(patterns.NAME_VALUE) & ~seen
     return F.coalesce(ok, F.lit(False))
 
 
@@ -63,7 +71,7 @@ def redact_line(text: Column) -> Column:
 
 def url_item(href: Column, base: Column) -> Column:
     """type, masked, confidence and params of a link whose query has secret keys, else null."""
-    full = urls.resolve(href, base)
+    full = urls.normalised(urls.resolve(patterns.trim(href), base))
     keys = urls.sensitive_keys(full)
     item = F.struct(F.lit("SENSITIVE_URL_PARAM").alias("type"), urls.masked_url(full).alias("masked"), F.lit(CONFIDENCE["SENSITIVE_URL_PARAM"]).alias("confidence"), keys.alias("params"))
     return F.when(href.isNotNull() & (href != "") & (F.size(keys) > 0), item)

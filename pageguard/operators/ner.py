@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageguard.functions import masking
+from pageguard.functions.patterns import SPACE, trim
+
 THRESHOLD = 0.85
 MOST_TOKENS = 256
 
@@ -28,7 +34,7 @@ MORE_TYPE_NAMES = {
     "ORGANIZATION": ["ORGANIZATION", "ORG"],
 }
 #: One punctuation mark, or a run of characters that are neither that nor white space.
-TOKEN = r"[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+"
+TOKEN = rf"[!-/:-@\[-`{{-~]|[^{SPACE}!-/:-@\[-`{{-~]+"
 
 
 def tokens(text: Column) -> Column:
@@ -36,20 +42,36 @@ def tokens(text: Column) -> Column:
 
 
 def token_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, pos, token, begin and end (code points) of every token."""
-    gaps = F.split(F.col(text_col), TOKEN, -1)
-    rows = df.select(id_col, F.posexplode(F.arrays_zip(tokens(F.col(text_col)).alias("token"), gaps.alias("gap"))).alias("pos", "t")).where("t.token is not null")
-    before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("t.gap") + F.length("t.token")).over(before)
-    return rows.select(id_col, F.col("pos").cast("long").alias("pos"), F.col("t.token").alias("token"), (end - F.length("t.token")).alias("begin"), end.alias("end"))
+    """id, pos, token, begin and end (code points) of every token; linear in a text's tokens, and without a shuffle."""
+    names = [id_col, "pos", "token", "begin", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(TOKEN).finditer
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                spans = [[m.span() for m in find(t)] for t in texts]
+                row = np.repeat(np.arange(len(texts)), [len(x) for x in spans])
+                pos = [i for x in spans for i in range(len(x))]
+                words = [t[a:b] for t, x in zip(texts, spans) for a, b in x]
+                places = np.array([p for x in spans for p in x], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(pos, pa.int64()), pa.array(words, pa.string()), pa.array(places[:, 0]), pa.array(places[:, 1])], names=names)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, pos long, token string, begin long, end long")
 
 
-def word_pieces(word: str, vocab: dict[str, int], unknown: str = "[UNK]") -> list[str]:
-    """Longest known beginnings, the later ones with ##; the unknown token if the word cannot be covered."""
+def word_pieces(word: str, vocab: dict[str, int], unknown: str = "[UNK]", longest: int = 0) -> list[str]:
+    """Longest known beginnings, the later ones with ##; the unknown token if the word cannot be covered.
+
+    longest: letters of the longest piece in vocab, if known; none longer is tried.
+    """
     out: list[str] = []
     at = 0
+    longest = longest or max(map(len, vocab), default=1)
     while at < len(word):
-        for end in range(len(word), at, -1):
+        for end in range(min(len(word), at + longest), at, -1):
             piece = word[at:end] if at == 0 else "##" + word[at:end]
             if piece in vocab:
                 break
@@ -61,27 +83,128 @@ def word_pieces(word: str, vocab: dict[str, int], unknown: str = "[UNK]") -> lis
 
 
 def encode_pieces(df: DataFrame, id_col: str, text_col: str, vocab: dict[str, int], lower: bool = True, most: int = MOST_TOKENS) -> DataFrame:
-    """id, input_ids with [CLS] and [SEP] (at most `most`), attention_mask, token_type_ids, n_pieces before the cut."""
+    """id, input_ids with [CLS] and [SEP] (at most `most`), attention_mask, token_type_ids, n_pieces before the cut.
+
+    The cut is the model's; encode_chunks covers what lies beyond it.
+    """
     known = df.sparkSession.sparkContext.broadcast(vocab)
 
-    @F.pandas_udf("array<int>")
-    def ids(words: pd.Series) -> pd.Series:
-        table = known.value
-        memo: dict[str, list[int]] = {}
+    @F.pandas_udf("struct<ids:array<int>,n:long>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        of = _Words(known.value, lower)
+        for words in batches:
+            rows = [[i for w in ws for i in of[w][0]] for ws in words]
+            yield pd.DataFrame({"ids": [r[: most - 2] for r in rows], "n": [len(r) for r in rows]})
 
-        def of(word: str) -> list[int]:
-            if word not in memo:
-                if len(memo) > 100_000:
-                    memo.clear()
-                memo[word] = [table[p] for p in word_pieces(word.lower() if lower else word, table)]
-            return memo[word]
+    pieces = df.select(id_col, ids(tokens(F.col(text_col))).alias("p"))
+    inputs = F.concat(F.array(F.lit(vocab["[CLS]"])), "p.ids", F.array(F.lit(vocab["[SEP]"])))
+    out = pieces.select(id_col, inputs.alias("input_ids"), F.col("p.n").alias("n_pieces"))
+    return out.select(id_col, "input_ids", F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"), F.transform("input_ids", lambda _: F.lit(0)).alias("token_type_ids"), "n_pieces")
 
-        return words.map(lambda ws: [i for w in ws for i in of(w)])
 
-    pieces = df.select(id_col, ids(tokens(F.col(text_col))).alias("pieces"))
-    inputs = F.concat(F.array(F.lit(vocab["[CLS]"])), F.slice("pieces", 1, most - 2), F.array(F.lit(vocab["[SEP]"])))
-    out = pieces.select(id_col, inputs.alias("input_ids"), F.size("pieces").cast("long").alias("n_pieces"))
-    return out.select(id_col, "input_ids", F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"), F.transform("input_ids", lambda _: F.lit(0)).alias("token_type_ids"), "n_pieces")
+class _Words(dict):
+    """Word -> ids of its pieces and their ends in the word, kept for as long as a task's worker lives."""
+
+    def __init__(self, vocab: dict[str, int], lower: bool, most: int = 100_000):
+        super().__init__()
+        self.vocab, self.lower, self.most, self.longest = vocab, lower, most, max(map(len, vocab), default=1)
+
+    def __missing__(self, word: str) -> tuple[list[int], list[int]]:
+        if len(self) > self.most:
+            self.clear()
+        low = word.lower() if self.lower else word
+        found = word_pieces(low, self.vocab, longest=self.longest)
+        if found == ["[UNK]"] or len(low) != len(word):  # lower case of another length: the pieces' places are the word's
+            ends = [len(word)] * len(found)
+        else:
+            ends = list(accumulate(len(p) - 2 * (i > 0) for i, p in enumerate(found)))
+        self[word] = out = [self.vocab[p] for p in found], ends
+        return out
+
+
+def encode_chunks(df: DataFrame, id_col: str, text_col: str, vocab: dict[str, int], lower: bool = True, most: int = MOST_TOKENS, overlap: int = 32) -> DataFrame:
+    """id, chunk, first (place of the chunk's first piece), input_ids, attention_mask, token_type_ids, starts and ends.
+
+    All pieces of a text lie in chunks of at most `most` inputs that overlap by `overlap` pieces, with the pieces' places
+    (0-based code points) in the text; [CLS] and [SEP] have places -1.
+    """
+    known = df.sparkSession.sparkContext.broadcast(vocab)
+    room = most - 2
+    names = [id_col, "chunk", "first", "input_ids", "attention_mask", "token_type_ids", "starts", "ends"]
+    ints = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, find = _Words(known.value, lower), re.compile(TOKEN).finditer
+        first_id, last_id = known.value["[CLS]"], known.value["[SEP]"]
+        for batch in batches:
+            cols: list[list] = [[] for _ in names]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, starts, ends = [], [], []
+                for token in find(text or ""):
+                    own, stops = of[token.group()]
+                    ids += own
+                    starts += [token.start() + s for s in [0, *stops[:-1]]]
+                    ends += [token.start() + s for s in stops]
+                for n, at in enumerate(range(0, max(len(ids) - overlap, 1), room - overlap)):
+                    part = slice(at, at + room)
+                    row = [first_id, *ids[part], last_id]
+                    for col, x in zip(cols, (key, n, at, row, [1] * len(row), [0] * len(row), [-1, *starts[part], -1], [-1, *ends[part], -1])):
+                        col.append(x)
+            types = [batch.column(0).type, pa.int32(), pa.int32(), *[ints] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, chunk int, first int, input_ids array<int>, attention_mask array<int>, token_type_ids array<int>, starts array<int>, ends array<int>")
+
+
+def label_chunks(chunks: DataFrame, id_col: str, load: Callable[[], Callable[[list, list, list], list]]) -> DataFrame:
+    """encode_chunks's rows with the label and the confidence of each input in place of the inputs, and ner_status.
+
+    The model's logits are reduced to these two in the worker. A chunk on which the model fails has no labels.
+    """
+    names = [id_col, "chunk", "first", "starts", "ends", "labels", "shares", "ner_status"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for batch in batches:
+            inputs = [batch.column(i).to_pylist() for i in (5, 6, 7)]
+            labels, shares, status = [], [], "ok"
+            try:
+                for logits in model(*inputs):
+                    x = np.asarray(logits, np.float64)
+                    top = x.max(axis=1, keepdims=True)
+                    labels.append(x.argmax(axis=1).tolist())
+                    shares.append((1.0 / np.exp(x - top).sum(axis=1)).tolist())
+            except Exception as e:  # the status column carries it
+                labels, shares, status = [[]] * batch.num_rows, [[]] * batch.num_rows, f"failed: {e}"[:200]
+            made = [pa.array(labels, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64())), pa.array([status] * batch.num_rows, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), *made], names=names)
+
+    kind = chunks.schema[id_col].dataType.simpleString()
+    given = chunks.select(*names[:5], "input_ids", "attention_mask", "token_type_ids")
+    return given.mapInArrow(run, f"`{id_col}` {kind}, chunk int, first int, starts array<int>, ends array<int>, labels array<int>, shares array<double>, ner_status string")
+
+
+def piece_labels(labelled: DataFrame, id_col: str) -> DataFrame:
+    """id, pos, start, end, prefix, entity_type, confidence of every piece of every text: merge_spans's input.
+
+    A piece that lies in two chunks has the label that it is surer of (a tie goes to the earlier chunk).
+    """
+    pieces = labelled.select(id_col, "chunk", "first", F.posexplode(F.arrays_zip("starts", "ends", "labels", "shares")).alias("i", "p")).where("p.starts >= 0 and p.labels is not null")
+    one = F.struct(F.col("p.starts").alias("start"), F.col("p.ends").alias("end"), F.col("p.labels").alias("label"), F.col("p.shares").alias("confidence"))
+    kept = pieces.groupBy(id_col, (F.col("first") + F.col("i") - 1).alias("pos")).agg(F.max_by(one, F.struct("p.shares", -F.col("chunk"))).alias("p")).select(id_col, "pos", "p.*")
+    prefix, kind = parse_label(label_name(F.col("label")))
+    return kept.select(id_col, "pos", "start", "end", prefix.alias("prefix"), kind.alias("entity_type"), "confidence")
+
+
+def text_items(docs: DataFrame, id_col: str, text_col: str, vocab: dict[str, int], load: Callable[[], Callable[[list, list, list], list]], threshold: float = THRESHOLD) -> DataFrame:
+    """id, type, start, end, match, masked and confidence of what a token classifier finds in whole texts. Ids are unique."""
+    labelled = label_chunks(encode_chunks(docs, id_col, text_col, vocab), id_col, load)
+    spans = merge_spans(piece_labels(labelled, id_col), id_col, threshold)
+    kind = normalize_type(F.col("entity_type"), wide=True)
+    match = F.substring(F.col(text_col), F.col("start") + 1, F.col("end") - F.col("start"))
+    own = spans.join(docs.select(id_col, text_col), id_col).select(id_col, kind.alias("type"), "start", "end", match.alias("match"), "confidence")
+    return own.select(id_col, "type", "start", "end", "match", masking.mask(F.col("type"), F.col("match")).alias("masked"), "confidence")
 
 
 def classify(inputs: DataFrame, id_col: str, load: Callable[[], Callable[[list, list, list], list]]) -> DataFrame:
@@ -123,7 +246,7 @@ def label_name(label: Column) -> Column:
 
 def parse_label(label: Column) -> tuple[Column, Column]:
     """Prefix (O, B or I) and type; a label without a prefix begins its type."""
-    up = F.upper(F.trim(label))
+    up = F.upper(trim(label))
     none = F.coalesce((up == "") | (up == "O") | (up == "0"), F.lit(True))
     marked = up.rlike("^[BI][-_].+$")
     prefix = F.when(none, "O").when(marked, F.substring(up, 1, 1)).otherwise("B")
@@ -137,7 +260,7 @@ def normalize_type(raw: Column, wide: bool = False, compat: bool = False) -> Col
     also strips a leading B or I that is no BIO prefix, as in PADDRESS for IP_ADDRESS; else IPADDRESS is IP_ADDRESS.
     """
     names = {k: list(v) for k, v in TYPE_NAMES.items()}
-    key = F.regexp_replace(F.upper(raw), r"[\s_-]", "")
+    key = F.regexp_replace(F.upper(raw), f"[{SPACE}_-]", "")
     fallback = F.upper(raw)
     if wide:
         for k, v in MORE_TYPE_NAMES.items():

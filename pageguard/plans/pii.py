@@ -42,7 +42,7 @@ def match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return lines.select("doc_id", F.col("line").cast("long").alias("line"), F.trim("raw").alias("text")).where("text <> ''")
+    return lines.select("doc_id", F.col("line").cast("long").alias("line"), patterns.trim(F.col("raw")).alias("text")).where("text <> ''")
 
 
 def redact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,19 +62,15 @@ def redact_line_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bare_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = table(spark, sf_dir, "nation").select("n_nationkey", F.initcap("n_name").alias("value"), F.when(F.col("n_nationkey") % 3 == 0, "Full name").when(F.col("n_nationkey") % 3 == 1, "Guest").otherwise("City").alias("label"))
     named = detect.bare_name(F.col("label"), F.col("value"), F.lit(False))
-    return fields.select("n_nationkey", named.alias("is_name"), F.when(named, masking.mask_name(F.trim("value"))).alias("masked"))
+    return fields.select("n_nationkey", named.alias("is_name"), F.when(named, masking.mask_name(patterns.trim(F.col("value")))).alias("masked"))
 
 
 def flagged_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    flagged = docs.where(detect.has_items(F.col("text"))).select("doc_id")
-    return docs.select("doc_id", "lang", "source").join(flagged, "doc_id", "left_semi")
+    return _docs(spark, sf_dir).where(detect.has_items(F.col("text"))).select("doc_id", "lang", "source")
 
 
 def clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    flagged = docs.where(detect.has_items(F.col("text"))).select("doc_id")
-    return docs.select("doc_id", "lang", "source").join(flagged, "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    return _docs(spark, sf_dir).where(~detect.has_items(F.col("text"))).groupBy("lang").agg(F.count("*").alias("n_docs"))
 
 
 def no_pii_in_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +129,8 @@ QUERIES = {
 }
 
 _EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-_PHONE = r"(\+\d{1,3}[\s.-]?)?(\(?\d{2,4}\)?[\s.-]?)?\d{3,4}[\s.-]?\d{3,4}\b"
+SPACE_SQL = r"\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+_PHONE = rf"(\+\d{{1,3}}[{SPACE_SQL}.-]?)?(\(?\d{{2,4}}\)?[{SPACE_SQL}.-]?)?\d{{3,4}}[{SPACE_SQL}.-]?\d{{3,4}}\b"
 _CARD = r"\b(?:\d[ -]?){13,19}\b"
 _IP = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
 _EMAILS = f"""select {{id}}, 'EMAIL' as type, m as match,
@@ -163,7 +160,8 @@ def _all(**names: str) -> str:
     return " union all ".join(_over(s, **names) for s in (_EMAILS, _PHONES, _CARDS, _IPS))
 
 
-_LINES = "select doc_id, g - 1 as line, trim(split_part(text, chr(10), g::int)) as text from (select doc_id, text, unnest(range(1, length(text) - length(replace(text, chr(10), '')) + 2)) as g from documents) where trim(split_part(text, chr(10), g::int)) <> ''"
+_LINES = f"""select * from (select doc_id, g - 1 as line, regexp_replace(split_part(text, chr(10), g::int), '^[{SPACE_SQL}]+|[{SPACE_SQL}]+$', '', 'g') as text
+  from (select doc_id, text, unnest(range(1, length(text) - length(replace(text, chr(10), '')) + 2)) as g from documents)) where text <> ''"""
 _OFFSETS = " union all ".join(
     f"""select doc_id, '{k}' as type, (list_sum(list_transform(list_slice(gaps, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(ms, 1, i - 1), lambda x: length(x))), 0))::bigint as start, ms[i] as match
   from (select doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) as i from (select doc_id, regexp_extract_all(text, '{p}', 0) as ms, string_split_regex(text, '{p}') as gaps from documents))"""

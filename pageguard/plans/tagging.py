@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageguard.functions import masking
 from pageguard.operators import ner
+from pageguard.plans.pii import SPACE_SQL
 from pageguard.sources.tables import table
 
 _TYPE_SAMPLES = ["PERSON", "given_name", "Tel", "credit-card number", "IPV6", "IP_ADDRESS", "IBAN_CODE", "IMEI", "LOC", "org", "email address", "per", "URL", "", "Phone IMEI", "country"]
@@ -81,7 +82,24 @@ def wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_pieces", F.size("input_ids").cast("long").alias("n_inputs"), F.array_join("input_ids", ",").alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (ner_argmax, ner_confidence, bio_spans, bio_parse, entity_normalize, ner_items, basic_tokens, token_offsets, wordpiece)}
+def rule_model():
+    """A stand-in for the classifier: pieces of a consonant and `a` begin a person, continuing pieces go on with it."""
+    vocab = rule_vocabulary()
+    begins = {i for p, i in vocab.items() if len(p) == 2 and p[1] == "a"}
+    goes_on = {i for p, i in vocab.items() if p.startswith("##")}
+    person = 2 * ner.MODEL_TYPES.index("PERSON") + 1
+    rows = [[0.0] * 51 for _ in range(3)]
+    rows[0][0] = rows[1][person] = rows[2][person + 1] = 10.0
+    return lambda ids, masks, types: [[rows[1] if i in begins else rows[2] if i in goes_on else rows[0] for i in x] for x in ids]
+
+
+def ner_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of whole documents: tokens, pieces in overlapping chunks, labels of a model by rule, merged spans, masks."""
+    found = ner.text_items(table(spark, sf_dir, "documents"), "doc_id", "text", rule_vocabulary(), rule_model)
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+QUERIES = {f.__name__: f for f in (ner_argmax, ner_confidence, bio_spans, bio_parse, entity_normalize, ner_items, basic_tokens, token_offsets, wordpiece, ner_documents)}
 
 _TYPES = ", ".join(f"'{t}'" for t in ner.MODEL_TYPES)
 _BEST = "with l as (select vec_id, list_transform(embedding[1:51], lambda x: x::double * 40) as z from embeddings), b as (select vec_id, z, list_max(z) as m, list_position(z, list_max(z)) - 1 as k from l)"
@@ -90,7 +108,7 @@ _SPANS = f"""{_BEST}, t as (select vec_id // 20 as doc_id, vec_id % 20 as pos, k
   s as (select *, ok and (j % 2 = 1 or not coalesce(lag(ok) over w, false) or lag(kind) over w <> kind) as starts from a window w as (partition by doc_id order by pos)),
   g as (select *, sum(starts::int) over (partition by doc_id order by pos) as span from s),
   spans as (select doc_id, any_value(kind) as entity_type, min(pos) * 6 as start, max(pos) * 6 + 5 as "end", round(avg(c), 9) as confidence from g where ok group by doc_id, span)"""
-_TOK = r"[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+"
+_TOK = rf"[!-/:-@\[-`{{-~]|[^{SPACE_SQL}!-/:-@\[-`{{-~]+"
 _DETECTOR = ["NAME", "GIVEN_NAME", "PHONE", "CREDIT-CARD NUMBER", "IP_ADDRESS", "IP_ADDRESS", "IBAN_CODE", "IMEI", "LOC", "ORG", "EMAIL ADDRESS", "PER", "URL", "", "PHONE", "COUNTRY"]
 _DETECTOR[1], _DETECTOR[3] = "NAME", "CARD"
 _FIXED = ["NAME", "NAME", "PHONE", "CARD", "IP_ADDRESS", "IP_ADDRESS", "IBANCODE", "IMEI", "LOCATION", "ORGANIZATION", "EMAIL", "NAME", "URL", "UNKNOWN", "PHONE", "LOCATION"]
@@ -108,5 +126,5 @@ ORACLE_SQL = {
       case entity_type when 'AGE' then substr(text, start + 1, 1) || repeat('*', length(substr(text, start + 1, "end" - start)) - 1) else '[REDACTED]' end as masked from spans s join n on n.doc_id = s.doc_id""",
     "basic_tokens": f"select doc_id, coalesce(len(regexp_extract_all(text, '{_TOK}', 0)), 0)::bigint as n_tokens from documents",
     "token_offsets": f"""with t as (select doc_id, text, regexp_extract_all(text, '{_TOK}', 0) as ts from documents)
-      select doc_id, len(ts)::bigint as n_tokens, list_sum(list_transform(ts, lambda x: length(x)))::bigint as chars, length(regexp_replace(text, '\\s+$', ''))::bigint as last_end from t where len(ts) > 0""",
+      select doc_id, len(ts)::bigint as n_tokens, list_sum(list_transform(ts, lambda x: length(x)))::bigint as chars, length(regexp_replace(text, '[{SPACE_SQL}]+$', ''))::bigint as last_end from t where len(ts) > 0""",
 }

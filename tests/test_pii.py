@@ -1,13 +1,15 @@
 """Patterns, checksums, masks and redaction on hand-made values."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from pageguard.functions import masking, patterns, urls
-from pageguard.operators import detect
+from pageguard.operators import detect, ner
 from pageguard.plans import pii as plans
+from pageguard.plans import tagging
 
 
 def items_of(spark, *texts):
@@ -94,3 +96,76 @@ def test_values_on_later_lines_are_redacted(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in plans.redact_line_values(spark, str(tmp_path)).orderBy("doc_id", "line").collect()]
     assert got == [(1, 0, "nothing here"), (1, 1, "[REDACTED]"), (1, 3, "the end")]
+
+
+def test_places_of_many_hits(spark):
+    text = " ".join(f"{'é🙂' * (i % 3)}user{i}@example.com 10.0.{i % 256}.1" for i in range(300))
+    rows = detect.offsets(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "none")], "id long, text string"), "id", "text").collect()
+    mails = sorted((r["start"], r["match"]) for r in rows if r["type"] == "EMAIL")
+    assert mails == [(m.start(), m.group()) for m in re.finditer(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", text)]
+    assert all(text[r["start"] :].startswith(r["match"]) for r in rows) and {r["id"] for r in rows} == {1}
+
+
+def test_white_space_of_all_kinds(spark):
+    rows = spark.createDataFrame([("a\u00a0b c\u3000d",), ("\ufeffx",)], "t string")
+    assert [r[0] for r in rows.select(ner.tokens(F.col("t"))).collect()] == [["a", "b", "c", "d"], ["x"]]
+    assert [(r["token"], r["begin"], r["end"]) for r in ner.token_table(rows, "t", "t").collect()] == [("a", 0, 1), ("b", 2, 3), ("c", 4, 5), ("d", 6, 7), ("x", 1, 2)]
+    one = spark.createDataFrame([("\u00a0Ann\u00a0Lee\u2003", "given\u00a0name")], "v string, k string")
+    assert one.select(detect.bare_name(F.lit("Name"), F.col("v"), F.lit(False)), ner.normalize_type(F.col("k"))).first()[:] == (True, "NAME")
+
+
+def test_absolute_urls_are_normalised(spark):
+    cases = {
+        " HTTPS://Example.COM:443/a/../b/./c?x=/../y#z ": "https://example.com/b/c?x=/../y#z",
+        "http://h.org:80": "http://h.org/",
+        "http://h.org:8080/a/b/..": "http://h.org:8080/a/",
+        "http://h.org/../../a/%2E%2e/q/.": "http://h.org/q/",
+        "mailto:A@b": "mailto:A@b",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "u string")
+    assert [r[0] for r in df.select(urls.normalised(F.col("u"))).collect()] == list(cases.values())
+
+
+def test_items_of_whole_texts_by_chunks(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abtiou") for _ in range(rng.randint(1, 7)))
+    texts = [" ".join(rng.choice([word(), word().upper(), "é", "!", "\u00a0x"]) for _ in range(n)) for n in (0, 3, 200, 900)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocab = tagging.rule_vocabulary()
+    got = sorted((r["doc_id"], r["start"], r["end"], r["match"]) for r in ner.text_items(df, "doc_id", "text", vocab, tagging.rule_model).collect())
+    want = []
+    for i, text in enumerate(texts):
+        open_ = None
+        for m in re.finditer(r"[!-/:-@\[-`{-~]|[^\s!-/:-@\[-`{-~]+", text or ""):
+            at = m.start()
+            for piece in ner.word_pieces(m.group().lower(), vocab):
+                size = len(m.group()) if piece == "[UNK]" else len(piece.removeprefix("##"))
+                begins, goes_on = len(piece) == 2 and piece[1] == "a", piece.startswith("##")
+                if goes_on and open_:
+                    open_[1] = at + size
+                elif begins or goes_on:
+                    want += [open_] if open_ else []
+                    open_ = [at, at + size, i]
+                else:
+                    want += [open_] if open_ else []
+                    open_ = None
+                at += size
+        want += [open_] if open_ else []
+    assert got == sorted((i, a, b, texts[i][a:b]) for a, b, i in want) and len(got) > 300
+    long = ner.encode_chunks(df, "doc_id", "text", vocab).where("doc_id = 3").collect()
+    assert len(long) > 4 and max(len(r["input_ids"]) for r in long) == 256
+
+
+def test_long_words_and_failing_models(spark):
+    vocab = {"[UNK]": 0, "a": 1, "##a": 2, "##aa": 3, "[CLS]": 4, "[SEP]": 5}
+    assert len(ner.word_pieces("a" * 200_001, vocab)) == 100_001 and ner.word_pieces("a" * 50_000 + "b", vocab) == ["[UNK]"]
+    df = spark.createDataFrame([(1, "a aa")], "doc_id long, text string")
+
+    def broken():
+        def model(*_):
+            raise ValueError("no weights")
+
+        return model
+
+    rows = ner.label_chunks(ner.encode_chunks(df, "doc_id", "text", vocab), "doc_id", broken).collect()
+    assert rows[0]["ner_status"] == "failed: no weights" and ner.text_items(df, "doc_id", "text", vocab, broken).count() == 0
