@@ -62,6 +62,12 @@ def masked_url(url: Column) -> Column:
     return F.concat(head, F.when(bare, F.lit("/")).otherwise(F.lit("")), F.lit("?..."))
 
 
+def data_url_of(screenshot: Column) -> Column:
+    """The data URL of a screenshot message: the text itself, or the first of the known keys of a JSON object."""
+    keys = ("dataUrl", "dataURL", "image", "screenshot")
+    return F.when(F.startswith(F.ltrim(screenshot), F.lit("{")), F.coalesce(*[F.get_json_object(screenshot, f"$.{k}") for k in keys])).otherwise(screenshot)
+
+
 def data_url_parts(url: Column) -> tuple[Column, Column]:
     """MIME type and bytes of an image data URL; nulls for anything else."""
     ok = F.startswith(url, F.lit("data:image/")) & F.contains(url, F.lit(","))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageguard.functions.patterns import LOG_KEYS, REDACTED
 
@@ -107,13 +111,31 @@ def scroll_delta(direction: Column, amount: int = SCROLL_BY) -> Column:
     return F.when(direction == "up", -amount).when(direction == "down", amount).otherwise(0)
 
 
+HIDDEN = "[omitted-by-logger]"
+
+
 def scrub(obj: object) -> object:
     """obj with the values of sensitive keys replaced, at any depth."""
     if isinstance(obj, dict):
-        return {k: "[omitted-by-logger]" if k in LOG_KEYS else scrub(v) for k, v in obj.items()}
+        return {k: HIDDEN if k in LOG_KEYS else scrub(v) for k, v in obj.items()}
     return [scrub(x) for x in obj] if isinstance(obj, list) else obj
 
 
+@F.pandas_udf(T.StringType())
+def scrub_json(objects: pd.Series) -> pd.Series:
+    """JSON texts with the values of sensitive keys replaced, at any depth; what is no JSON is hidden as a whole."""
+
+    def clean(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(scrub(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return HIDDEN
+
+    return objects.map(clean)
+
+
 def verb_state(verb: Column) -> Column:
     """The state that a controller's verb leads to; null for an unknown verb."""
     return F.create_map(*[F.lit(x) for pair in VERB_STATES.items() for x in pair])[verb]
@@ -130,7 +152,9 @@ def submitted(inputs: Column, values: Column) -> Column:
     return F.map_from_entries(F.zip_with(inputs, values, lambda i, v: F.struct(i["name"], v)))
 
 
-def merge_answers(answers: DataFrame, task: str, order: str, key: str, value: str) -> DataFrame:
-    """task and info: a map of the last answer to each key."""
+def merge_answers(answers: DataFrame, task: str, order: str, key: str, value: str, wipes: DataFrame | None = None) -> DataFrame:
+    """task and info: a map of the last answer to each key. wipes: task and order of completions and resets, which answers before do not outlive."""
+    if wipes is not None:
+        answers = answers.join(wipes.groupBy(task).agg(F.max(order).alias("_wiped")), task, "left").where(F.col("_wiped").isNull() | (F.col(order) > F.col("_wiped"))).drop("_wiped")
     last = answers.groupBy(task, key).agg(F.max_by(value, order).alias("v"))
     return last.groupBy(task).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "v")))).alias("info"))

@@ -6,6 +6,8 @@ where there is one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,25 +150,44 @@ def resolve_again(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("page_id", "selector", F.col("node_id").alias("old_node")).join(first, ["page_id", "selector"], "left")
 
 
-def sensitive_items(pages: DataFrame, nodes: DataFrame, elements_: DataFrame, runs: DataFrame) -> DataFrame:
-    """page_id, type, masked, confidence, element_id: of text runs, of links' URLs, and of form values."""
+def sensitive_items(pages: DataFrame, nodes: DataFrame, elements_: DataFrame, runs: DataFrame, tagger: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """page_id, type, masked, confidence, element_id: of text runs, of links' URLs, and of form values.
+
+    tagger: from rows of id and text to ner.text_items's rows. Its items join those of the patterns, and a value in which
+    it has seen a name is not taken for a bare one again.
+    """
     of_text = runs.select("page_id", "element_id", F.explode(detect.items(F.col("text"))).alias("i")).select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
     links = elements_.where("href is not null").join(pages.select("page_id", "url"), "page_id").select("page_id", "element_id", detect.url_item(F.col("href"), F.col("url")).alias("i")).where("i is not null")
     of_links = links.select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
     label = F.coalesce(F.nullif("aria_label", F.lit("")), F.nullif("placeholder", F.lit("")), F.lit(""))
     found = detect.items(F.col("raw_value"))
-    name = F.struct(F.lit("NAME").alias("type"), F.lit("").alias("match"), masking.mask_name(F.trim("raw_value")).alias("masked"), F.lit(patterns.CONFIDENCE["NAME"]).alias("confidence"))
-    named = detect.bare_name(label, F.col("raw_value"), F.lit(False))
-    values = F.concat(found, F.when(named, F.array(name)).otherwise(F.filter(F.array(name), lambda _: F.lit(False))))
-    of_values = elements_.where("raw_value is not null").select("page_id", "element_id", F.explode(values).alias("i")).select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
+    name = F.struct(F.lit("NAME").alias("type"), F.lit("").alias("match"), masking.mask_name(patterns.trim(F.col("raw_value"))).alias("masked"), F.lit(patterns.CONFIDENCE["NAME"]).alias("confidence"))
+    values_of = elements_.where("raw_value is not null")
+    none = F.array().cast("array<struct<type:string,match:string,masked:string,confidence:double>>")
+    tagged = lambda df: df.withColumn("_tagged", none)
+    if tagger is not None:
+        key = F.concat_ws(":", F.col("page_id").cast("string"), F.col("node_id").cast("string"))
+
+        def tagged(df: DataFrame) -> DataFrame:
+            text = "text" if "lead_ws" in df.columns else "raw_value"
+            own = df.withColumn("_id", key)
+            hits = tagger(own.select(F.col("_id").alias("id"), F.col(text).alias("text")))
+            hits = hits.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("type", "match", "masked", F.col("confidence").cast("double").alias("confidence")))).alias("_tagged"))
+            return own.join(hits, "_id", "left").withColumn("_tagged", F.coalesce("_tagged", none)).drop("_id")
+
+    runs, values_of = tagged(runs), tagged(values_of)
+    of_text = of_text if tagger is None else of_text.unionByName(runs.select("page_id", "element_id", F.explode("_tagged").alias("i")).select("page_id", "i.type", "i.masked", "i.confidence", "element_id"))
+    named = detect.bare_name(label, F.col("raw_value"), F.exists("_tagged", lambda i: i["type"] == "NAME"))
+    values = F.concat(found, F.col("_tagged"), F.when(named, F.array(name)).otherwise(F.filter(F.array(name), lambda _: F.lit(False))))
+    of_values = values_of.select("page_id", "element_id", F.explode(values).alias("i")).select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
     return of_text.unionByName(of_links).unionByName(of_values)
 
 
-def extraction(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+def extraction(pages: DataFrame, nodes: DataFrame, tagger: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per page: url, elements, visible_text and sensitive_items as arrays, and their counts."""
     el = elements(nodes)
     runs = runs_with_elements(text_runs(nodes), el)
-    items = sensitive_items(pages, nodes, el, runs)
+    items = sensitive_items(pages, nodes, el, runs, tagger)
     listed = lambda df, name, *cols: df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
     shown = runs.withColumn("text", detect.redact_line(F.col("text")))
     out = pages.select("page_id", "url").join(listed(el, "elements", "element_id", "type", "text", "placeholder", "value", "href", "enabled"), "page_id", "left")

@@ -14,24 +14,33 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+_KEPT: list[DataFrame] = []
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The node table, kept (on disk where memory is short), since most plans read it several times and parsing is the costly part."""
-    return html.nodes(_pages(spark, sf_dir)).persist()
+    """The node table, kept (on disk where memory is short) for plans that read it several times; the one kept before is given up.
+
+    A plan over a table that is no longer kept parses again, with the same result.
+    """
+    while _KEPT:
+        _KEPT.pop().unpersist()
+    _KEPT.append(html.nodes(_pages(spark, sf_dir)).persist())
+    return _KEPT[0]
 
 
 def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _nodes(spark, sf_dir)
+    n = html.nodes(_pages(spark, sf_dir))
     return n.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.sum((F.col("kind") == "text").cast("long")).alias("n_text"), F.max(F.size("path")).cast("long").alias("depth"))
 
 
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements by tag, for tags that pages never close by implication."""
-    return _nodes(spark, sf_dir).where(F.col("tag").isin("a", "article", "nav", "ul", "title", "script", "h1", "br")).groupBy("tag").agg(F.count("*").alias("n"))
+    return html.nodes(_pages(spark, sf_dir)).where(F.col("tag").isin("a", "article", "nav", "ul", "title", "script", "h1", "br")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def all_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements by tag, every tag of the node table."""
-    return _nodes(spark, sf_dir).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n"))
+    return html.nodes(_pages(spark, sf_dir)).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,9 +106,7 @@ def scrub_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties with some sensitive keys added, scrubbed by name."""
     props = _events(spark, sf_dir).select("event_id", F.from_json("props", T.StructType([T.StructField("k", T.LongType())])).alias("p"), "event_type")
     raw = F.struct(F.col("p.k").alias("k"), F.col("event_type").alias("name"), F.struct(F.lit("a@b.co").alias("email"), F.col("event_type").alias("kind")).alias("inner"))
-    hidden = F.lit("[omitted-by-logger]")
-    clean = raw.withField("name", hidden).withField("inner.email", hidden)
-    return props.select("event_id", F.to_json(clean).alias("logged"))
+    return props.select("event_id", agent.scrub_json(F.to_json(raw)).alias("logged"))
 
 
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from pageguard.functions import urls
 from pageguard.operators import agent, boxes, ner
 from pageguard.streaming import sessions
 
@@ -79,3 +80,22 @@ def test_checks_fold_batch_by_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/steps")
     got = sorted(tuple(r) for r in sessions.run_checks(stream).collect())
     assert got == [(1, "EXECUTING", 1, 4), (2, "TASK_RECEIVED", 0, 1), (3, "TASK_RECEIVED", 0, 1)]
+
+
+def test_scrubbed_json(spark):
+    rows = {'{"a":[{"email":"x@y.z","n":1}],"value":{"b":2}}': '{"a":[{"email":"[omitted-by-logger]","n":1}],"value":"[omitted-by-logger]"}', "[1,\"ü\"]": "[1,\"ü\"]", "not json": agent.HIDDEN, None: None}
+    df = spark.createDataFrame([(k,) for k in rows], "t string")
+    assert [r[0] for r in df.select(agent.scrub_json(F.col("t"))).collect()] == list(rows.values())
+
+
+def test_answers_do_not_outlive_a_completion(spark):
+    answers = spark.createDataFrame([(1, 1, "name", "old"), (1, 5, "city", "new"), (2, 1, "name", "kept")], "task int, at int, k string, v string")
+    wipes = spark.createDataFrame([(1, 2), (1, 3), (3, 9)], "task int, at int")
+    assert {r["task"]: r["info"] for r in agent.merge_answers(answers, "task", "at", "k", "v", wipes).collect()} == {1: {"city": "new"}, 2: {"name": "kept"}}
+
+
+def test_screenshot_messages(spark):
+    url = "data:image/png;base64,QUJD"
+    rows = [url, f'{{"dataURL": "{url}"}}', f'{{"image": "{url}", "dataUrl": null}}', '{"other": 1}', None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r[0] for r in df.select(urls.data_url_of(F.col("t"))).collect()] == [url, url, url, None, None]

@@ -1,5 +1,7 @@
 """Node trees, elements, runs and selectors of small pages."""
 
+from pyspark.sql import functions as F
+
 from pageguard.operators import page
 from pageguard.plans import pages as plans
 from pageguard.sources import html
@@ -65,3 +67,20 @@ def test_every_tag_is_counted(spark, tmp_path):
     spark.createDataFrame([(1, "u", small), (2, "u", "<p>x<br>"), (3, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["tag"]: r["n"] for r in plans.all_tag_counts(spark, str(tmp_path)).collect()}
     assert got == {"p": 3, "ul": 1, "li": 2, "table": 1, "tr": 2, "td": 3, "div": 1, "span": 1, "a": 1, "br": 1}
+
+
+def test_tagged_items_of_runs_and_values(spark):
+    text = "<p>hello ann lee</p><input aria-label='Full name' value='Bob Ray'><input aria-label='Guest' value='Cy Poe'>"
+    pages = spark.createDataFrame([(1, "http://a/", text)], "page_id long, url string, html string")
+    nodes = html.nodes(pages)
+
+    def tagger(df):
+        hits = df.where("text like '%ann lee%' or text = 'Bob Ray'")
+        return hits.select("id", F.lit("NAME").alias("type"), F.lit("x").alias("match"), F.lit("tagged").alias("masked"), F.lit(0.9).alias("confidence"))
+
+    el = page.elements(nodes)
+    runs = page.runs_with_elements(page.text_runs(nodes), el)
+    got = sorted((r["masked"], r["confidence"]) for r in page.sensitive_items(pages, nodes, el, runs, tagger).collect())
+    plain = sorted((r["masked"], r["confidence"]) for r in page.sensitive_items(pages, nodes, el, runs).collect())
+    assert got == [("C*****", 0.6), ("tagged", 0.9), ("tagged", 0.9)]
+    assert plain == [("B******", 0.6), ("C*****", 0.6)]
