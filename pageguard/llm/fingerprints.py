@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,12 +98,13 @@ def _compared(ids: list, texts: list[str], prints: list[str], next_texts: list[s
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over one sorted range: results of all rows but the last, and the first and last rows themselves, for their neighbours."""
     last: tuple | None = None
-    names = [n for n, _ in _OUT] + ["edge", "edge_text"]
+    names = [n for n, _ in _OUT] + ["edge", "part", "edge_text"]
+    part = TaskContext.get().partitionId()
 
     def batch_of(cols: list, edge: str | None, texts: list | None) -> pa.RecordBatch:
         n = len(cols[0])
         arrays = [pa.array(c, t) for c, (_, t) in zip(cols, _OUT)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array([edge] * n, pa.string()), pa.array(texts or [None] * n, pa.string())], names=names)
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([edge] * n, pa.string()), pa.array([part] * n, pa.int32()), pa.array(texts or [None] * n, pa.string())], names=names)
 
     def edge_row(row: tuple, edge: str) -> pa.RecordBatch:
         return batch_of([[row[0]], [len(row[1])], [None], [row[2]], [None], [None], [None]], edge, [row[1]])
@@ -142,17 +144,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Fingerprints of every text and of its edited text, compared with each other and with the next document's.
 
     Texts are shuffled once, into ranges of ids. Inside a range a row's next one follows it; only the first and last row
-    of each range are kept back, written with the results, and matched across ranges (two rows for each partition).
-    Rows with equal ids follow one another by text, a null id comes first.
+    of each range are kept back, written with the results, and matched across ranges: the ranges are put in order by
+    number and first id alone, and the last row of each is joined with the first one of the next.
+    Rows with equal ids lie in one range and follow one another by text, a null id comes first.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = materialize(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(_ranges), f"{_SCHEMA}, edge string, edge_text string"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("edge_text"), F.col("edge")]
-    # At most two rows for each partition, whatever the input: an ordering over all of them is small.
-    w = Window.partitionBy().orderBy(*order)
+    made = materialize(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(_ranges), f"{_SCHEMA}, edge string, part int, edge_text string"))
+    # One short row for each range, whatever the input: an ordering over all of them is small.
+    w = Window.partitionBy().orderBy(F.col("doc_id").asc_nulls_first())
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edge = made.where("edge is not null")
-    following = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
-    pairs = edge.select("doc_id", F.col("edge_text").alias("text"), "fingerprint", "edge", following("edge_text").alias("next_text"), following("fingerprint").alias("next_fingerprint"))
-    ends = pairs.where("edge = 'last'").drop("edge").mapInArrow(tidy(_edges), _SCHEMA)
-    return made.where("edge is null").drop("edge", "edge_text").unionByName(ends)
+    following = materialize(made.where("edge = 'first'").select("doc_id", "part").select("part", F.coalesce(F.lead("part").over(w), F.first("part").over(whole)).alias("next_part")))
+    first = made.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("edge_text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
+    last = made.where("edge = 'last'").select("doc_id", F.col("edge_text").alias("text"), "fingerprint", "part")
+    pairs = last.join(following, "part").join(first, "next_part").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
+    ends = pairs.mapInArrow(tidy(_edges), _SCHEMA)
+    return made.where("edge is null").drop("edge", "part", "edge_text").unionByName(ends)
