@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from pageguard.functions.patterns import LOG_KEYS, REDACTED
 
 MOST_STEPS = 15
 SCROLL_BY = 400
+#: What a backend may ask for; all but the last need an element of the page.
+ACTIONS = ["click", "type", "select", "scroll"]
 
 # The states that may follow each state. ERROR may follow any.
 NEXT_STATES = {
@@ -107,6 +110,44 @@ def action_outcome(action: Column, tag: Column, visible: Column) -> Column:
     )
 
 
+Backend = Callable[[pd.DataFrame], pd.DataFrame]
+DECISION = "action string, element_id long, value string"
+
+
+def decisions(payloads: DataFrame, elements: DataFrame, task: str, backend: Backend | None = None) -> DataFrame:
+    """What a backend decides for each task: action, element_id, value, and reason (null: may be carried out).
+
+    backend maps frames of (task, payload), payloads being redacted ones, to frames of (task, action, element_id, value);
+    it is called once for each Arrow batch. Without one every task has the reason "no backend". Actions outside ACTIONS
+    and elements that the task's page does not have are refused, as are answers for tasks that were not asked about and
+    tasks that a backend leaves out or answers twice. Works on batches and on streams of payloads.
+    """
+    asked = payloads.select(F.col(task).alias("task"), "payload")
+    kind = asked.schema["task"].dataType.simpleString()
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["action", "element_id", "value"]
+        for batch in batches:
+            if backend is None:
+                yield batch[["task"]].assign(action=None, element_id=None, value=None, n=-1)
+                continue
+            made = backend(batch).reindex(columns=["task", *names])
+            n = made.groupby("task").size()
+            first = made.drop_duplicates("task").set_index("task")
+            out = batch[["task"]].join(first, on="task")
+            yield out.assign(element_id=out["element_id"].astype("Int64"), n=out["task"].map(n).fillna(0).astype(int))
+
+    got = asked.mapInPandas(ask, f"task {kind}, {DECISION}, n int")
+    known = elements.select(F.col(task).alias("task"), "element_id").distinct().withColumn("known", F.lit(True))
+    no_element = F.col("known").isNull() & ((F.col("action") != "scroll") | F.col("element_id").isNotNull())
+    reason = (
+        F.when(F.col("n") < 0, "no backend").when(F.col("n") == 0, "no decision").when(F.col("n") > 1, "several decisions")
+        .when(~F.coalesce(F.col("action").isin(ACTIONS), F.lit(False)), "unknown action").when(no_element, "unknown element")
+    )
+    out = got.join(known, ["task", "element_id"], "left")
+    return out.select(F.col("task").alias(task), "action", "element_id", "value", reason.alias("reason"))
+
+
 def scroll_delta(direction: Column, amount: int = SCROLL_BY) -> Column:
     return F.when(direction == "up", -amount).when(direction == "down", amount).otherwise(0)
 

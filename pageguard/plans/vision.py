@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pageguard.functions.geometry import Rect, clamp, drawable, face_pixels, in_viewport, legacy_face_pixels, pad, scale, to_screenshot
 from pageguard.functions.patterns import js_round
 from pageguard.operators import boxes
-from pageguard.operators.layout import topmost
+from pageguard.operators.layout import on_screenshots, topmost
 from pageguard.sources.tables import table
 
 VIEW_W, VIEW_H, IMAGE_W, IMAGE_H = 1280.0, 720.0, 1920.0, 1080.0
@@ -47,6 +47,15 @@ def map_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rects(spark, sf_dir).select("p_partkey", r.struct().alias("m")).where(drawable(Rect.of("m"))).select("p_partkey", *_flat(Rect.of("m")))
 
 
+def screenshot_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of pages in their screenshots, by tables of viewports and of images; one page in seven has no image."""
+    pages = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page"))
+    views = pages.select("page", (960 + F.col("page") * 32).alias("width"), (540 + F.col("page") * 18).alias("height"))
+    images = pages.where("page % 7 != 3").select("page", ((960 + F.col("page") * 32) * (1 + F.col("page") % 3)).alias("width"), ((540 + F.col("page") * 18) * (1 + F.col("page") % 2)).alias("height"))
+    rects = _rects(spark, sf_dir).withColumn("page", (F.col("p_partkey") % 27).cast("long"))
+    return on_screenshots(rects, views, images, "page").select("p_partkey", "page", "visible", *_flat(Rect.of("m")))
+
+
 def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     cols = {"x": k * 7919 % 100000 / 50.0, "y": k * 104729 % 100000 / 90.0, "width": F.col("p_size") * 1.7, "height": F.col("p_size") * 2.3}
@@ -98,7 +107,7 @@ def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topmost(_boxes(spark, sf_dir).withColumnRenamed("i", "z"), "image_id", "z", VIEW_W, VIEW_H)
 
 
-QUERIES = {f.__name__: f for f in (viewport_filter, geometry, map_boxes, face_boxes, face_boxes_legacy, redaction_boxes, rounded_boxes, iou_pairs, nms_boxes, yunet_decode, hit_test)}
+QUERIES = {f.__name__: f for f in (viewport_filter, geometry, map_boxes, screenshot_boxes, face_boxes, face_boxes_legacy, redaction_boxes, rounded_boxes, iou_pairs, nms_boxes, yunet_decode, hit_test)}
 
 _RECTS = "rects as (select p_partkey, (p_partkey * 37 % 1600 - 150)::double as x, (p_partkey * 53 % 1000 - 120)::double as y, (p_size * 3 % 140 - 5)::double as w, (p_partkey % 90 - 2)::double as h from part)"
 _FACES = "faces as (select p_partkey, p_partkey * 7919 % 100000 / 50.0::double as x, p_partkey * 104729 % 100000 / 90.0::double as y, p_size * 1.7::double as w, p_size * 2.3::double as h from part)"

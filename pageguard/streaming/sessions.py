@@ -6,11 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageguard.operators.agent import STATES, allowed
+from pageguard.operators.agent import STATES, Backend, allowed, decisions
 
 WATERMARK = "10 minutes"
 
@@ -59,25 +60,39 @@ def debounced_stream(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
     return _finish(debounce(event_stream(spark, sf_dir), "user_id", gap))
 
 
-def check_transitions(steps: DataFrame, known: DataFrame) -> DataFrame:
-    """Each task's state and counts after these steps (user_id, ts, event_id, state), from known ones of the same columns.
+def transitions(steps: DataFrame, known: DataFrame) -> DataFrame:
+    """steps (user_id, ts, event_id, state) with each one's previous state and whether it may follow it.
 
-    Steps are sorted and counted by Spark: nothing gathers a task's rows. A task that was completed starts anew.
+    known holds the states before these steps, as check_transitions gives them. A task that was completed starts anew.
+    Steps are sorted by Spark: nothing gathers a task's rows.
     """
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     before = known.where("state != 'COMPLETED'").select("user_id", F.col("state").alias("was"), F.col("n_invalid").alias("bad"), F.col("n_steps").alias("seen"))
     after = steps.select("*", F.lag("state").over(w).alias("previous")).join(before, "user_id", "left")
-    valid = allowed(F.coalesce("previous", "was", F.lit("IDLE")), F.col("state"), False)
+    after = after.withColumn("previous", F.coalesce("previous", "was", F.lit("IDLE")))
+    return after.withColumn("valid", allowed(F.col("previous"), F.col("state"), False))
+
+
+def check_transitions(steps: DataFrame, known: DataFrame) -> DataFrame:
+    """Each task's state and counts after these steps, from known ones of the same columns."""
     at = F.max_by("state", F.struct("ts", "event_id")).alias("state")
     plus = lambda c: F.coalesce(F.max(c), F.lit(0))
-    return after.groupBy("user_id").agg(at, (plus("bad") + F.count_if(~valid)).alias("n_invalid"), (plus("seen") + F.count("*")).alias("n_steps"))
+    n_invalid, n_steps = (plus("bad") + F.count_if(~F.col("valid"))).alias("n_invalid"), (plus("seen") + F.count("*")).alias("n_steps")
+    return transitions(steps, known).groupBy("user_id").agg(at, n_invalid, n_steps)
 
 
 _CHECKED = "user_id long, state string, n_invalid long, n_steps long"
 
 
-def run_checks(steps: DataFrame) -> DataFrame:
-    """The last state and counts of every task of a stream of steps."""
+Listener = Callable[[DataFrame], None]
+
+
+def run_checks(steps: DataFrame, listeners: tuple[Listener, ...] = ()) -> DataFrame:
+    """The last state and counts of every task of a stream of steps.
+
+    Listeners get the valid changes (user_id, ts, event_id, previous, state) of each micro-batch as a DataFrame, in the
+    order in which they are given; invalid ones are counted only. A batch that is run again reaches them again.
+    """
     spark, at = steps.sparkSession, _run_folder(steps.sparkSession)
     done: list[int] = []
 
@@ -86,6 +101,9 @@ def run_checks(steps: DataFrame) -> DataFrame:
         known = own.read.schema(_CHECKED).parquet(f"{at}/states/{done[-1]}") if done else own.createDataFrame([], _CHECKED)
         new = check_transitions(batch, known)
         new.unionByName(known.join(new.select("user_id"), "user_id", "left_anti")).write.mode("overwrite").parquet(f"{at}/states/{n}")
+        changed = transitions(batch, known).where("valid").select("user_id", "ts", "event_id", "previous", "state")
+        for tell in listeners:
+            tell(changed)
         done.append(n)
 
     steps.writeStream.foreachBatch(fold).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -97,6 +115,11 @@ def checked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_checks(event_stream(spark, sf_dir).select("user_id", "ts", "event_id", state.alias("state")))
 
 
+def decided_stream(payloads: DataFrame, elements: DataFrame, task: str, backend: Backend) -> DataFrame:
+    """A backend's decisions on a stream of payloads, against a table of the pages' elements."""
+    return _finish(decisions(payloads, elements, task, backend))
+
+
 def latest(events: DataFrame, key: str) -> DataFrame:
     """The last event of each key; on a stream, in update or complete mode."""
     return events.groupBy(key).agg(F.max_by(F.struct("event_id", "event_type", "value"), "ts").alias("last")).select(key, "last.*")

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from pageguard.functions import urls
-from pageguard.operators import agent, boxes, ner
+from pageguard.operators import agent, boxes, layout, ner
 from pageguard.streaming import sessions
 
 
@@ -99,3 +99,38 @@ def test_screenshot_messages(spark):
     rows = [url, f'{{"dataURL": "{url}"}}', f'{{"image": "{url}", "dataUrl": null}}', '{"other": 1}', None]
     df = spark.createDataFrame([(r,) for r in rows], "t string")
     assert [r[0] for r in df.select(urls.data_url_of(F.col("t"))).collect()] == [url, url, url, None, None]
+
+
+def test_listeners_hear_valid_changes(spark, tmp_path):
+    schema = "user_id long, ts long, event_id long, state string"
+    for i, (user, state) in enumerate([(1, "TASK_RECEIVED"), (1, "PAGE_ANALYSIS"), (2, "EXECUTING"), (1, "ERROR")]):
+        spark.createDataFrame([(user, i, i, state)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/steps")
+    heard = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/steps")
+    sessions.run_checks(stream, (lambda df: heard.extend((r["user_id"], r["previous"], r["state"]) for r in df.collect()),))
+    assert heard == [(1, "IDLE", "TASK_RECEIVED"), (1, "TASK_RECEIVED", "PAGE_ANALYSIS"), (1, "PAGE_ANALYSIS", "ERROR")]
+
+
+def _backend(frame):
+    """Answers by rule: the payload is the action, task 6 is left out and task 7 answered twice."""
+    out = frame[frame["task"] != 6].assign(action=frame["payload"], value=None)
+    out["element_id"] = out["task"].map({1: 10, 2: 99, 3: None, 4: 10, 5: None, 7: 10})
+    return out.loc[out.index.repeat((out["task"] == 7) + 1)]
+
+
+def test_backend_decisions(spark, tmp_path):
+    asks = [(1, "click"), (2, "click"), (3, "scroll"), (4, "eval"), (5, "type"), (6, "click"), (7, "click")]
+    payloads = spark.createDataFrame(asks, "task long, payload string")
+    elements = spark.createDataFrame([(t, 10) for t in range(1, 8)], "task long, element_id long")
+    want = {1: None, 2: "unknown element", 3: None, 4: "unknown action", 5: "unknown element", 6: "no decision", 7: "several decisions"}
+    assert {r["task"]: r["reason"] for r in agent.decisions(payloads, elements, "task", _backend).collect()} == want
+    assert {r["reason"] for r in agent.decisions(payloads, elements, "task").collect()} == {"no backend"}
+    payloads.write.parquet(f"{tmp_path}/asks")
+    stream = spark.readStream.schema(payloads.schema).parquet(f"{tmp_path}/asks")
+    assert {r["task"]: r["reason"] for r in sessions.decided_stream(stream, elements, "task", _backend).collect()} == want
+
+
+def test_top_box_beyond_the_viewport(spark):
+    rows = [(1, 1, 10.0, 10.0, 20.0, 20.0), (1, 2, -1e9, -1e9, 2e9, 2e9), (1, 3, 5000.0, 5000.0, 10.0, 10.0)]
+    df = spark.createDataFrame(rows, "page long, z long, x double, y double, width double, height double")
+    assert sorted(tuple(r) for r in layout.topmost(df, "page", "z", 1280.0, 720.0).collect()) == [(1, 1, 2, False), (1, 2, 2, True), (1, 3, 2, False)]
