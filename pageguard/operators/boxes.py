@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,22 +13,33 @@ SCORE_THRESHOLD = 0.50
 NMS_THRESHOLD = 0.30
 TOP_K = 5000
 MODEL_SIZE = 640
+#: How much larger the grid's cells are from scale to scale.
+FACTOR = 16
 
 
 def overlapping_pairs(boxes: DataFrame, group: str, threshold: float = NMS_THRESHOLD, cell: int = 128) -> DataFrame:
     """group, a, b, iou of pairs of boxes i < j of a group with at least this overlap.
 
     boxes: group, i, x, y, width, height. Boxes are dealt to the grid cells that they touch and joined on the cell; a pair
-    counts in the cell of the corner where its intersection begins, so it is found once.
+    counts in the cell of the corner where its intersection begins, so it is found once. Cells are FACTOR times wider (or
+    higher) at each scale, and a box spans at most FACTOR + 1 of them at its own, however large it is. Where boxes overlap
+    by the threshold, neither is more than 1 / threshold times wider or higher than the other: each is dealt to the scales
+    of its possible partners too, and a pair counts at the larger one's.
     """
-    steps = lambda low, size: F.sequence(F.floor(low / cell), F.floor((low + size) / cell))
-    dealt = boxes.where("width > 0 and height > 0").withColumn("cx", F.explode(steps(F.col("x"), F.col("width")))).withColumn("cy", F.explode(steps(F.col("y"), F.col("height"))))
-    keys = [group, "cx", "cy"]
+    most = 1.001 / max(threshold, 1e-9)
+    own = lambda size: F.greatest(F.lit(0), F.ceil(F.log(size / cell) / math.log(FACTOR)) - 1).cast("int")
+    scales = lambda size: F.explode(F.sequence(own(size), own(size * most)))
+    place = lambda v, k: F.floor(v / (cell * F.pow(F.lit(float(FACTOR)), k)))
+    steps = lambda low, size, k: F.explode(F.sequence(place(low, k), place(low + size, k)))
+    dealt = boxes.where("width > 0 and height > 0").withColumn("kx", scales(F.col("width"))).withColumn("ky", scales(F.col("height")))
+    dealt = dealt.withColumn("cx", steps(F.col("x"), F.col("width"), F.col("kx"))).withColumn("cy", steps(F.col("y"), F.col("height"), F.col("ky")))
+    keys = [group, "kx", "ky", "cx", "cy"]
     left = dealt.select(*keys, F.col("i").alias("a"), F.struct("x", "y", "width", "height").alias("p"))
     right = dealt.select(*keys, F.col("i").alias("b"), F.struct("x", "y", "width", "height").alias("q"))
-    begins = (F.floor(F.greatest("p.x", "q.x") / cell) == F.col("cx")) & (F.floor(F.greatest("p.y", "q.y") / cell) == F.col("cy"))
+    begins = (place(F.greatest("p.x", "q.x"), F.col("kx")) == F.col("cx")) & (place(F.greatest("p.y", "q.y"), F.col("ky")) == F.col("cy"))
+    larger = (own(F.greatest("p.width", "q.width")) == F.col("kx")) & (own(F.greatest("p.height", "q.height")) == F.col("ky"))
     share = iou(Rect.of("p"), Rect.of("q"))
-    return left.join(right, keys).where("a < b").where(begins).select(group, "a", "b", share.alias("iou")).where(F.col("iou") >= threshold)
+    return left.join(right, keys).where("a < b").where(begins & larger).select(group, "a", "b", share.alias("iou")).where(F.col("iou") >= threshold)
 
 
 def suppress(boxes: DataFrame, group: str, threshold: float = NMS_THRESHOLD, top_k: int = TOP_K) -> DataFrame:

@@ -1,6 +1,7 @@
 """Token pieces, spans, states, scrubbing and the streams."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -134,3 +135,22 @@ def test_top_box_beyond_the_viewport(spark):
     rows = [(1, 1, 10.0, 10.0, 20.0, 20.0), (1, 2, -1e9, -1e9, 2e9, 2e9), (1, 3, 5000.0, 5000.0, 10.0, 10.0)]
     df = spark.createDataFrame(rows, "page long, z long, x double, y double, width double, height double")
     assert sorted(tuple(r) for r in layout.topmost(df, "page", "z", 1280.0, 720.0).collect()) == [(1, 1, 2, False), (1, 2, 2, True), (1, 3, 2, False)]
+
+
+def test_overlaps_of_boxes_of_all_sizes(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        size = 10.0 ** rng.uniform(0, 9)
+        rows.append((1, i, rng.uniform(-0.2, 0.2) * size, rng.uniform(-0.2, 0.2) * size, size, size * rng.uniform(0.5, 2)))
+
+    def overlap(a, b):
+        w = max(0.0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2]))
+        h = max(0.0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3]))
+        return w * h / (a[4] * a[5] + b[4] * b[5] - w * h)
+
+    df = spark.createDataFrame(rows, "page long, i long, x double, y double, width double, height double")
+    for least in (0.3, 0.01):
+        want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and overlap(a, b) >= least}
+        got = [(r["a"], r["b"]) for r in boxes.overlapping_pairs(df, "page", least).collect()]
+        assert len(want) > 10 and sorted(got) == sorted(want)
