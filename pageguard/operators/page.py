@@ -84,7 +84,8 @@ def _selected_option(nodes: DataFrame) -> DataFrame:
 def elements(nodes: DataFrame, compat: bool = False) -> DataFrame:
     """Visible interactive elements with dense ids from 0 in each page.
 
-    value is withheld for passwords and replaced where it holds personal data; unless compat, so are text and flagged href.
+    value is withheld for passwords and replaced where a pattern finds personal data in it; unless compat, so is text.
+    extraction() also replaces bare names and what a tagger sees.
     """
     found = candidates(with_visibility(nodes)).where("shown")
     found = found.join(_inner_text(nodes, found), ["page_id", "node_id"], "left").join(_selected_option(nodes), ["page_id", "node_id"], "left")
@@ -109,14 +110,22 @@ def elements(nodes: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def text_runs(nodes: DataFrame) -> DataFrame:
-    """page_id, node_id, path, text (trimmed) and lead_ws of text that its parent's style shows."""
-    own = with_visibility(nodes).select("page_id", F.col("node_id").alias("parent_id"), "style_ok", F.col("tag").alias("parent_tag"))
+    """page_id, node_id, path, text (trimmed) and lead_ws of text that has a box and is not hidden by a style.
+
+    Nothing under display:none, the hidden attribute or a skipped tag has a box; visibility is inherited from the nearest
+    element that sets it; opacity counts at the text's parent only.
+    """
+    elements_ = nodes.where("kind = 'element'")
+    own = elements_.select("page_id", F.col("node_id").alias("parent_id"), (F.coalesce(style("opacity").try_cast("double"), F.lit(1.0)) != 0).alias("opaque"), F.col("tag").alias("parent_tag"))
     bare = F.regexp_replace("text", rf"^[{patterns.SPACE}]+|[{patterns.SPACE}]+$", "")
     lead = F.length(F.regexp_extract("text", rf"^[{patterns.SPACE}]*", 0))
     text = nodes.where("kind = 'text'").select("page_id", "node_id", "parent_id", "path", bare.alias("text"), lead.alias("lead_ws")).where("text <> ''")
-    skipped = nodes.where(F.col("tag").isin(SKIPPED_PARENTS)).select("page_id", F.col("node_id").alias("over"))
-    under = text.select("page_id", "node_id", F.explode("path").alias("over")).join(skipped, ["page_id", "over"]).select("page_id", "node_id").distinct()
-    return text.join(own, ["page_id", "parent_id"]).where("style_ok").join(under, ["page_id", "node_id"], "left_anti").select("page_id", "node_id", "path", "text", "lead_ws", "parent_tag")
+    boxless = F.col("tag").isin(SKIPPED_PARENTS) | (style("display") == "none") | has_attr("hidden")
+    seen = F.when(style("visibility") != "", F.struct(F.col("node_id"), (~style("visibility").isin("hidden", "collapse")).alias("yes")))
+    rules = elements_.select("page_id", F.col("node_id").alias("over"), boxless.alias("boxless"), seen.alias("seen")).where("boxless or seen is not null")
+    over = text.select("page_id", "node_id", F.explode("path").alias("over")).join(rules, ["page_id", "over"])
+    hidden = over.groupBy("page_id", "node_id").agg((F.bool_or("boxless") | ~F.coalesce(F.max("seen")["yes"], F.lit(True))).alias("hidden")).where("hidden")
+    return text.join(own, ["page_id", "parent_id"]).where("opaque").join(hidden, ["page_id", "node_id"], "left_anti").select("page_id", "node_id", "path", "text", "lead_ws", "parent_tag")
 
 
 def runs_with_elements(runs: DataFrame, elements_: DataFrame) -> DataFrame:
@@ -159,7 +168,7 @@ def sensitive_items(pages: DataFrame, nodes: DataFrame, elements_: DataFrame, ru
     of_text = runs.select("page_id", "element_id", F.explode(detect.items(F.col("text"))).alias("i")).select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
     links = elements_.where("href is not null").join(pages.select("page_id", "url"), "page_id").select("page_id", "element_id", detect.url_item(F.col("href"), F.col("url")).alias("i")).where("i is not null")
     of_links = links.select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
-    label = F.coalesce(F.nullif("aria_label", F.lit("")), F.nullif("placeholder", F.lit("")), F.lit(""))
+    label = field_label()
     found = detect.items(F.col("raw_value"))
     name = F.struct(F.lit("NAME").alias("type"), F.lit("").alias("match"), masking.mask_name(patterns.trim(F.col("raw_value"))).alias("masked"), F.lit(patterns.CONFIDENCE["NAME"]).alias("confidence"))
     values_of = elements_.where("raw_value is not null")
@@ -183,11 +192,33 @@ def sensitive_items(pages: DataFrame, nodes: DataFrame, elements_: DataFrame, ru
     return of_text.unionByName(of_links).unionByName(of_values)
 
 
+def field_label() -> Column:
+    return F.coalesce(F.nullif("aria_label", F.lit("")), F.nullif("placeholder", F.lit("")), F.lit(""))
+
+
+def withheld(elements_: DataFrame, runs: DataFrame, tagger: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Elements and runs with values, the texts made of them, and lines replaced where there is a bare name or the tagger sees an item."""
+    shows_value = F.coalesce(F.nullif("aria_label", F.lit("")), F.lit("")) == ""
+    mark = detect.bare_name(field_label(), F.col("raw_value"), F.lit(False))
+    if tagger is not None:
+        seen = lambda df, text: tagger(df.select(F.concat_ws(":", F.col("page_id").cast("string"), F.col("node_id").cast("string")).alias("id"), text)).select(F.split_part("id", F.lit(":"), F.lit(1)).cast("long").alias("page_id"), F.split_part("id", F.lit(":"), F.lit(2)).cast("int").alias("node_id"), F.lit(True).alias("_seen")).distinct()
+        elements_ = elements_.join(seen(elements_.where("raw_value is not null"), F.col("raw_value").alias("text")), ["page_id", "node_id"], "left")
+        runs = runs.join(seen(runs, F.col("text")), ["page_id", "node_id"], "left").withColumn("text", F.when(F.col("_seen"), F.lit(patterns.LINE_MARK)).otherwise(F.col("text"))).drop("_seen")
+        mark = mark | F.coalesce("_seen", F.lit(False))
+    own = elements_.withColumn("_mark", mark & F.col("raw_value").isNotNull())
+    hide = lambda c, when: F.when(when, F.lit(patterns.REDACTED)).otherwise(F.col(c))
+    return own.withColumns({"value": hide("value", F.col("_mark")), "text": hide("text", F.col("_mark") & shows_value)}).drop("_mark", "_seen"), runs
+
+
 def extraction(pages: DataFrame, nodes: DataFrame, tagger: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """One row per page: url, elements, visible_text and sensitive_items as arrays, and their counts."""
+    """One row per page: url, elements, visible_text and sensitive_items as arrays, and their counts.
+
+    A value or line with an item of any kind is replaced: by a pattern, a bare name, or what the tagger sees.
+    """
     el = elements(nodes)
     runs = runs_with_elements(text_runs(nodes), el)
     items = sensitive_items(pages, nodes, el, runs, tagger)
+    el, runs = withheld(el, runs, tagger)
     listed = lambda df, name, *cols: df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
     shown = runs.withColumn("text", detect.redact_line(F.col("text")))
     out = pages.select("page_id", "url").join(listed(el, "elements", "element_id", "type", "text", "placeholder", "value", "href", "enabled"), "page_id", "left")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pages, pii, sessions, tagging, vision
+from . import forms, pages, pii, sessions, tagging, vision
 
-_PARTS = [pii, pages, vision, tagging, sessions]
+_PARTS = [pii, pages, forms, vision, tagging, sessions]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}

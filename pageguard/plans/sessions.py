@@ -160,6 +160,9 @@ _DECIDED = """d as (select user_id, ts, event_id, event_id % 30 as element_id,
     case when n_nationkey % 3 = 0 then n_name else '' end as text, case when n_nationkey % 3 = 1 then n_name end as placeholder, n_nationkey % 7 <> 0 as visible from nation),
   de as (select d.*, el.tag, el.kind, el.visible, coalesce(nullif(text, ''), nullif(placeholder, ''), kind || ' #' || d.element_id, 'element #' || d.element_id) as label from d left join el using (element_id))"""
 
+_SESSIONS = """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minutes then 0 else 1 end as fresh from events),
+      s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from g),
+      d as (select user_id, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) + 1800000000 as fires_us, count(*) as n_events from s group by user_id, n)"""
 ORACLE_SQL = {
     "fsm_validate": f"with {_STATES} select user_id, event_id, previous, state, {_VALID.format(more='')} as valid from pr",
     "fsm_resume_fix": f"with {_STATES} select previous, state, count(*) as n, bool_and({_VALID.format(more=", 'READY_FOR_AGENT>PAGE_ANALYSIS'")}) as valid from pr group by all",
@@ -179,9 +182,8 @@ ORACLE_SQL = {
       select user_id, to_json({{'task': 'task ' || user_id, 'elements': elements, 'history': history}})::varchar as payload from h, e""",
     "collected_answers": f"with {_DECIDED} select user_id, 'k' || event_id % 3 as key, arg_max(value, (ts, event_id)) as answer from d where action = 'ask_user' group by all",
     "latest_extraction": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
-    "debounce_sessions": """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minutes then 0 else 1 end as fresh from events),
-      s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from g)
-      select user_id, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) + 1800000000 as fires_us, count(*) as n_events from s group by user_id, n""",
+    "debounce_sessions": f"{_SESSIONS} select * from d",
+    "stream_debounce": f"{_SESSIONS} select * from d where fires_us <= (select epoch_ms(max(ts)) * 1000 - 600000000 from events)",
     "top_elements": "select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey) as rank from part qualify rank <= 25",
     "scrub_props": """select event_id, to_json({'k': (props->>'k')::bigint, 'name': '[omitted-by-logger]', 'inner': {'email': '[omitted-by-logger]', 'kind': event_type}})::varchar as logged from events""",
     "stream_states": f"""with st as (select user_id, ts, event_id, {_LIST}[event_id % 12 + 1] as state from events),

@@ -84,3 +84,26 @@ def test_tagged_items_of_runs_and_values(spark):
     plain = sorted((r["masked"], r["confidence"]) for r in page.sensitive_items(pages, nodes, el, runs).collect())
     assert got == [("C*****", 0.6), ("tagged", 0.9), ("tagged", 0.9)]
     assert plain == [("B******", 0.6), ("C*****", 0.6)]
+
+
+def test_withheld_names_and_tagged_values(spark):
+    page_html = """<html><body><input aria-label="Guest" value="John Doe"><input placeholder="Your name" value="Jane Roe"><input value="zorp here">
+<p>zorp line</p><p>plain line</p></body></html>"""
+    pages, nodes = frames(spark, page_html)
+    plain = page.extraction(pages, nodes).collect()[0]
+    assert [(e["text"], e["value"]) for e in plain["elements"]] == [("Guest", "[REDACTED]"), ("[REDACTED]", "[REDACTED]"), ("zorp here", "zorp here")]
+
+    def tagger(df):
+        return df.where("text like '%zorp%'").select("id", F.lit("PLACE").alias("type"), F.lit("zorp").alias("match"), F.lit("z***").alias("masked"), F.lit(0.9).alias("confidence"))
+
+    tagged = page.extraction(pages, nodes, tagger).collect()[0]
+    assert [e["value"] for e in tagged["elements"]] == ["[REDACTED]"] * 3 and "zorp" not in str(tagged["elements"])
+    assert [r["text"] for r in tagged["visible_text"]] == ["[REDACTED - sensitive text on this line]", "plain line"]
+    assert {i["type"] for i in tagged["sensitive_items"]} == {"NAME", "PLACE"}
+
+
+def test_text_without_a_box_is_left_out(spark):
+    page_html = """<div style="display:none"><p>a<b style="visibility:visible">b</b></p></div><div hidden><i>c</i></div>
+<div style="visibility:hidden">d<p>e<b style="visibility: visible">f</b></p></div><div style="opacity:0">g<p>h</p></div><template><p>i</p></template>"""
+    _, nodes = frames(spark, page_html)
+    assert [r["text"] for r in page.text_runs(nodes).orderBy("node_id").collect()] == ["f", "h"]
