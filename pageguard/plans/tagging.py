@@ -115,7 +115,20 @@ _FIXED = ["NAME", "NAME", "PHONE", "CARD", "IP_ADDRESS", "IP_ADDRESS", "IBANCODE
 _COMPAT = ["NAME", "NAME", "PHONE", "CARD", "PV6", "PADDRESS", "BANCODE", "MEI", "LOCATION", "ORGANIZATION", "EMAIL", "NAME", "URL", "UNKNOWN", "PHONE", "LOCATION"]
 _PICK = lambda xs: f"{xs}[n_nationkey % {len(xs)} + 1]"
 
+# Of the vocabulary by rule: a token is known if letters follow its first character; pieces are then pairs or single characters.
+_KNOWN = "regexp_full_match(lower({w}), '[!-~][a-z]*')"
+_PIECES = "regexp_extract_all(lower({w}), '[a-z][aeiou]|[!-~]', 0)"
+_PIECE_ID = "case when len(p) = 2 then 5 * (ascii(p) - 97) + instr('aeiou', p[2]) - 1 + case when i = 1 then 124 else 254 end when i = 1 then ascii(p) - 29 else ascii(p) + 1 end"
+
 ORACLE_SQL = {
+    "wordpiece": f"""with t as (select doc_id, flatten(list_transform(coalesce(regexp_extract_all(text, '{_TOK}', 0), []),
+        lambda w: case when {_KNOWN.format(w='w')} then list_transform({_PIECES.format(w='w')}, lambda p, i: {_PIECE_ID}) else [1] end)) as ids from documents)
+      select doc_id, len(ids)::bigint as n_pieces, least(len(ids), 254)::bigint + 2 as n_inputs, array_to_string(list_concat([2], ids[:254], [3]), ',') as ids from t""",
+    "ner_documents": f"""with s as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from (select doc_id, regexp_extract_all(text, '{_TOK}|[{SPACE_SQL}]+', 0) as ws from documents)),
+      o as (select doc_id, w, sum(len(w)) over (partition by doc_id order by i rows unbounded preceding) - len(w) as place, {_PIECES.format(w='w')}[1] as p from s),
+      k as (select *, case when p[2] = 'a' then 0 else len(p) end as cut from o where {_KNOWN.format(w='w')}),
+      m as (select doc_id, (place + cut)::bigint as start, (place + len(w))::bigint as "end", w[cut + 1:] as match from k where cut < len(w))
+      select doc_id, 'NAME' as type, start, "end", match, left(match, 1) || repeat('*', len(match) - 1) as masked, round(1 / (1 + 50 * exp(-10)), 6) as confidence from m""",
     "ner_argmax": f"{_BEST} select vec_id, k as label, case when k = 0 then 'O' else case when k % 2 = 1 then 'B-' else 'I-' end || [{_TYPES}][(k + 1) // 2] end as name from b",
     "ner_confidence": f"{_BEST} select vec_id, round(1 / list_sum(list_transform(z, lambda x: exp(x - m))), 9) as confidence from b",
     "bio_spans": f"{_SPANS} select * from spans",
