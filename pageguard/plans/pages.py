@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageguard.operators import page
+from pageguard.plans.pii import SPACE_SQL
 from pageguard.sources import html
 from pageguard.sources.tables import table
 
@@ -67,6 +68,11 @@ def text_to_element(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.where("element_id is not null").select("page_id", "element_id", "text")
 
 
+def page_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = html.nodes(_pages(spark, sf_dir))
+    return n.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("kind") == "text").alias("n_text"))
+
+
 def selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.selectors(_nodes(spark, sf_dir))
 
@@ -85,12 +91,22 @@ def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.to_json("elements").alias("elements"), F.to_json("sensitive_items").alias("sensitive_items"), "n_elements", "n_visible_text", "n_sensitive_items")
 
 
-QUERIES = {f.__name__: f for f in (html_nodes, tag_counts, all_tag_counts, page_links, element_ids, page_titles, page_text_runs, text_to_element, selectors, selector_rejoin, page_extraction)}
+QUERIES = {f.__name__: f for f in (html_nodes, tag_counts, all_tag_counts, page_links, element_ids, page_titles, page_text_runs, page_node_counts, text_to_element, selectors, selector_rejoin, page_extraction)}
 
 _UNESCAPED = """replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')"""
 _LINKS = "links as (select page_id, hs, unnest(range(1, len(hs) + 1)) as i from (select page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) as hs from pages))"
 
+# HTML without comments' and scripts' content, and the pieces of text between its tags.
+_BARE = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', chr(1), 'g'), '(?is)<!doctype[^>]*>', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>)(.*?)(</(?:script|style)\s*>)', '\1x\3', 'g')"""
+_SHOWN = rf"""regexp_replace({_BARE}, '(?is)<(script|style)\b[^>]*>x</(script|style)\s*>', chr(1), 'g')"""
+_PIECES = r"regexp_extract_all(regexp_replace({b}, '<[^>]*>', chr(1), 'g'), '[^\x01]+', 0)"
+_PLAIN = _UNESCAPED.format(c="replace(replace(s, '&copy;', '©'), '&middot;', '·')")
+
 ORACLE_SQL = {
+    "all_tag_counts": f"select lower(t) as tag, count(*) as n from (select unnest(regexp_extract_all({_BARE}, '<([A-Za-z][A-Za-z0-9]*)', 1)) as t from pages) group by all",
+    "page_node_counts": f"select page_id, len(ps)::bigint + len(es)::bigint as n_nodes, len(ps)::bigint as n_text from (select page_id, {_PIECES.format(b=_BARE)} as ps, regexp_extract_all({_BARE}, '<[A-Za-z]', 0) as es from pages)",
+    "page_text_runs": f"""with t as (select page_id, unnest({_PIECES.format(b=_SHOWN)}) as s from pages), u as (select page_id, regexp_replace({_PLAIN}, '^[{SPACE_SQL}]+|[{SPACE_SQL}]+$', '', 'g') as s from t)
+      select page_id, count(*) as n_runs, sum(len(s))::bigint as n_chars from u where s <> '' group by page_id""",
     "tag_counts": "with t as (select unnest(['a', 'article', 'nav', 'ul', 'title', 'script', 'h1', 'br']) as tag), n as (select tag, sum(len(regexp_extract_all(html, '<' || tag || '[ >]', 0)))::bigint as n from pages, t group by tag) select * from n where n > 0",
     "page_links": f"with {_LINKS} select page_id, {_UNESCAPED.format(c='hs[i]')} as href, count(*) as n from links group by all",
     "element_ids": f"with {_LINKS} select page_id, i - 1 as element_id, 'link' as type, {_UNESCAPED.format(c='hs[i]')} as href from links",
