@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -129,8 +130,41 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+#: Bytes of a word that word_hashes mixes in numpy; a longer word is hashed by BLAKE2b.
+_SHORT_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes at a time, each followed by a scrambling that is not linear.
+
+    Unlike SpanHash's polynomial, whose collisions of regular texts do not depend on its base, equal values mean equal
+    words for all purposes. Costs grow with the bytes of the spans.
+    """
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix64(size.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    live = np.flatnonzero((size > 0) & (size <= _SHORT_WORD))
+    for at in range(0, _SHORT_WORD, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        left = np.minimum(size[live] - at, 8)
+        block = eights[starts[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64))
+        out[live] = mix64(mix64(out[live]) + block * np.uint64(0xFF51AFD7ED558CCD))
+    long = np.flatnonzero(size > _SHORT_WORD)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[b:e], digest_size=8).digest(), "little") for b, e in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
+
+
 class SpanHash:
-    """64-bit hashes of any byte spans of data, from one prefix sum of a polynomial modulo 2**64."""
+    """64-bit hashes of any byte spans of data, from one prefix sum of a polynomial modulo 2**64.
+
+    Regular texts of over a thousand letters can collide (Thue-Morse words do, for every base): for finding candidates
+    only, whatever decides must compare bytes or a stronger digest.
+    """
 
     def __init__(self, data: np.ndarray):
         power, self.inverse = _powers(len(data) + 1)

@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, join_sized, materialize, mix64, steps, text_buffer, tidy, word_spans
+from .common import join_sized, materialize, mix64, steps, text_buffer, tidy, word_hashes, word_spans
 
 SHINGLE = 3
 BANDS, ROWS = 28, 7
@@ -65,7 +65,7 @@ def word_shingles(data: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> tu
     """Shingles of `width` words, A-Z in lower case, whatever stands between the words."""
     data = _LOWER[data]
     starts, ends, first = word_spans(data, off)
-    word = SpanHash(data)(starts, ends)
+    word = word_hashes(data, starts, ends)
     words = np.diff(first)
     n = np.where(words >= width, words - width + 1, np.minimum(words, 1))
     at = np.concatenate(([0], np.cumsum(n)))

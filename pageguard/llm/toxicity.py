@@ -5,9 +5,10 @@ identity term swapped for SWAPS others of its kind and language, and one without
 copy in which a term has been put in. Training adds LAMBDA times the mean squared change of score (before the logistic
 function) between text and copy, so a mention of a group cannot carry weight by itself.
 
-Features are the words and beginnings of PREFIXES characters that occur in at least LEAST training texts of the toxic
-class and are at least RATIO times as common there; a text's value for each is log(1 + count). The model is fitted on
-about SAMPLE training documents for each label value; scoring covers the whole of every text.
+Features are the words and beginnings of PREFIXES characters that are at least RATIO times as common in one class as in
+the other, and occur in at least LEAST toxic or LEAST_CLEAN clean training texts, so that words can speak for a text as well
+as against it; DECAY keeps the weights small. A text's value for each is log(1 + count). The model is fitted on about
+SAMPLE training documents for each label value; scoring covers the whole of every text.
 Defined results: null and empty texts have the score of a text without features; without labelled training documents
 all scores are 0.0; repeated rows repeat.
 """
@@ -30,8 +31,12 @@ from .samples import labelled_sample
 SAMPLE = 2500
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
-LEAST = 4
-RATIO = 6.0
+LEAST, LEAST_CLEAN = 3, 9
+RATIO = 4.0
+#: Weight, against all texts together, of an empty text as a clean one: what says nothing is not toxic.
+NOTHING = 0.2
+#: Strength of the squared weights' penalty.
+DECAY = 1e-3
 MOST_FEATURES = 20_000
 LAMBDA = 4.0
 SWAPS = 3
@@ -109,15 +114,15 @@ class Model:
 
 
 def _features(texts: list[list[str]], y: np.ndarray) -> dict[str, int]:
+    """Features that tell the classes apart, either way: for a toxic text or against it."""
     seen = [Counter(), Counter()]
-    for words in (t for t, label in zip(texts, y) if label):
-        seen[1].update({f for w in set(words) for f in word_features(w)})
-    often = {f for f, c in seen[1].items() if c >= LEAST}
-    for words in (t for t, label in zip(texts, y) if not label):
-        seen[0].update({f for w in set(words) for f in word_features(w) if f in often})
+    for words, label in zip(texts, y):
+        seen[label].update({f for w in set(words) for f in word_features(w)})
     n = np.bincount(y, minlength=2) + 1
-    ratio = {f: (c / n[1]) / ((seen[0][f] + 0.5) / n[0]) for f, c in seen[1].items() if c >= LEAST}
-    best = sorted((f for f, r in ratio.items() if r >= RATIO), key=lambda f: (-seen[1][f], f))[:MOST_FEATURES]
+    ratio = lambda f: (seen[1][f] + 0.5) / n[1] * n[0] / (seen[0][f] + 0.5)
+    telling = [f for f, c in seen[1].items() if c >= LEAST and ratio(f) >= RATIO]
+    telling += [f for f, c in seen[0].items() if c >= LEAST_CLEAN and ratio(f) <= 1 / RATIO]
+    best = sorted(telling, key=lambda f: (-seen[0][f] - seen[1][f], f))[:MOST_FEATURES]
     best += [f"={t}" for t in _SWAP if f"={t}" not in set(best)]
     return {f: i for i, f in enumerate(dict.fromkeys(best))}
 
@@ -159,14 +164,15 @@ def fit(sample: pa.Table, strength: float = LAMBDA, rounds: int = ROUNDS) -> Mod
     x = _Rows([values(v) for v in vectors], len(model.places))
     pairs = _Rows([change(v, model.vector(c)) for t, v in zip(texts, vectors) for c in counterfactuals(t)], len(model.places))
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    steps = Adam([model.weights, model.bias], 0.1, 1e-4)
+    steps = Adam([model.weights, model.bias], 0.1, DECAY)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x.times(model.weights) + model.bias, -30, 30)))
         g = weight * (y - p)
         d = x.back(g)
+        blank = -NOTHING / (1 + np.exp(-np.clip(model.bias[0], -30, 30)))
         if pairs.n and strength:
             d = d - pairs.back(pairs.times(model.weights) * (2 * strength / pairs.n))
-        steps.step([d, np.array([g.sum()])])
+        steps.step([d, np.array([g.sum() + blank])])
     return model
 
 
