@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, media, mixing, near_dedup, quality, suffix_dedup, toxicity, warc
+from . import bpe, divergence, fingerprints, html_text, language, media, mixing, near_dedup, quality, spelling, suffix_dedup, toxicity, warc
 from .common import arrow_limits, materialize, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +65,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_limits(spark)
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_limits(spark)
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_limits(spark)
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_fingerprints": op10_fingerprints,
+    "op11_html_text": op11_html_text,
+    "op12_spelling": op12_spelling,
+    "op13_divergence": op13_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op6_near_dedup": near_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op6_near_dedup": near_dedup.ORACLE_SQL, "op12_spelling": spelling.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
