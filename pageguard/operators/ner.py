@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 
 from pageguard.functions import masking
 from pageguard.functions.patterns import SPACE, trim
+from pageguard.sources.loaded import memoised
 
 THRESHOLD = 0.85
 MOST_TOKENS = 256
+#: Pieces that neighbouring chunks share, and chunks that a model gets in one call.
+OVERLAP, CHUNKS = 32, 32
+#: Pieces of texts that a task holds at a time; a longer text is held alone.
+HELD = 100_000
 
 # The classifier's label types (labels 2k - 1 begin and 2k continue type k, 0 is none), and names of types.
 MODEL_TYPES = ["AGE", "COORDINATE", "CREDIT_CARD", "DATE_TIME", "EMAIL_ADDRESS", "FINANCIAL", "HONORIFIC", "IBAN_CODE", "IMEI", "IP_ADDRESS", "LOCATION", "MAC_ADDRESS", "NRP", "ORGANIZATION", "PASSWORD", "PERSON", "PHONE_NUMBER", "TITLE", "URL", "US_BANK_NUMBER", "US_DRIVER_LICENSE", "US_ITIN", "US_LICENSE_PLATE", "US_PASSPORT", "US_SSN"]
@@ -89,17 +94,19 @@ def encode_pieces(df: DataFrame, id_col: str, text_col: str, vocab: dict[str, in
     """
     known = df.sparkSession.sparkContext.broadcast(vocab)
 
-    @F.pandas_udf("struct<ids:array<int>,n:long>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of = _Words(known.value, lower)
-        for words in batches:
-            rows = [[i for w in ws for i in of[w][0]] for ws in words]
-            yield pd.DataFrame({"ids": [r[: most - 2] for r in rows], "n": [len(r) for r in rows]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, find = _Words(known.value, lower), re.compile(TOKEN).findall
+        for batch in batches:
+            rows = [[i for w in find(text or "") for i in of[w][0]] for text in batch.column(1).to_pylist()]
+            made = [pa.array([r[: most - 2] for r in rows], pa.list_(pa.int32())), pa.array([len(r) for r in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[id_col, "ids", "n_pieces"])
 
-    pieces = df.select(id_col, ids(tokens(F.col(text_col))).alias("p"))
-    inputs = F.concat(F.array(F.lit(vocab["[CLS]"])), "p.ids", F.array(F.lit(vocab["[SEP]"])))
-    out = pieces.select(id_col, inputs.alias("input_ids"), F.col("p.n").alias("n_pieces"))
-    return out.select(id_col, "input_ids", F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"), F.transform("input_ids", lambda _: F.lit(0)).alias("token_type_ids"), "n_pieces")
+    kind = df.schema[id_col].dataType.simpleString()
+    pieces = df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_pieces long")
+    inputs = F.concat(F.array(F.lit(vocab["[CLS]"])), "ids", F.array(F.lit(vocab["[SEP]"])))
+    out = pieces.select(id_col, inputs.alias("input_ids"), "n_pieces")
+    same = lambda x: F.array_repeat(F.lit(x), F.size("input_ids"))
+    return out.select(id_col, "input_ids", same(1).alias("attention_mask"), same(0).alias("token_type_ids"), "n_pieces")
 
 
 class _Words(dict):
@@ -122,7 +129,18 @@ class _Words(dict):
         return out
 
 
-def encode_chunks(df: DataFrame, id_col: str, text_col: str, vocab: dict[str, int], lower: bool = True, most: int = MOST_TOKENS, overlap: int = 32) -> DataFrame:
+def _pieces(text: str | None, of: _Words, find: Callable) -> tuple[list[int], list[int], list[int]]:
+    """Ids of a text's pieces and their places."""
+    ids, starts, ends = [], [], []
+    for token in find(text or ""):
+        own, stops = of[token.group()]
+        ids += own
+        starts += [token.start() + s for s in [0, *stops[:-1]]]
+        ends += [token.start() + s for s in stops]
+    return ids, starts, ends
+
+
+def encode_chunks(df: DataFrame, id_col: str, text_col: str, vocab: dict[str, int], lower: bool = True, most: int = MOST_TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """id, chunk, first (place of the chunk's first piece), input_ids, attention_mask, token_type_ids, starts and ends.
 
     All pieces of a text lie in chunks of at most `most` inputs that overlap by `overlap` pieces, with the pieces' places
@@ -139,12 +157,7 @@ def encode_chunks(df: DataFrame, id_col: str, text_col: str, vocab: dict[str, in
         for batch in batches:
             cols: list[list] = [[] for _ in names]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, starts, ends = [], [], []
-                for token in find(text or ""):
-                    own, stops = of[token.group()]
-                    ids += own
-                    starts += [token.start() + s for s in [0, *stops[:-1]]]
-                    ends += [token.start() + s for s in stops]
+                ids, starts, ends = _pieces(text, of, find)
                 for n, at in enumerate(range(0, max(len(ids) - overlap, 1), room - overlap)):
                     part = slice(at, at + room)
                     row = [first_id, *ids[part], last_id]
@@ -157,6 +170,12 @@ def encode_chunks(df: DataFrame, id_col: str, text_col: str, vocab: dict[str, in
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, chunk int, first int, input_ids array<int>, attention_mask array<int>, token_type_ids array<int>, starts array<int>, ends array<int>")
 
 
+def _best_of(logits: list) -> tuple[np.ndarray, np.ndarray]:
+    """Label and confidence of each input of a chunk: the first largest score and its softmax share."""
+    x = np.asarray(logits, np.float64)
+    return x.argmax(axis=1), 1.0 / np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1)
+
+
 def label_chunks(chunks: DataFrame, id_col: str, load: Callable[[], Callable[[list, list, list], list]]) -> DataFrame:
     """encode_chunks's rows with the label and the confidence of each input in place of the inputs, and ner_status.
 
@@ -164,18 +183,18 @@ def label_chunks(chunks: DataFrame, id_col: str, load: Callable[[], Callable[[li
     """
     names = [id_col, "chunk", "first", "starts", "ends", "labels", "shares", "ner_status"]
 
+    memo = memoised(load)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load()
         for batch in batches:
             inputs = [batch.column(i).to_pylist() for i in (5, 6, 7)]
             labels, shares, status = [], [], "ok"
             try:
-                for logits in model(*inputs):
-                    x = np.asarray(logits, np.float64)
-                    top = x.max(axis=1, keepdims=True)
-                    labels.append(x.argmax(axis=1).tolist())
-                    shares.append((1.0 / np.exp(x - top).sum(axis=1)).tolist())
+                for label, share in map(_best_of, memo()(*inputs)):
+                    labels.append(label.tolist())
+                    shares.append(share.tolist())
             except Exception as e:  # the status column carries it
+                memo.forget()
                 labels, shares, status = [[]] * batch.num_rows, [[]] * batch.num_rows, f"failed: {e}"[:200]
             made = [pa.array(labels, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64())), pa.array([status] * batch.num_rows, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), *made], names=names)
@@ -197,29 +216,153 @@ def piece_labels(labelled: DataFrame, id_col: str) -> DataFrame:
     return kept.select(id_col, "pos", "start", "end", prefix.alias("prefix"), kind.alias("entity_type"), "confidence")
 
 
-def text_items(docs: DataFrame, id_col: str, text_col: str, vocab: dict[str, int], load: Callable[[], Callable[[list, list, list], list]], threshold: float = THRESHOLD) -> DataFrame:
-    """id, type, start, end, match, masked and confidence of what a token classifier finds in whole texts. Ids are unique."""
-    labelled = label_chunks(encode_chunks(docs, id_col, text_col, vocab), id_col, load)
-    spans = merge_spans(piece_labels(labelled, id_col), id_col, threshold)
-    kind = normalize_type(F.col("entity_type"), wide=True)
-    match = F.substring(F.col(text_col), F.col("start") + 1, F.col("end") - F.col("start"))
-    own = spans.join(docs.select(id_col, text_col), id_col).select(id_col, kind.alias("type"), "start", "end", match.alias("match"), "confidence")
-    return own.select(id_col, "type", "start", "end", "match", masking.mask(F.col("type"), F.col("match")).alias("masked"), "confidence")
+def label_kinds(names: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of labels by number: whether each begins a span, the number of its type (-1: none), and the types' names.
+
+    As parse_label: upper case, B or I before - or _; a label without a prefix begins its type.
+    """
+    begins, kind, types = [], [], []
+    for name in names:
+        up = (name or "").strip().upper()
+        marked = re.fullmatch("(?s)([BI])[-_](.+)", up)
+        of = marked[2] if marked else up
+        if up in ("", "O", "0") or of == "O":
+            begins.append(False)
+            kind.append(-1)
+            continue
+        if of not in types:
+            types.append(of)
+        begins.append(not marked or marked[1] == "B")
+        kind.append(types.index(of))
+    return np.array(begins, bool), np.array(kind, np.int64), types
+
+
+MODEL_LABELS = ["O", *(f"{p}-{t}" for t in MODEL_TYPES for p in "BI")]
+
+
+def spans_of(label: np.ndarray, share: np.ndarray, begins: np.ndarray, kind: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """First and last piece, type and mean confidence of one text's spans: what merge_spans does, on arrays."""
+    of = kind[label]
+    ok = (share >= threshold) & (of >= 0)
+    before = np.concatenate(([False], ok[:-1]))
+    other = np.concatenate(([True], of[1:] != of[:-1]))
+    at = np.flatnonzero(ok)
+    first = np.flatnonzero((ok & (begins[label] | ~before | other))[at])
+    last = np.concatenate((first[1:], [len(at)])) - 1
+    mean = np.add.reduceat(share[at], first) / (last - first + 1) if len(first) else np.zeros(0)
+    return at[first], at[last] if len(first) else first, of[at[first]], mean
+
+
+class _Folded:
+    """A text on its way through the model: its pieces, and for each the label that its chunks were surest of so far."""
+
+    def __init__(self, key: object, text: str, pieces: tuple[list[int], list[int], list[int]], room: int):
+        self.key, self.text, (self.ids, self.starts, self.ends) = key, text, pieces
+        self.label, self.share = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), -1.0)
+        self.chunks = list(range(0, max(len(self.ids) - OVERLAP, 1), room - OVERLAP)) if self.ids else []
+        self.status = "ok"
+
+    def add(self, at: int, label: np.ndarray, share: np.ndarray) -> None:
+        """A tie goes to the earlier chunk."""
+        here = slice(at, at + len(label))
+        surer = share > self.share[here]
+        self.label[here][surer], self.share[here][surer] = label[surer], share[surer]
+
+
+def text_items(docs: DataFrame, id_col: str, text_col: str, vocab: dict[str, int], load: Callable[[], Callable[[list, list, list], list]], threshold: float = THRESHOLD, labels: list[str] | None = None, lower: bool = True, on_failure: str = "raise") -> DataFrame:
+    """id, type, start, end, match, masked and confidence of what a token classifier finds in whole texts.
+
+    One pass over the texts, without a shuffle: a worker cuts each text into overlapping chunks, gives the model CHUNKS of
+    them at a time, takes for each piece the label that a chunk is surer of, and merges runs of labels into spans. load is
+    called once a process. labels: the model's names by number (assets.Tokenizer.labels has them).
+
+    A model that fails never reads as `nothing found`. By default the job fails. With on_failure="status" a further column
+    ner_status says `ok`, and a text on which the model fails (tried alone once more) has one row, with that status and
+    no type; whoever reads it has to treat the whole text as sensitive.
+    """
+    if on_failure not in ("raise", "status"):
+        raise ValueError("on_failure is raise or status")
+    known, memo = docs.sparkSession.sparkContext.broadcast(vocab), memoised(load)
+    begins, kind, types = label_kinds(labels or MODEL_LABELS)
+    room = MOST_TOKENS - 2
+    names = [id_col, "entity_type", "start", "end", "match", "confidence", "ner_status"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, find = _Words(known.value, lower), re.compile(TOKEN).finditer
+        first_id, last_id = known.value["[CLS]"], known.value["[SEP]"]
+
+        def label_all(jobs: list[tuple[_Folded, int]]) -> None:
+            rows = [[first_id, *t.ids[at : at + room], last_id] for t, at in jobs]
+            got = list(map(_best_of, memo()(rows, [[1] * len(r) for r in rows], [[0] * len(r) for r in rows])))
+            if [len(label) for label, _ in got] != [len(r) for r in rows]:
+                raise ValueError("the model gave logits of another number of inputs")
+            for (t, at), (label, share) in zip(jobs, got):
+                t.add(at, label[1:-1], share[1:-1])
+
+        def labelled(texts: list[_Folded]) -> None:
+            jobs = [(t, at) for t in texts for at in t.chunks]
+            for i in range(0, len(jobs), CHUNKS):
+                try:
+                    label_all(jobs[i : i + CHUNKS])
+                except Exception:  # again, text by text: one that the model cannot take is not to fail others
+                    memo.forget()
+                    for t in dict.fromkeys(t for t, _ in jobs[i : i + CHUNKS]):
+                        try:
+                            label_all([j for j in jobs[i : i + CHUNKS] if j[0] is t])
+                        except Exception as e:
+                            memo.forget()
+                            if on_failure == "raise":
+                                raise
+                            t.status = f"failed: {e}"[:200]
+
+        def spans(keys: pa.Array, texts: list[_Folded]) -> pa.RecordBatch:
+            labelled(texts)
+            rows: list[tuple] = []
+            for t in texts:
+                if t.status != "ok":
+                    rows.append((t.key, None, None, None, None, None, t.status))
+                    continue
+                for a, b, k, c in zip(*(x.tolist() for x in spans_of(t.label, t.share, begins, kind, threshold))):
+                    rows.append((t.key, types[k], t.starts[a], t.ends[b], t.text[t.starts[a] : t.ends[b]], c, "ok"))
+            cols = list(zip(*rows)) if rows else [()] * len(names)
+            made = [pa.array(c, k) for c, k in zip(cols[1:], (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string()))]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(cols[0], pa.int64())), *made], names=names)
+
+        for batch in batches:
+            texts: list[_Folded] = []
+            size = 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                texts.append(_Folded(i, text or "", _pieces(text, of, find), room))
+                size += len(texts[-1].ids)
+                if size >= HELD:
+                    yield spans(batch.column(0), texts)
+                    texts, size = [], 0
+            if texts:
+                yield spans(batch.column(0), texts)
+
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    found = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_kind}, entity_type string, start int, end int, match string, confidence double, ner_status string")
+    named = F.when(F.col("entity_type").isNotNull(), normalize_type(F.col("entity_type"), wide=True)).alias("type")
+    out = found.select(id_col, named, "start", "end", "match", "confidence", "ner_status")
+    status = ["ner_status"] if on_failure == "status" else []
+    return out.select(id_col, "type", "start", "end", "match", masking.mask(F.col("type"), F.col("match")).alias("masked"), "confidence", *status)
 
 
 def classify(inputs: DataFrame, id_col: str, load: Callable[[], Callable[[list, list, list], list]]) -> DataFrame:
-    """id, pos and logits from a model given as a loader that runs once a worker task: (ids, mask, types) -> logits a batch.
+    """id, pos and logits from a model given as a loader that runs once a process: (ids, mask, types) -> logits a batch.
 
     A failing batch yields its ids with ner_status `failed`, never an empty result that would read as `no personal data`.
     """
 
+    memo = memoised(load)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load()
         for batch in batches:
             ids, inputs_, masks, types = (batch.column(i).to_pylist() for i in range(4))
             try:
-                logits, status = model(inputs_, masks, types), "ok"
+                logits, status = memo()(inputs_, masks, types), "ok"
             except Exception as e:  # the status column carries it
+                memo.forget()
                 logits, status = [[] for _ in ids], f"failed: {e}"[:200]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(logits, pa.list_(pa.list_(pa.float32()))), pa.array([status] * len(ids))], names=[id_col, "logits", "ner_status"])
 
@@ -280,7 +423,7 @@ def merge_spans(labels: DataFrame, id_col: str, threshold: float = THRESHOLD) ->
     """id, entity_type, start, end, confidence of merged spans. labels: id, pos, start, end, prefix, entity_type, confidence.
 
     A token under the threshold or without a type ends the open span; a span also ends where a token begins one or has
-    another type. Windows are over one text's tokens, which the sequence cut bounds.
+    another type. A window holds one text's tokens; text_items does the same for whole texts inside the worker.
     """
     w = Window.partitionBy(id_col).orderBy("pos")
     ok = (F.col("confidence") >= threshold) & (F.col("prefix") != "O") & (F.col("entity_type") != "O")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pageguard.functions import masking, patterns
 from pageguard.operators import detect
+from pageguard.sources.tables import written
 
 # Roles and tags of interactive elements, and parents whose text is never shown.
 ROLES = ["button", "link", "tab", "menuitem", "checkbox", "radio", "combobox", "switch", "option"]
@@ -159,36 +160,51 @@ def resolve_again(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("page_id", "selector", F.col("node_id").alias("old_node")).join(first, ["page_id", "selector"], "left")
 
 
-def sensitive_items(pages: DataFrame, nodes: DataFrame, elements_: DataFrame, runs: DataFrame, tagger: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+Tagger = Callable[[DataFrame], DataFrame]
+_ITEMS = "array<struct<type:string,match:string,masked:string,confidence:double>>"
+
+
+def with_tags(elements_: DataFrame, runs: DataFrame, tagger: Tagger | None) -> tuple[DataFrame, DataFrame]:
+    """Elements and runs with `tagged` (what the tagger finds in their value or text) and `failed` (it could not look).
+
+    tagger: from rows of id and text to ner.text_items's rows. It gets the texts of runs and the values of elements once, in
+    one table; what it finds is written down, so that everything after reads one result. A text that has a row whose
+    ner_status is not `ok` has failed.
+    """
+    if tagger is None:
+        plain = lambda df: df.withColumns({"tagged": F.array().cast(_ITEMS), "failed": F.lit(False)})
+        return plain(elements_), plain(runs)
+    key = lambda of_value: F.struct("page_id", "node_id", F.lit(of_value).alias("of_value")).alias("id")
+    texts = runs.select(key(False), "text").unionByName(elements_.where("raw_value is not null").select(key(True), F.col("raw_value").alias("text")))
+    hits = tagger(texts)
+    status = F.coalesce("ner_status", F.lit("ok")) if "ner_status" in hits.columns else F.lit("ok")
+    item = F.struct("type", "match", "masked", F.col("confidence").cast("double").alias("confidence"))
+    own = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("type").isNotNull(), item))).alias("tagged"), F.bool_or(status != "ok").alias("failed"))
+    own = written(own.select("id.*", "tagged", "failed"))
+
+    def joined(df: DataFrame, of_value: bool) -> DataFrame:
+        mine = own.where(F.col("of_value") == of_value).drop("of_value")
+        return df.join(mine, ["page_id", "node_id"], "left").withColumns({"tagged": F.coalesce("tagged", F.array().cast(_ITEMS)), "failed": F.coalesce("failed", F.lit(False))})
+
+    return joined(elements_, True), joined(runs, False)
+
+
+def sensitive_items(pages: DataFrame, nodes: DataFrame, elements_: DataFrame, runs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """page_id, type, masked, confidence, element_id: of text runs, of links' URLs, and of form values.
 
-    tagger: from rows of id and text to ner.text_items's rows. Its items join those of the patterns, and a value in which
-    it has seen a name is not taken for a bare one again.
+    The tagger's items join those of the patterns, and a value in which it has seen a name is not taken for a bare one again.
+    Elements and runs may come from with_tags already.
     """
-    of_text = runs.select("page_id", "element_id", F.explode(detect.items(F.col("text"))).alias("i")).select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
+    if "tagged" not in runs.columns:
+        elements_, runs = with_tags(elements_, runs, tagger)
+    flat = lambda df, found: df.select("page_id", "element_id", F.explode(found).alias("i")).select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
+    of_text = flat(runs, F.concat(detect.items(F.col("text")), "tagged"))
     links = elements_.where("href is not null").join(pages.select("page_id", "url"), "page_id").select("page_id", "element_id", detect.url_item(F.col("href"), F.col("url")).alias("i")).where("i is not null")
     of_links = links.select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
-    label = field_label()
-    found = detect.items(F.col("raw_value"))
     name = F.struct(F.lit("NAME").alias("type"), F.lit("").alias("match"), masking.mask_name(patterns.trim(F.col("raw_value"))).alias("masked"), F.lit(patterns.CONFIDENCE["NAME"]).alias("confidence"))
-    values_of = elements_.where("raw_value is not null")
-    none = F.array().cast("array<struct<type:string,match:string,masked:string,confidence:double>>")
-    tagged = lambda df: df.withColumn("_tagged", none)
-    if tagger is not None:
-        key = F.concat_ws(":", F.col("page_id").cast("string"), F.col("node_id").cast("string"))
-
-        def tagged(df: DataFrame) -> DataFrame:
-            text = "text" if "lead_ws" in df.columns else "raw_value"
-            own = df.withColumn("_id", key)
-            hits = tagger(own.select(F.col("_id").alias("id"), F.col(text).alias("text")))
-            hits = hits.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("type", "match", "masked", F.col("confidence").cast("double").alias("confidence")))).alias("_tagged"))
-            return own.join(hits, "_id", "left").withColumn("_tagged", F.coalesce("_tagged", none)).drop("_id")
-
-    runs, values_of = tagged(runs), tagged(values_of)
-    of_text = of_text if tagger is None else of_text.unionByName(runs.select("page_id", "element_id", F.explode("_tagged").alias("i")).select("page_id", "i.type", "i.masked", "i.confidence", "element_id"))
-    named = detect.bare_name(label, F.col("raw_value"), F.exists("_tagged", lambda i: i["type"] == "NAME"))
-    values = F.concat(found, F.col("_tagged"), F.when(named, F.array(name)).otherwise(F.filter(F.array(name), lambda _: F.lit(False))))
-    of_values = values_of.select("page_id", "element_id", F.explode(values).alias("i")).select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
+    named = detect.bare_name(field_label(), F.col("raw_value"), F.exists("tagged", lambda i: i["type"] == "NAME"))
+    bare = F.when(named, F.array(name)).otherwise(F.filter(F.array(name), lambda _: F.lit(False)))
+    of_values = flat(elements_.where("raw_value is not null"), F.concat(detect.items(F.col("raw_value")), "tagged", bare))
     return of_text.unionByName(of_links).unionByName(of_values)
 
 
@@ -196,33 +212,43 @@ def field_label() -> Column:
     return F.coalesce(F.nullif("aria_label", F.lit("")), F.nullif("placeholder", F.lit("")), F.lit(""))
 
 
-def withheld(elements_: DataFrame, runs: DataFrame, tagger: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Elements and runs with values, the texts made of them, and lines replaced where there is a bare name or the tagger sees an item."""
-    shows_value = F.coalesce(F.nullif("aria_label", F.lit("")), F.lit("")) == ""
-    mark = detect.bare_name(field_label(), F.col("raw_value"), F.lit(False))
-    if tagger is not None:
-        seen = lambda df, text: tagger(df.select(F.concat_ws(":", F.col("page_id").cast("string"), F.col("node_id").cast("string")).alias("id"), text)).select(F.split_part("id", F.lit(":"), F.lit(1)).cast("long").alias("page_id"), F.split_part("id", F.lit(":"), F.lit(2)).cast("int").alias("node_id"), F.lit(True).alias("_seen")).distinct()
-        elements_ = elements_.join(seen(elements_.where("raw_value is not null"), F.col("raw_value").alias("text")), ["page_id", "node_id"], "left")
-        runs = runs.join(seen(runs, F.col("text")), ["page_id", "node_id"], "left").withColumn("text", F.when(F.col("_seen"), F.lit(patterns.LINE_MARK)).otherwise(F.col("text"))).drop("_seen")
-        mark = mark | F.coalesce("_seen", F.lit(False))
-    own = elements_.withColumn("_mark", mark & F.col("raw_value").isNotNull())
+def withheld(elements_: DataFrame, runs: DataFrame, tagger: Tagger | None = None) -> tuple[DataFrame, DataFrame]:
+    """Elements and runs with values, the texts made of them, and lines replaced where there is a bare name, the tagger sees
+    an item, or the tagger has failed. An element's text that comes from such lines is replaced too.
+    """
+    if "tagged" not in runs.columns:
+        elements_, runs = with_tags(elements_, runs, tagger)
+    unlabelled = F.coalesce(F.nullif("aria_label", F.lit("")), F.lit("")) == ""
+    seen = F.col("failed") | (F.size("tagged") > 0)
+    lines = runs.where(seen).select("page_id", F.explode("path").alias("node_id")).distinct().withColumn("over", F.lit(True))
+    own = elements_.join(lines, ["page_id", "node_id"], "left") if tagger is not None else elements_.withColumn("over", F.lit(False))
+    mark = F.col("raw_value").isNotNull() & (detect.bare_name(field_label(), F.col("raw_value"), F.lit(False)) | seen)
+    own = own.withColumn("_mark", F.coalesce(mark, F.lit(False)))
     hide = lambda c, when: F.when(when, F.lit(patterns.REDACTED)).otherwise(F.col(c))
-    return own.withColumns({"value": hide("value", F.col("_mark")), "text": hide("text", F.col("_mark") & shows_value)}).drop("_mark", "_seen"), runs
+    from_lines = F.coalesce("over", F.lit(False)) & (F.col("text") != "")
+    own = own.withColumns({"value": hide("value", F.col("_mark")), "text": hide("text", unlabelled & (F.col("_mark") | from_lines))}).drop("_mark", "over")
+    return own, runs.withColumn("text", F.when(seen, F.lit(patterns.LINE_MARK)).otherwise(F.col("text")))
 
 
-def extraction(pages: DataFrame, nodes: DataFrame, tagger: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """One row per page: url, elements, visible_text and sensitive_items as arrays, and their counts.
+def extraction(pages: DataFrame, nodes: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+    """One row per page: url, elements, visible_text and sensitive_items as arrays, their counts, and ner_status.
 
-    A value or line with an item of any kind is replaced: by a pattern, a bare name, or what the tagger sees.
+    A value or line with an item of any kind is replaced: by a pattern, a bare name, or what the tagger sees. Where the
+    tagger could not look, the whole value or line is; ner_status is then `failed` (`off`: no tagger).
     """
     el = elements(nodes)
-    runs = runs_with_elements(text_runs(nodes), el)
+    el, runs = with_tags(el, runs_with_elements(text_runs(nodes), el), tagger)
     items = sensitive_items(pages, nodes, el, runs, tagger)
     el, runs = withheld(el, runs, tagger)
     listed = lambda df, name, *cols: df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
     shown = runs.withColumn("text", detect.redact_line(F.col("text")))
     out = pages.select("page_id", "url").join(listed(el, "elements", "element_id", "type", "text", "placeholder", "value", "href", "enabled"), "page_id", "left")
     out = out.join(listed(shown, "visible_text", "node_id", "text", "element_id"), "page_id", "left").join(listed(items, "sensitive_items", "type", "masked", "confidence", "element_id"), "page_id", "left")
+    status = F.lit("off").alias("ner_status")
+    if tagger is not None:
+        bad = runs.where("failed").select("page_id").union(el.where("failed").select("page_id")).distinct().withColumn("bad", F.lit(True))
+        out = out.join(bad, "page_id", "left")
+        status = F.when(F.col("bad"), "failed").otherwise("ok").alias("ner_status")
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     empty = lambda c: F.greatest(size(c), F.lit(0)).alias(f"n_{c}")
-    return out.select("*", *map(empty, ("elements", "visible_text", "sensitive_items")))
+    return out.select("page_id", "url", "elements", "visible_text", "sensitive_items", *map(empty, ("elements", "visible_text", "sensitive_items")), status)

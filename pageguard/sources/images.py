@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageguard.operators import boxes
+from pageguard.sources.loaded import memoised
 
 STRIDES = (8, 16, 32)
 
@@ -38,22 +39,24 @@ def model_input(rgb: bytes, width: int, height: int, size: int = boxes.MODEL_SIZ
 
 
 def face_tensors(images: DataFrame, load: Callable[[], Callable[[np.ndarray], dict[str, np.ndarray]]]) -> DataFrame:
-    """image_id, width, height, stride, cls, obj, bbox and face_status from a detector given as a loader, run once a task.
+    """image_id, width, height, stride, cls, obj, bbox and face_status from a detector given as a loader, run once a process.
 
     images: image_id, width, height, rgb. A failure is a row with status `failed`: callers must not take it for `no face`.
     """
 
+    memo = memoised(load)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load()
         doubles = pa.list_(pa.float64())
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), doubles, doubles, doubles, pa.string()]
         names = ["image_id", "width", "height", "stride", "cls", "obj", "bbox", "face_status"]
         for batch in batches:
             for image_id, w, h, rgb in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 try:
-                    out = model(model_input(rgb, w, h))
+                    out = memo()(model_input(rgb, w, h))
                     rows = [(image_id, w, h, s, *(np.ravel(out[f"{k}_{s}"]).astype(float).tolist() for k in ("cls", "obj", "bbox")), "ok") for s in STRIDES]
                 except Exception as e:  # the status column carries it
+                    memo.forget()
                     rows = [(image_id, w, h, None, None, None, None, f"failed: {e}"[:200])]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageguard.operators.agent import STATES, Backend, allowed, decisions
+from pageguard.sources.tables import run_folder
 
 WATERMARK = "10 minutes"
 
@@ -36,21 +33,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
 
 
-def _run_folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; a temporary one only where none is set (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="pageguard-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pageguard/{uuid.uuid4().hex}"
-
-
 def _finish(stream: DataFrame) -> DataFrame:
     """Run a stream over what is there into a table in the shared folder, and read it back."""
-    at = _run_folder(stream.sparkSession)
+    at = run_folder(stream.sparkSession)
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
@@ -93,7 +78,7 @@ def run_checks(steps: DataFrame, listeners: tuple[Listener, ...] = ()) -> DataFr
     Listeners get the valid changes (user_id, ts, event_id, previous, state) of each micro-batch as a DataFrame, in the
     order in which they are given; invalid ones are counted only. A batch that is run again reaches them again.
     """
-    spark, at = steps.sparkSession, _run_folder(steps.sparkSession)
+    spark, at = steps.sparkSession, run_folder(steps.sparkSession)
     done: list[int] = []
 
     def fold(batch: DataFrame, n: int) -> None:

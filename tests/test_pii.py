@@ -168,4 +168,6 @@ def test_long_words_and_failing_models(spark):
         return model
 
     rows = ner.label_chunks(ner.encode_chunks(df, "doc_id", "text", vocab), "doc_id", broken).collect()
-    assert rows[0]["ner_status"] == "failed: no weights" and ner.text_items(df, "doc_id", "text", vocab, broken).count() == 0
+    assert rows[0]["ner_status"] == "failed: no weights"
+    with pytest.raises(Exception, match="no weights"):
+        ner.text_items(df, "doc_id", "text", vocab, broken).collect()
