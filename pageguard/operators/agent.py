@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +34,7 @@ NEXT_STATES = {
     "ERROR": ["IDLE"],
 }
 STATES = list(NEXT_STATES)
-#: What a controller's verbs lead to.
+# What a controller's verbs lead to.
 VERB_STATES = {
     "startTask": "TASK_RECEIVED",
     "beginPageAnalysis": "PAGE_ANALYSIS",
@@ -148,6 +149,97 @@ def decisions(payloads: DataFrame, elements: DataFrame, task: str, backend: Back
     return out.select(F.col("task").alias(task), "action", "element_id", "value", reason.alias("reason"))
 
 
+@dataclass(frozen=True)
+class Loop:
+    """Where a task's loop stands: status, the task's text, steps taken, what was done so far, and the action under way."""
+
+    status: str = "IDLE"
+    task: str = ""
+    step: int = 0
+    history: list[dict] = field(default_factory=list)
+    pending: dict | None = None
+
+
+#: What a loop can take in each status; a reset is taken in all.
+TAKES = {"IDLE": ["start"], "COMPLETED": ["start"], "ERROR": ["start"], "STEP_CAP": ["start"], "PAGE_ANALYSIS": ["snapshot", "failed"], "EXECUTING": ["result"], "WAITING_FOR_USER": ["answer"]}
+
+
+def _label(elements: list[dict], element_id: object) -> str:
+    e = next((e for e in elements if e.get("id") == element_id), None)
+    return f"element #{element_id}" if e is None else e.get("text") or e.get("placeholder") or e.get("ariaLabel") or f"{e.get('type')} #{element_id}"
+
+
+def _next_step(loop: Loop, done: dict, most: int) -> Loop:
+    """loop with what was done in its history, ready for the next snapshot, or stopped after `most` steps."""
+    status = "PAGE_ANALYSIS" if loop.step < most else "STEP_CAP"
+    return replace(loop, status=status, history=[*loop.history, done], pending=None)
+
+
+def advance(loop: Loop, kind: str, body: str | None, decide: Callable[[dict], dict], most: int = MOST_STEPS) -> tuple[Loop, list[dict]]:
+    """The loop after an event, and the rows that tell of it.
+
+    start takes a task; a snapshot (JSON with elements and viewport, redacted) asks the backend what to do, which counts as
+    a step; result tells how an action went, answer what the user has filled in; failed ends a task whose page could not be
+    analysed, and reset forgets it. Typed text is in the row that asks for it to be typed, never in the history that goes
+    back to the backend, and answers are there by key only. Events out of turn change nothing.
+    """
+
+    def row(loop: Loop, reason: str | None = None, action: str | None = None, element_id: object = None, value: str | None = None, message: str | None = None) -> dict:
+        return {"step": loop.step, "status": loop.status, "action": action, "element_id": element_id, "value": value, "message": message, "reason": reason}
+
+    def failed(reason: str, loop: Loop = loop) -> tuple[Loop, list[dict]]:
+        end = replace(loop, status="ERROR", pending=None)
+        return end, [row(end, reason)]
+
+    if kind == "reset":
+        return Loop(), [row(Loop())]
+    if kind not in TAKES[loop.status]:
+        return loop, [row(loop, "out of turn")]
+    if kind == "start":
+        new = Loop("PAGE_ANALYSIS", body or "")
+        return new, [row(new)]
+    if kind == "failed":
+        return failed(body or "page analysis failed")
+    try:
+        given = json.loads(body or "{}")
+    except ValueError:
+        given = None
+    if not isinstance(given, dict):
+        return failed(f"{kind} is no JSON object")
+    if kind == "result":
+        new = _next_step(loop, {**(loop.pending or {}), "result": given}, most)
+        return new, [row(new, None if given.get("success") else str(given.get("reason") or "no response"))]
+    if kind == "answer":
+        new = _next_step(loop, loop.pending or {}, most)
+        return new, [row(new)]
+    elements = given.get("elements") or []
+    asked = replace(loop, step=loop.step + 1)
+    try:
+        decision = decide({"task": loop.task, "elements": elements, "viewport": given.get("viewport"), "history": loop.history})
+        action, element_id, value = decision["action"], decision.get("elementId"), decision.get("value")
+    except Exception as e:  # a backend that fails ends the task, not the stream
+        return failed(f"backend: {e}"[:200], asked)
+    if action == "done":
+        new = replace(asked, status="COMPLETED")
+        return new, [row(new, action=action)]
+    if action == "ask_user":
+        keys = [f["key"] for f in decision.get("fields") or [] if isinstance(f, dict) and f.get("key")]
+        if not keys:
+            return failed("ask_user with no fields", asked)
+        new = replace(asked, status="WAITING_FOR_USER", pending={"action": action, "fields": keys})
+        return new, [row(new, action=action, value=",".join(keys))]
+    if action not in ACTIONS:
+        return failed(f"unknown action {action}", asked)
+    done = {"action": action, "elementId": element_id, "value": REDACTED if action == "type" else value}
+    if action != "scroll" and not any(e.get("id") == element_id for e in elements):
+        new = _next_step(asked, {**done, "result": {"success": False, "reason": "unknown element"}}, most)
+        return new, [row(new, "unknown element", action, element_id)]
+    label = _label(elements, element_id)
+    message = {"click": f'Clicking "{label}"…', "type": f'Typing into "{label}"…', "scroll": f"Scrolling {value or 'down'}…"}.get(action, f"Performing {action}…")
+    new = replace(asked, status="EXECUTING", pending=done)
+    return new, [row(new, None, action, element_id, value, message)]
+
+
 def scroll_delta(direction: Column, amount: int = SCROLL_BY) -> Column:
     return F.when(direction == "up", -amount).when(direction == "down", amount).otherwise(0)
 

@@ -81,6 +81,42 @@ def agent_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.crossJoin(F.broadcast(elements)).select("user_id", F.to_json(F.struct(task.alias("task"), "elements", steps.alias("history")), {"ignoreNullFields": "false"}).alias("payload"))
 
 
+def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as those of agent runs: a start now and then, snapshots in turn with results or answers."""
+    n, e = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.col("event_id")
+    kind = (
+        F.when(n % 45 == 1, "start").when(e % 97 == 0, "failed").when(e % 89 == 0, "reset").when(n % 2 == 0, "snapshot")
+        .when(e % 5 == 0, "answer").otherwise("result")
+    )
+    element = lambda i: F.struct((e % 30 + i).alias("id"), F.lit("button").alias("type"), F.when(e % 3 == 0, "Go").otherwise("").alias("text"))
+    body = (
+        F.when(kind == "start", F.concat(F.lit("task "), e.cast("string"))).when(kind == "snapshot", F.to_json(F.struct(F.array(element(0), element(1)).alias("elements"))))
+        .when(kind == "result", F.to_json(F.struct((e % 7 != 0).alias("success"), F.lit("element_not_visible").alias("reason")))).when(kind == "answer", F.lit('{"k0":"x"}')).when(kind == "failed", "no tab")
+    )
+    return _events(spark, sf_dir).select(F.col("user_id").alias("task"), "ts", e.alias("seq"), kind.alias("kind"), body.alias("body"))
+
+
+def rule_backend(request: dict) -> dict:
+    """A stand-in for a backend: its decision follows from the task's number, the history's length and the elements."""
+    k = int(request["task"].split()[-1]) + 3 * len(request["history"])
+    at = request["elements"][k % 2]["id"]
+    return [
+        {"action": "click", "elementId": at}, {"action": "type", "elementId": at, "value": f"secret {k}"}, {"action": "scroll", "value": "up" if k % 2 else None},
+        {"action": "ask_user", "fields": [{"key": "k0", "label": "City"}] if k % 3 else []}, {"action": "click", "elementId": at + 5}, {"action": "select", "elementId": at, "value": "x"},
+        {"action": "click", "elementId": at}, {"action": "done"} if k % 5 == 0 else {"action": "scroll"},
+    ][k % 8]
+
+
+def agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the agent's loop does at each event of the recorded runs."""
+    return streams.agent_loops(recorded_runs(spark, sf_dir), rule_backend).withColumnRenamed("task", "user_id")
+
+
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user from a stream over the event files."""
+    return streams.latest_events(spark, sf_dir)
+
+
 def collected_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last answer to each key of each user."""
     answers = _decisions(spark, sf_dir).where("action = 'ask_user'").select("user_id", F.struct("ts", "event_id").alias("o"), F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string")).alias("key"), F.col("value").alias("answer"))
@@ -145,7 +181,7 @@ def elements_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _elements(spark, sf_dir).select("element_id", e.alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (fsm_validate, fsm_resume_fix, state_history, agent_runs, describe_actions, validate_actions, agent_payload, collected_answers, latest_extraction, debounce_sessions, top_elements, scrub_props, stream_debounce, stream_states, stream_once, controller_verbs, user_form, elements_json)}
+QUERIES = {f.__name__: f for f in (fsm_validate, fsm_resume_fix, state_history, agent_runs, describe_actions, validate_actions, agent_payload, collected_answers, latest_extraction, debounce_sessions, top_elements, scrub_props, stream_debounce, stream_states, stream_once, stream_latest, agent_loop, controller_verbs, user_form, elements_json)}
 
 _LIST = "[" + ", ".join(f"'{s}'" for s in agent.STATES) + "]"
 _STATES = f"""st as (select user_id, ts, event_id, {_LIST}[(row_number() over (partition by user_id order by ts, event_id) + case when event_id % 7 = 0 then 1 else 0 end) % 12 + 1] as state from events),
@@ -182,6 +218,7 @@ ORACLE_SQL = {
       select user_id, to_json({{'task': 'task ' || user_id, 'elements': elements, 'history': history}})::varchar as payload from h, e""",
     "collected_answers": f"with {_DECIDED} select user_id, 'k' || event_id % 3 as key, arg_max(value, (ts, event_id)) as answer from d where action = 'ask_user' group by all",
     "latest_extraction": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
+    "stream_latest": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "debounce_sessions": f"{_SESSIONS} select * from d",
     "stream_debounce": f"{_SESSIONS} select * from d where fires_us <= (select epoch_ms(max(ts)) * 1000 - 600000000 from events)",
     "top_elements": "select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey) as rank from part qualify rank <= 25",

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageguard.operators.agent import STATES, Backend, allowed, decisions
+from pageguard.operators.agent import STATES, Backend, decisions
 from pageguard.sources.tables import run_folder
+from pageguard.streaming.agents import Decide, agent_loops, latest_stream, rocksdb, run_checks
 
 WATERMARK = "10 minutes"
 
@@ -33,9 +32,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
 
 
-def _finish(stream: DataFrame) -> DataFrame:
-    """Run a stream over what is there into a table in the shared folder, and read it back."""
-    at = run_folder(stream.sparkSession)
+def _finish(stream: DataFrame, at: str | None = None) -> DataFrame:
+    """Run a stream over what is there into a table in the shared folder (or that of an earlier run), and read it back."""
+    at = at or run_folder(stream.sparkSession)
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
@@ -45,69 +44,31 @@ def debounced_stream(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
     return _finish(debounce(event_stream(spark, sf_dir), "user_id", gap))
 
 
-def transitions(steps: DataFrame, known: DataFrame) -> DataFrame:
-    """steps (user_id, ts, event_id, state) with each one's previous state and whether it may follow it.
-
-    known holds the states before these steps, as check_transitions gives them. A task that was completed starts anew.
-    Steps are sorted by Spark: nothing gathers a task's rows.
-    """
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    before = known.where("state != 'COMPLETED'").select("user_id", F.col("state").alias("was"), F.col("n_invalid").alias("bad"), F.col("n_steps").alias("seen"))
-    after = steps.select("*", F.lag("state").over(w).alias("previous")).join(before, "user_id", "left")
-    after = after.withColumn("previous", F.coalesce("previous", "was", F.lit("IDLE")))
-    return after.withColumn("valid", allowed(F.col("previous"), F.col("state"), False))
-
-
-def check_transitions(steps: DataFrame, known: DataFrame) -> DataFrame:
-    """Each task's state and counts after these steps, from known ones of the same columns."""
-    at = F.max_by("state", F.struct("ts", "event_id")).alias("state")
-    plus = lambda c: F.coalesce(F.max(c), F.lit(0))
-    n_invalid, n_steps = (plus("bad") + F.count_if(~F.col("valid"))).alias("n_invalid"), (plus("seen") + F.count("*")).alias("n_steps")
-    return transitions(steps, known).groupBy("user_id").agg(at, n_invalid, n_steps)
-
-
-_CHECKED = "user_id long, state string, n_invalid long, n_steps long"
-
-
-Listener = Callable[[DataFrame], None]
-
-
-def run_checks(steps: DataFrame, listeners: tuple[Listener, ...] = ()) -> DataFrame:
-    """The last state and counts of every task of a stream of steps.
-
-    Listeners get the valid changes (user_id, ts, event_id, previous, state) of each micro-batch as a DataFrame, in the
-    order in which they are given; invalid ones are counted only. A batch that is run again reaches them again.
-    """
-    spark, at = steps.sparkSession, run_folder(steps.sparkSession)
-    done: list[int] = []
-
-    def fold(batch: DataFrame, n: int) -> None:
-        own = batch.sparkSession
-        known = own.read.schema(_CHECKED).parquet(f"{at}/states/{done[-1]}") if done else own.createDataFrame([], _CHECKED)
-        new = check_transitions(batch, known)
-        new.unionByName(known.join(new.select("user_id"), "user_id", "left_anti")).write.mode("overwrite").parquet(f"{at}/states/{n}")
-        changed = transitions(batch, known).where("valid").select("user_id", "ts", "event_id", "previous", "state")
-        for tell in listeners:
-            tell(changed)
-        done.append(n)
-
-    steps.writeStream.foreachBatch(fold).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(_CHECKED).parquet(f"{at}/states/{done[-1]}") if done else spark.createDataFrame([], _CHECKED)
-
-
 def checked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.element_at(F.array(*map(F.lit, STATES)), (F.col("event_id") % 12 + 1).cast("int"))
     return run_checks(event_stream(spark, sf_dir).select("user_id", "ts", "event_id", state.alias("state")))
 
 
+def looped_stream(events: DataFrame, decide: Decide, at: str | None = None) -> DataFrame:
+    """agent_loops over what a stream of events holds; at: the folder of an earlier run to go on from."""
+    with rocksdb(events.sparkSession):
+        return _finish(agent_loops(events, decide), at)
+
+
 def decided_stream(payloads: DataFrame, elements: DataFrame, task: str, backend: Backend) -> DataFrame:
     """A backend's decisions on a stream of payloads, against a table of the pages' elements."""
     return _finish(decisions(payloads, elements, task, backend))
 
 
 def latest(events: DataFrame, key: str) -> DataFrame:
-    """The last event of each key; on a stream, in update or complete mode."""
-    return events.groupBy(key).agg(F.max_by(F.struct("event_id", "event_type", "value"), "ts").alias("last")).select(key, "last.*")
+    """The last event of each key by time, of several at one time the greatest id."""
+    return events.groupBy(key).agg(F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("last")).select(key, "last.*")
+
+
+def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, kept by a stream over the event files."""
+    out = latest_stream(event_stream(spark, sf_dir), "user_id", ["ts", "event_id"], ["ts", "event_id", "event_type", "value"])
+    return out.select("user_id", "event_id", "event_type", "value")
 
 
 def once(events: DataFrame, keys: list[str]) -> DataFrame:
