@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageguard.functions.geometry import Rect, iou
+from pageguard.sources.tables import written
 
 SCORE_THRESHOLD = 0.50
 NMS_THRESHOLD = 0.30
@@ -46,7 +48,7 @@ def suppress(boxes: DataFrame, group: str, threshold: float = NMS_THRESHOLD, top
     """Greedy non-maximum suppression in each group: the boxes that stay, best first, at most top_k.
 
     boxes: group, i, x, y, width, height, confidence. A group is one image's detections over the score threshold, which
-    the detector's anchors bound; equal scores go by i.
+    the detector's anchors bound; equal scores go by i. suppress_by_rounds gives the same for groups without a bound.
     """
     box = F.struct(F.col("confidence"), (-F.col("i")).alias("back"), F.col("x"), F.col("y"), F.col("width"), F.col("height"))
     listed = boxes.groupBy(group).agg(F.sort_array(F.collect_list(box), asc=False).alias("all"))
@@ -60,6 +62,53 @@ def suppress(boxes: DataFrame, group: str, threshold: float = NMS_THRESHOLD, top
     return out.select(group, (F.col("rank") + 1).cast("long").alias("rank"), (-F.col("b.back")).alias("i"), "b.x", "b.y", "b.width", "b.height", "b.confidence")
 
 
+def suppress_by_rounds(boxes: DataFrame, group: str, threshold: float = NMS_THRESHOLD, top_k: int = TOP_K, at_once: int = 200_000) -> DataFrame:
+    """The same rows as suppress, for groups of any size: nothing gathers a group's boxes.
+
+    Overlapping pairs come from the grid join. In each round the boxes that no undecided better one overlaps stay, and those
+    that they overlap go; what is decided leaves the pairs, so rounds get smaller. Once at_once pairs or fewer are left, each
+    group's are walked through in order in one task. Greedy suppression has one result, so the order of rounds is of no
+    account.
+    """
+    real = boxes.where("width > 0 and height > 0")
+    score = real.select(group, "i", "confidence")
+    side = lambda name: score.select(group, F.col("i").alias(name), F.col("confidence").alias(f"c_{name}"))
+    pairs = overlapping_pairs(real, group, threshold).join(side("a"), [group, "a"]).join(side("b"), [group, "b"])
+    first = (F.col("c_a") > F.col("c_b")) | ((F.col("c_a") == F.col("c_b")) & (F.col("a") < F.col("b")))
+    better, worse, of_better = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a")), F.greatest("c_a", "c_b")
+    left = written(pairs.select(group, better.alias("better"), worse.alias("worse"), of_better.alias("score")))
+    gone = None
+    while True:
+        n = left.count()
+        if n <= at_once:
+            kinds = f"`{group}` {left.schema[group].dataType.simpleString()}, worse {left.schema['worse'].dataType.simpleString()}"
+            more = left.groupBy(group).applyInPandas(_walk(group), kinds)
+            gone = more if gone is None else gone.unionByName(more)
+            break
+        losers = left.select(group, F.col("worse").alias("better")).distinct()
+        lost = written(left.join(losers, [group, "better"], "left_anti").select(group, "worse").distinct())
+        gone = lost if gone is None else gone.unionByName(lost)
+        rest = left.join(lost, [group, "worse"], "left_anti").join(lost.withColumnRenamed("worse", "better"), [group, "better"], "left_anti")
+        left = written(rest.select(*left.columns))
+    kept = boxes.join(written(gone).withColumnRenamed("worse", "i"), [group, "i"], "left_anti")
+    best = Window.partitionBy(group).orderBy(F.desc("confidence"), "i")
+    out = kept.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top_k)
+    return out.select(group, "rank", "i", "x", "y", "width", "height", "confidence")
+
+
+def _walk(group: str):
+    """Of one group's pairs, the boxes that go: pairs in the order of their better boxes."""
+
+    def walk(pairs: pd.DataFrame) -> pd.DataFrame:
+        out: set = set()
+        for _, better, worse in pairs.sort_values(["score", "better"], ascending=[False, True])[["score", "better", "worse"]].itertuples(index=False):
+            if better not in out:
+                out.add(worse)
+        return pd.DataFrame({group: pairs[group].iloc[0], "worse": list(out)})
+
+    return walk
+
+
 def decode_faces(tensors: DataFrame, group: str, stride: int, cells: int, image_w: float, image_h: float, threshold: float = SCORE_THRESHOLD) -> DataFrame:
     """Boxes in screenshot pixels from one stride's cls, obj (arrays of cells * cells) and bbox (4 values a cell) scores.
 

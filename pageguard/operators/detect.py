@@ -36,23 +36,40 @@ def has_items(text: Column) -> Column:
     return F.size(items(text)) > 0
 
 
-def offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """type, start (0-based code point) and match of every raw pattern hit, before length and checksum tests."""
-    text = F.col("_text")
+def _with_raw(df: DataFrame, text: Column) -> DataFrame:
+    """df with an array of raw hits (start, match) for each kind, in a column of its name."""
     raw = {
         "EMAIL": (patterns.EMAIL, F.contains(text, F.lit("@"))),
         "CARD": (patterns.CARD, text.rlike(r"\d[ -]?\d[ -]?\d")),
         "PHONE": (patterns.PHONE, text.rlike(r"\d{3}")),
         "IP_ADDRESS": (patterns.IPV4, text.rlike(r"\d\.\d")),
     }
-    own = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     for kind, (pattern, guard) in raw.items():
-        own = patterns.with_places(own, kind, text, pattern, F.coalesce(guard, F.lit(False)))
+        df = patterns.with_places(df, kind, text, pattern, F.coalesce(guard, F.lit(False)))
+    return df
+
+
+def offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """type, start (0-based code point) and match of every raw pattern hit, before length and checksum tests."""
+    own = _with_raw(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), F.col("_text"))
 
     def typed(kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("type"), x["start"].alias("start"), x["match"].alias("match")))
 
-    return own.select(F.col("_id").alias(id_col), F.explode(F.concat(*map(typed, raw))).alias("_item")).select(id_col, "_item.*")
+    return own.select(F.col("_id").alias(id_col), F.explode(F.concat(*map(typed, _KINDS))).alias("_item")).select(id_col, "_item.*")
+
+
+def with_placed_items(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """df with items() of the text in a column, each with its start (0-based code point): raw hits that pass the tests."""
+    own = _with_raw(df, F.col(text_col))
+
+    def placed(kind: str) -> Column:
+        find, hide = _KINDS[kind]
+        passed = find(F.col(text_col))
+        hits = F.filter(kind, lambda x: F.array_contains(passed, x["match"]))
+        return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("type"), x["match"].alias("match"), hide(x["match"]).alias("masked"), F.lit(CONFIDENCE[kind]).alias("confidence"), x["start"].alias("start")))
+
+    return own.withColumn(name, F.concat(*map(placed, _KINDS))).drop(*_KINDS)
 
 
 def bare_name(label: Column, value: Column, seen: Column) -> Column:

@@ -1,7 +1,8 @@
 """What a page shows: visible interactive elements, text runs, selectors, sensitive items.
 
-Works on the node table. Only inline styles are known, so there is no stylesheet cascade; boxes come from a layout table
-where there is one.
+Works on the node table. Styles are inline ones, and those of the page's own stylesheets where the nodes come from
+stylesheets.with_stylesheets. With a rendered.Layout, only what lies in the viewport and is not covered counts, and
+elements, runs and items have boxes.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageguard.functions import masking, patterns
-from pageguard.operators import detect
+from pageguard.operators import detect, rendered
+from pageguard.operators.rendered import Layout
 from pageguard.sources.tables import written
 
 # Roles and tags of interactive elements, and parents whose text is never shown.
@@ -82,13 +84,17 @@ def _selected_option(nodes: DataFrame) -> DataFrame:
     return choice.join(selects, ["page_id", "owner"]).groupBy("page_id", F.col("owner").alias("node_id")).agg(F.max("o").alias("o")).select("page_id", "node_id", F.col("o.text").alias("option_text"), F.col("o.value").alias("option_value"))
 
 
-def elements(nodes: DataFrame, compat: bool = False) -> DataFrame:
-    """Visible interactive elements with dense ids from 0 in each page.
+def elements(nodes: DataFrame, compat: bool = False, layout: Layout | None = None) -> DataFrame:
+    """Visible interactive elements with dense ids from 0 in each page; with a layout, those in view and not covered, with bbox.
 
     value is withheld for passwords and replaced where a pattern finds personal data in it; unless compat, so is text.
     extraction() also replaces bare names and what a tagger sees.
     """
     found = candidates(with_visibility(nodes)).where("shown")
+    bbox = []
+    if layout is not None:
+        found = found.join(rendered.on_top(nodes.where("kind = 'element'"), layout), ["page_id", "node_id"])
+        bbox = ["bbox"]
     found = found.join(_inner_text(nodes, found), ["page_id", "node_id"], "left").join(_selected_option(nodes), ["page_id", "node_id"], "left")
     tag, kind = F.col("tag"), F.lower(F.coalesce(attr("type"), F.lit("text")))
     blank = lambda c: F.nullif(c, F.lit(""))
@@ -105,14 +111,16 @@ def elements(nodes: DataFrame, compat: bool = False) -> DataFrame:
     label = F.substring(F.coalesce(blank(attr("aria-label")), blank(live), blank(F.col("inner")), F.lit("")), 1, 200)
     enabled = ~(has_attr("disabled") | (F.coalesce(attr("aria-disabled"), F.lit("")) == "true"))
     w = Window.partitionBy("page_id").orderBy("pass", "node_id")
-    out = found.select("page_id", "node_id", "path", "tag", (F.row_number().over(w) - 1).cast("long").alias("element_id"), element_kind().alias("type"), label.alias("text"), attr("aria-label").alias("aria_label"), attr("placeholder").alias("placeholder"), raw.alias("raw_value"), F.when(tag == "a", attr("href")).alias("href"), enabled.alias("enabled"))
+    out = found.select("page_id", "node_id", "path", "tag", (F.row_number().over(w) - 1).cast("long").alias("element_id"), element_kind().alias("type"), label.alias("text"), attr("aria-label").alias("aria_label"), attr("placeholder").alias("placeholder"), raw.alias("raw_value"), F.when(tag == "a", attr("href")).alias("href"), enabled.alias("enabled"), *bbox)
     out = out.withColumn("value", detect.redact_value(F.col("raw_value")))
     return out if compat else out.withColumn("text", detect.redact_value(F.col("text")))
 
 
-def text_runs(nodes: DataFrame) -> DataFrame:
+def text_runs(nodes: DataFrame, layout: Layout | None = None) -> DataFrame:
     """page_id, node_id, path, text (trimmed) and lead_ws of text that has a box and is not hidden by a style.
 
+    With a layout: of text of which a part lies in the viewport, with bbox.
+
     Nothing under display:none, the hidden attribute or a skipped tag has a box; visibility is inherited from the nearest
     element that sets it; opacity counts at the text's parent only.
     """
@@ -126,7 +134,8 @@ def text_runs(nodes: DataFrame) -> DataFrame:
     rules = elements_.select("page_id", F.col("node_id").alias("over"), boxless.alias("boxless"), seen.alias("seen")).where("boxless or seen is not null")
     over = text.select("page_id", "node_id", F.explode("path").alias("over")).join(rules, ["page_id", "over"])
     hidden = over.groupBy("page_id", "node_id").agg((F.bool_or("boxless") | ~F.coalesce(F.max("seen")["yes"], F.lit(True))).alias("hidden")).where("hidden")
-    return text.join(own, ["page_id", "parent_id"]).where("opaque").join(hidden, ["page_id", "node_id"], "left_anti").select("page_id", "node_id", "path", "text", "lead_ws", "parent_tag")
+    out = text.join(own, ["page_id", "parent_id"]).where("opaque").join(hidden, ["page_id", "node_id"], "left_anti").select("page_id", "node_id", "path", "text", "lead_ws", "parent_tag")
+    return out if layout is None else rendered.shown_runs(out, layout)
 
 
 def runs_with_elements(runs: DataFrame, elements_: DataFrame) -> DataFrame:
@@ -161,7 +170,7 @@ def resolve_again(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 Tagger = Callable[[DataFrame], DataFrame]
-_ITEMS = "array<struct<type:string,match:string,masked:string,confidence:double>>"
+_ITEMS = "array<struct<type:string,match:string,masked:string,confidence:double,start:int>>"
 
 
 def with_tags(elements_: DataFrame, runs: DataFrame, tagger: Tagger | None) -> tuple[DataFrame, DataFrame]:
@@ -178,7 +187,8 @@ def with_tags(elements_: DataFrame, runs: DataFrame, tagger: Tagger | None) -> t
     texts = runs.select(key(False), "text").unionByName(elements_.where("raw_value is not null").select(key(True), F.col("raw_value").alias("text")))
     hits = tagger(texts)
     status = F.coalesce("ner_status", F.lit("ok")) if "ner_status" in hits.columns else F.lit("ok")
-    item = F.struct("type", "match", "masked", F.col("confidence").cast("double").alias("confidence"))
+    start = F.col("start") if "start" in hits.columns else F.lit(None)
+    item = F.struct("type", "match", "masked", F.col("confidence").cast("double").alias("confidence"), start.cast("int").alias("start"))
     own = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("type").isNotNull(), item))).alias("tagged"), F.bool_or(status != "ok").alias("failed"))
     own = written(own.select("id.*", "tagged", "failed"))
 
@@ -189,23 +199,32 @@ def with_tags(elements_: DataFrame, runs: DataFrame, tagger: Tagger | None) -> t
     return joined(elements_, True), joined(runs, False)
 
 
-def sensitive_items(pages: DataFrame, nodes: DataFrame, elements_: DataFrame, runs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+def sensitive_items(pages: DataFrame, nodes: DataFrame, elements_: DataFrame, runs: DataFrame, tagger: Tagger | None = None, layout: Layout | None = None) -> DataFrame:
     """page_id, type, masked, confidence, element_id: of text runs, of links' URLs, and of form values.
 
     The tagger's items join those of the patterns, and a value in which it has seen a name is not taken for a bare one again.
-    Elements and runs may come from with_tags already.
+    Elements and runs may come from with_tags already. With a layout there is bbox too: of the match in its line or lines
+    (null if that is off the screen; of the whole run where a tagger does not say where), or of the element.
     """
     if "tagged" not in runs.columns:
         elements_, runs = with_tags(elements_, runs, tagger)
-    flat = lambda df, found: df.select("page_id", "element_id", F.explode(found).alias("i")).select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
-    of_text = flat(runs, F.concat(detect.items(F.col("text")), "tagged"))
-    links = elements_.where("href is not null").join(pages.select("page_id", "url"), "page_id").select("page_id", "element_id", detect.url_item(F.col("href"), F.col("url")).alias("i")).where("i is not null")
-    of_links = links.select("page_id", "i.type", "i.masked", "i.confidence", "element_id")
+    bbox = ["bbox"] if layout is not None else []
+    item = lambda df, found, *cols: df.select("page_id", "element_id", *cols, F.explode(found).alias("i"))
+    flat = lambda df: df.select("page_id", "i.type", "i.masked", "i.confidence", "element_id", *bbox)
+    no_start = lambda found: F.transform(found, lambda i: F.struct(*(i[c].alias(c) for c in ("type", "match", "masked", "confidence")), F.lit(None).cast("int").alias("start")))
+    if layout is None:
+        of_text = item(runs, F.concat(no_start(detect.items(F.col("text"))), "tagged"))
+    else:
+        placed = item(detect.with_placed_items(runs, "text", "_items"), F.concat("_items", "tagged"), "node_id", "lead_ws", F.col("bbox").alias("of_run"))
+        placed = placed.withColumn("start", (F.col("i.start") + F.col("lead_ws")).cast("int")).withColumn("end", (F.col("start") + F.length("i.match")).cast("int"))
+        known = rendered.range_boxes(placed.where("start is not null").select("page_id", "node_id", "start", "end").distinct(), layout)
+        of_text = placed.join(known, ["page_id", "node_id", "start", "end"], "left").withColumn("bbox", F.when(F.col("start").isNull(), F.col("of_run")).otherwise(F.col("bbox")))
+    links = elements_.where("href is not null").join(pages.select("page_id", "url"), "page_id").select("page_id", "element_id", *bbox, detect.url_item(F.col("href"), F.col("url")).alias("i")).where("i is not null")
     name = F.struct(F.lit("NAME").alias("type"), F.lit("").alias("match"), masking.mask_name(patterns.trim(F.col("raw_value"))).alias("masked"), F.lit(patterns.CONFIDENCE["NAME"]).alias("confidence"))
     named = detect.bare_name(field_label(), F.col("raw_value"), F.exists("tagged", lambda i: i["type"] == "NAME"))
     bare = F.when(named, F.array(name)).otherwise(F.filter(F.array(name), lambda _: F.lit(False)))
-    of_values = flat(elements_.where("raw_value is not null"), F.concat(detect.items(F.col("raw_value")), "tagged", bare))
-    return of_text.unionByName(of_links).unionByName(of_values)
+    of_values = item(elements_.where("raw_value is not null"), F.concat(no_start(F.concat(detect.items(F.col("raw_value")), bare)), "tagged"), *bbox)
+    return flat(of_text).unionByName(flat(links)).unionByName(flat(of_values))
 
 
 def field_label() -> Column:
@@ -230,20 +249,21 @@ def withheld(elements_: DataFrame, runs: DataFrame, tagger: Tagger | None = None
     return own, runs.withColumn("text", F.when(seen, F.lit(patterns.LINE_MARK)).otherwise(F.col("text")))
 
 
-def extraction(pages: DataFrame, nodes: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+def extraction(pages: DataFrame, nodes: DataFrame, tagger: Tagger | None = None, layout: Layout | None = None) -> DataFrame:
     """One row per page: url, elements, visible_text and sensitive_items as arrays, their counts, and ner_status.
 
     A value or line with an item of any kind is replaced: by a pattern, a bare name, or what the tagger sees. Where the
     tagger could not look, the whole value or line is; ner_status is then `failed` (`off`: no tagger).
     """
-    el = elements(nodes)
-    el, runs = with_tags(el, runs_with_elements(text_runs(nodes), el), tagger)
-    items = sensitive_items(pages, nodes, el, runs, tagger)
+    el = elements(nodes, layout=layout)
+    el, runs = with_tags(el, runs_with_elements(text_runs(nodes, layout), el), tagger)
+    items = sensitive_items(pages, nodes, el, runs, tagger, layout)
+    bbox = ["bbox"] if layout is not None else []
     el, runs = withheld(el, runs, tagger)
     listed = lambda df, name, *cols: df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
     shown = runs.withColumn("text", detect.redact_line(F.col("text")))
-    out = pages.select("page_id", "url").join(listed(el, "elements", "element_id", "type", "text", "placeholder", "value", "href", "enabled"), "page_id", "left")
-    out = out.join(listed(shown, "visible_text", "node_id", "text", "element_id"), "page_id", "left").join(listed(items, "sensitive_items", "type", "masked", "confidence", "element_id"), "page_id", "left")
+    out = pages.select("page_id", "url").join(listed(el, "elements", "element_id", "type", "text", "placeholder", "value", "href", "enabled", *bbox), "page_id", "left")
+    out = out.join(listed(shown, "visible_text", "node_id", "text", "element_id", *bbox), "page_id", "left").join(listed(items, "sensitive_items", "type", "masked", "confidence", "element_id", *bbox), "page_id", "left")
     status = F.lit("off").alias("ner_status")
     if tagger is not None:
         bad = runs.where("failed").select("page_id").union(el.where("failed").select("page_id")).distinct().withColumn("bad", F.lit(True))

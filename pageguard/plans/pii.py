@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageguard.functions import masking, patterns, urls
 from pageguard.functions.geometry import in_viewport
-from pageguard.operators import detect
+from pageguard.operators import detect, rendered
 from pageguard.operators.layout import text_box
 from pageguard.sources.tables import table
 
@@ -40,6 +40,19 @@ def match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "type", *(patterns.js_round(c).alias(n) for n, c in zip(box._fields, box)))
 
 
+def range_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where all raw hits lie in texts that are laid out in lines of 80 characters of 8 x 16 pixels; null if off the screen."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.lit(0).alias("node_id"), "text")
+    n = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 80).cast("int"))).alias("n")
+    lines = docs.where(F.length("text") > 0).select("page_id", "node_id", F.length("text").alias("size"), n).withColumn("start", F.col("n") * 80).withColumn("end", F.least(F.col("start") + 80, F.col("size")))
+    at = {"x": F.lit(0), "y": F.col("n") * 16, "width": (F.col("end") - F.col("start")) * 8, "height": F.lit(16)}
+    lines = lines.select("page_id", "node_id", "start", "end", *(c.cast("double").alias(k) for k, c in at.items()))
+    views = docs.select("page_id", F.lit(600).alias("width"), F.lit(4800).alias("height")).distinct()
+    hits = detect.offsets(docs, "page_id", "text").select("page_id", F.lit(0).alias("node_id"), "start", (F.col("start") + F.length("match")).alias("end")).distinct()
+    out = rendered.range_boxes(hits, rendered.Layout(lines.limit(0), lines, views))
+    return out.select(F.col("page_id").alias("doc_id"), *(F.col(c).cast("long").alias(c) for c in ("start", "end")), *(F.col(f"bbox.{c}").alias(c) for c in ("x", "y", "width", "height")))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     return lines.select("doc_id", F.col("line").cast("long").alias("line"), patterns.trim(F.col("raw")).alias("text")).where("text <> ''")
@@ -115,6 +128,7 @@ QUERIES = {
     "pii_counts": pii_counts,
     "pii_offsets": pii_offsets,
     "match_boxes": match_boxes,
+    "range_boxes": range_boxes,
     "redact_lines": redact_lines,
     "redact_values": redact_values,
     "redact_line_values": redact_line_values,
@@ -177,6 +191,11 @@ ORACLE_SQL = {
     "pii_counts": f"select type, count(*) as n_items, count(distinct doc_id) as n_docs from ({_all(**_DOC)}) group by type",
     "pii_offsets": _OFFSETS,
     "match_boxes": f"""select doc_id, type, start % 80 * 8 as x, start // 80 * 16 as y, length(match) * 8 as width, 16::bigint as height from ({_OFFSETS}) where start // 80 * 16 < 720 and start % 80 * 8 < 1280""",
+    "range_boxes": f"""with h as (select distinct doc_id, start, start + length(match) as "end" from ({_OFFSETS})),
+      p as (select *, start // 80 as a, ("end" - 1) // 80 as b from h),
+      r as (select *, case when a = b then start % 80 * 8 else 0 end as x, a * 16 as y, case when a = b then ("end" - start) * 8 else 640 end as width, (b - a + 1) * 16 as height from p)
+      select doc_id, start, "end", case when ok then x end as x, case when ok then y end as y, case when ok then width end as width, case when ok then height end as height
+      from (select *, y < 4800 and x < 600 as ok from r)""",
     "redact_lines": f"""with lines as ({_LINES}), keyed as (select doc_id * 1000000 + line as k, * from lines),
       hit as (select distinct k from ({_all(id="k", text="text", src="keyed")}))
       select doc_id, line, case when hit.k is not null then '{patterns.LINE_MARK}' else substr(text, 1, 300) end as text from keyed left join hit using (k)""",

@@ -92,6 +92,12 @@ def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.suppress(_boxes(spark, sf_dir).where(F.col("confidence") >= boxes.SCORE_THRESHOLD), "image_id").select("image_id", "rank", "i", "confidence")
 
 
+def nms_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same boxes by rounds of local maxima, as for images of any number of boxes."""
+    found = _boxes(spark, sf_dir).where(F.col("confidence") >= boxes.SCORE_THRESHOLD)
+    return boxes.suppress_by_rounds(found, "image_id", at_once=100).select("image_id", "rank", "i", "confidence")
+
+
 def yunet_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8 x 8 score maps of a detector with stride 80."""
     e = F.transform("embedding", lambda v: v.cast("double"))
@@ -107,7 +113,7 @@ def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topmost(_boxes(spark, sf_dir).withColumnRenamed("i", "z"), "image_id", "z", VIEW_W, VIEW_H)
 
 
-QUERIES = {f.__name__: f for f in (viewport_filter, geometry, map_boxes, screenshot_boxes, face_boxes, face_boxes_legacy, redaction_boxes, rounded_boxes, iou_pairs, nms_boxes, yunet_decode, hit_test)}
+QUERIES = {f.__name__: f for f in (viewport_filter, geometry, map_boxes, screenshot_boxes, face_boxes, face_boxes_legacy, redaction_boxes, rounded_boxes, iou_pairs, nms_boxes, nms_rounds, yunet_decode, hit_test)}
 
 _RECTS = "rects as (select p_partkey, (p_partkey * 37 % 1600 - 150)::double as x, (p_partkey * 53 % 1000 - 120)::double as y, (p_size * 3 % 140 - 5)::double as w, (p_partkey % 90 - 2)::double as h from part)"
 _FACES = "faces as (select p_partkey, p_partkey * 7919 % 100000 / 50.0::double as x, p_partkey * 104729 % 100000 / 90.0::double as y, p_size * 1.7::double as w, p_size * 2.3::double as h from part)"
@@ -125,7 +131,7 @@ def _iou(a: str, b: str) -> str:
     return _IOU.format(a=a, b=b, i=inner)
 
 
-ORACLE_SQL = {
+ORACLE_SQL: dict[str, str] = {
     "viewport_filter": f"with {_RECTS} select p_partkey, w > 0 and h > 0 and y + h > 0 and x + w > 0 and y < 720 and x < 1280 as visible from rects",
     "geometry": f"""with {_RECTS}, p as (select p_partkey, (x - 2.5) * 0.5 as x, (y - 2.5) * 0.25 as y, (w + 5) * 0.5 as w, (h + 5) * 0.25 as h from rects)
       select p_partkey, round(greatest(0, x), 6)::double as x, round(greatest(0, y), 6)::double as y, round(greatest(0, least(1280, x + w) - greatest(0, x)), 6)::double as width,
@@ -138,6 +144,13 @@ ORACLE_SQL = {
       select kind, count(*) as n, round(sum(width * height), 2) as area from u group by kind""",
     "rounded_boxes": f"with {_RECTS} select p_partkey, floor(x / 4 - 7)::bigint as x, floor(y / 4 - 7)::bigint as y, floor(w / 4 - 7)::bigint as width, floor(h / 4 - 7)::bigint as height from rects",
     "iou_pairs": f"with {_BOXES} select a.image_id, a.i as a, b.i as b, round({_iou('a', 'b')}, 9)::double as iou from boxes a join boxes b on a.image_id = b.image_id and a.i < b.i where {_iou('a', 'b')} >= 0.3",
+    "screenshot_boxes": f"""with {_RECTS}, v as (select n_nationkey::bigint as page, 960.0::double + n_nationkey * 32 as vw, 540.0::double + n_nationkey * 18 as vh from nation),
+      j as (select r.*, p_partkey % 27 as page, vw, vh, case when v.page % 7 != 3 then vw * (1 + v.page % 3) end as iw, case when v.page % 7 != 3 then vh * (1 + v.page % 2) end as ih from rects r left join v on v.page = p_partkey % 27),
+      s as (select *, iw / vw as sx, ih / vh as sy, 4 * (iw / vw + ih / vh) / 2 as pad from j),
+      m as (select *, greatest(0, x * sx - pad) as x1, greatest(0, y * sy - pad) as y1, least(iw, x * sx - pad + w * sx + pad * 2) as x2, least(ih, y * sy - pad + h * sy + pad * 2) as y2 from s),
+      k as (select *, coalesce(x2 > x1 and y2 > y1, false) as ok from m)
+      select p_partkey, page::bigint as page, coalesce(w > 0 and h > 0 and y + h > 0 and x + w > 0 and y < vh and x < vw, false) as visible,
+      case when ok then round(x1, 6)::double end as x, case when ok then round(y1, 6)::double end as y, case when ok then round(x2 - x1, 6)::double end as width, case when ok then round(y2 - y1, 6)::double end as height from k""",
     "nms_boxes": f"""with recursive {_BOXES}, ranked as (select *, row_number() over (partition by image_id order by confidence desc, i) as n from boxes where confidence >= 0.5),
       walk as (select image_id, n, [{{'i': i, 'x': x, 'y': y, 'w': w, 'h': h, 'c': confidence}}] as kept from ranked where n = 1 union all
         select r.image_id, r.n, case when len(list_filter(k.kept, lambda q: {_iou('q', 'r')} >= 0.3)) > 0 then k.kept else list_append(k.kept, {{'i': r.i, 'x': r.x, 'y': r.y, 'w': r.w, 'h': r.h, 'c': r.confidence}}) end
@@ -155,3 +168,4 @@ ORACLE_SQL = {
       t as (select a.image_id, a.i, max(b.i) as top from c a join boxes b on a.image_id = b.image_id and a.cx >= b.x and a.cx < b.x + b.w and a.cy >= b.y and a.cy < b.y + b.h group by all)
       select a.image_id, a.i as z, t.top, coalesce(t.top = a.i, true) as on_top from boxes a left join t on t.image_id = a.image_id and t.i = a.i""",
 }
+ORACLE_SQL["nms_rounds"] = ORACLE_SQL["nms_boxes"]
