@@ -133,11 +133,14 @@ def _read_png(d: bytes, at: int) -> Found:
         return None
     if not shape or shape[2:] != (8, 0, 0, 0, 0):
         return None
+    size = shape[1] * (shape[0] + 1)
+    unpacker = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(packed))
+        raw = unpacker.decompress(b"".join(packed), size + 1)  # never more than the header declares
+        rest = b"" if len(raw) > size else unpacker.decompress(unpacker.unconsumed_tail, 1)
     except zlib.error:
         return None
-    if len(raw) != shape[1] * (shape[0] + 1):
+    if len(raw) != size or rest or not unpacker.eof or unpacker.unused_data:
         return None
     rows = np.frombuffer(raw, np.uint8).reshape(shape[1], shape[0] + 1)
     return None if rows[:, 0].any() else (p, rows[:, 1:].tobytes())

@@ -3,7 +3,9 @@
 `plan_records` decides response or revisit, `write_archives` packs records as gzip members into archive blobs, and
 `read_archives` reads them back. After a member or record fails a check (gzip checksum, version line, header block,
 content length, payload digest, payload length), the reader searches for the next valid member or version line, goes on there, and
-returns the skipped bytes as a row of kind `gap` with the reason.
+returns the skipped bytes as a row of kind `gap` with the reason. Bytes skipped inside a member that is whole have a row for
+each stretch, with its place among the unpacked bytes. Members are unpacked in small steps, and only as far as the lengths
+that their records declare reach (and UNDECLARED bytes more), so a small member cannot fill a worker's memory.
 
 Defined results: null html is an empty payload; payloads under MIN_REVISIT bytes are never revisited; a row whose id is
 null or equal to the response's id is a response; control characters in a url are percent-encoded.
@@ -26,6 +28,9 @@ from .common import tidy
 MIN_REVISIT = 100
 #: Bytes at which an archive is closed.
 ARCHIVE_BYTES = 4 << 20
+#: Compressed bytes and unpacked bytes of one step; unpacked bytes of a member that no record declares, and of one record.
+STEP, UNPACKED = 1 << 16, 1 << 20
+UNDECLARED, MOST_RECORD = 1 << 20, 1 << 30
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
@@ -100,14 +105,37 @@ def write_archives(records: DataFrame) -> DataFrame:
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at `at` and where it ends, if it is whole and its checksum holds."""
-    unpacker = zlib.decompressobj(31)
-    try:
-        out = unpacker.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None
-    return (out, len(data) - len(unpacker.unused_data)) if unpacker.eof else None
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", re.I)
+
+
+def _declared(out: bytearray, at: int) -> int | None:
+    """Bytes that the record at `at` says it has, or None as long as its headers are not whole."""
+    stop = out.find(b"\r\n\r\n", at)
+    m = _LENGTH.search(out, at, stop + 2) if stop >= 0 and out.startswith(b"WARC/1.", at) else None
+    return stop + 8 - at + int(m[1]) if m else None
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
+    """The gzip member at `at` and where it ends, or why it is not whole, its checksum does not hold, or it is too large."""
+    unpacker, view, out = zlib.decompressobj(31), memoryview(data), bytearray()
+    known = 0  # unpacked bytes that records declare
+    while not unpacker.eof:
+        piece = unpacker.unconsumed_tail
+        if not piece:
+            piece, at = view[at : at + STEP], at + STEP
+            if not piece:
+                return "bad gzip member"
+        try:
+            out += unpacker.decompress(piece, UNPACKED)
+        except zlib.error:
+            return "bad gzip member"
+        while known < len(out) and (size := _declared(out, known)):
+            if size > MOST_RECORD:
+                return "record too large"
+            known += size
+        if len(out) > known + UNDECLARED:
+            return "more bytes than records declare"
+    return bytes(out), min(at, len(data)) - len(unpacker.unused_data)
 
 
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
@@ -141,58 +169,67 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict[str, str], bytes]]:
-    """Rows of an archive: kind (`record` or `gap`), place, length, reason, headers, block. Plain and gzip records mix."""
+    """Rows of an archive: kind (`record` or `gap`), place, length, reason, headers, block. Plain and gzip records mix.
+
+    A gap inside a member has the member's place and length, and its own among the unpacked bytes in inner-start and
+    inner-length of its headers.
+    """
     at = 0
     while at < len(data):
-        packed = data[at : at + 2] == b"\x1f\x8b"
-        if packed and (got := _inflate(data, at)):
-            inner, end = got
-            p, reason = 0, ""
-            while p < len(inner):
-                one = _parse(inner, p)
-                if isinstance(one, str):
-                    reason = one
+        one: str | tuple = "bad gzip member"
+        if data.startswith(b"\x1f\x8b", at):
+            got = _inflate(data, at)
+            if not isinstance(got, str):
+                inner, end = got
+                p = 0
+                while p < len(inner):
+                    found = _parse(inner, p)
+                    if not isinstance(found, str):
+                        yield "record", at, end - at, "", found[0], found[1]
+                        p = found[2]
+                        continue
                     m = _VERSION.search(inner, p + 1)
-                    p = m.start() if m else len(inner)
-                else:
-                    yield "record", at, end - at, "", one[0], one[1]
-                    p = one[2]
-            if reason:
-                yield "gap", at, end - at, reason, {}, b""
-            at = end
-            continue
-        one = "bad gzip member" if packed else _parse(data, at)
+                    stop = m.start() if m else len(inner)
+                    yield "gap", at, end - at, found, {"inner-start": str(p), "inner-length": str(stop - p)}, b""
+                    p = stop
+                at = end
+                continue
+            one = got
+        else:
+            one = _parse(data, at)
         if not isinstance(one, str):
             yield "record", at, one[2] - at, "", one[0], one[1]
             at = one[2]
             continue
-        nxt = at + 1
-        while nxt < len(data):
-            m = _VERSION.search(data, nxt)
-            hits = [i for i in (data.find(b"\x1f\x8b\x08", nxt), m.start() if m else -1) if i >= 0]
-            if not hits:
-                nxt = len(data)
-                break
-            nxt = min(hits)
-            if data[nxt : nxt + 2] != b"\x1f\x8b" or _starts_record(data, nxt):
-                break
-            nxt += 1
+        nxt = _next_start(data, at + 1)
         yield "gap", at, nxt - at, one, {}, b""
         at = nxt
 
 
+def _next_start(data: bytes, at: int) -> int:
+    """The next version line, or member that begins with one; each is looked for once, however many bytes look like a member."""
+    m = _VERSION.search(data, at)
+    line = m.start() if m else len(data)
+    while 0 <= (member_ := data.find(b"\x1f\x8b\x08", at, line + 2)) < line:
+        if _starts_record(data, member_):
+            return member_
+        at = member_ + 1
+    return line
+
+
 def _starts_record(data: bytes, at: int) -> bool:
     """Whether the gzip member at `at` unpacks to a version line; a look at its first bytes."""
     try:
-        return bool(_VERSION.match(zlib.decompressobj(31).decompress(data[at : at + 4096], 16)))
+        return bool(_VERSION.match(zlib.decompressobj(31).decompress(memoryview(data)[at : at + 4096], 16)))
     except zlib.error:
         return False
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """kind, archive_id, start, length, reason, and of records page_id, record_type, refers_to, digest, payload_bytes, block."""
-    names = ["kind", "archive_id", "start", "length", "reason", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "block"]
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    """kind, archive_id, start, length, reason, of records page_id, record_type, refers_to, digest, payload_bytes, block; of
+    gaps inside a member inner_start and inner_length."""
+    names = ["kind", "archive_id", "start", "length", "reason", "inner_start", "inner_length", "page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "block"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,14 +237,15 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 rows = []
                 for kind, at, n, reason, head, block in salvage(content or b""):
                     size = head.get("warc-payload-length", str(len(block)))
-                    rows.append((kind, archive, at, n, reason, _id(head.get("warc-record-id", "")), head.get("warc-type"), _id(head.get("warc-refers-to", "")), head.get("warc-payload-digest", "").removeprefix("sha256:") or None, int(size), block))
+                    inner = [int(head[k]) if k in head and kind == "gap" else None for k in ("inner-start", "inner-length")]
+                    rows.append((kind, archive, at, n, reason, *inner, _id(head.get("warc-record-id", "")), head.get("warc-type"), _id(head.get("warc-refers-to", "")), head.get("warc-payload-digest", "").removeprefix("sha256:") or None, int(size), block))
                     if len(rows) >= 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return archives.select("archive_id", "content").mapInArrow(tidy(run), "kind string, archive_id string, start long, length long, reason string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, block binary")
+    return archives.select("archive_id", "content").mapInArrow(tidy(run), "kind string, archive_id string, start long, length long, reason string, inner_start long, inner_length long, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, block binary")
 
 
 ORACLE_SQL = """

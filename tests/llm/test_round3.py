@@ -1,13 +1,16 @@
 """Faults found in reviews, each held by a test."""
 
+import hashlib
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from pageguard.llm import common, language, near_dedup, samples, toxicity
+from pageguard.llm import common, language, media, near_dedup, samples, toxicity, warc
 from pageguard.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -67,3 +70,59 @@ def test_toxicity_on_training_rows_and_neutral_mentions(spark):
         wrong += model.score(f"{text} {term}") >= toxicity.THRESHOLD > model.score(text)
     assert wrong == 0
     assert all(zlib.crc32(str(i).encode()) % 5 for i in sample.column("doc_id").to_pylist()) and isinstance(sample, pa.Table)
+
+
+def member_of(*records):
+    return warc.member(b"".join(records))
+
+
+def record(i, body):
+    return warc.record(i, "u", body, hashlib.sha256(body).hexdigest(), "response", None)
+
+
+def test_reading_members_back_is_linear():
+    def seconds(n):
+        data = b"".join(member_of(record(i, b"x%d" % i)) for i in range(n))
+        began = time.process_time()
+        assert sum(k == "record" for k, *_ in warc.salvage(data)) == n
+        return time.process_time() - began, len(data)
+
+    (one, _), (eight, size) = seconds(9000), seconds(72_000)
+    assert eight < 16 * max(one, 0.05) and size > 16_000_000 and eight < 12
+
+
+def test_gaps_inside_a_member_have_their_own_places():
+    a, b, c = record(1, b"one"), record(2, b"two"), record(3, b"three")
+    hurt = b.replace(b"two", b"2wo")
+    rows = list(warc.salvage(member_of(a, b"junk", hurt, c, b"tail") + member_of(b)))
+    assert [warc._id(h["warc-record-id"]) for k, _, _, _, h, _ in rows if k == "record"] == [1, 3, 2]
+    gaps = [(r, int(h["inner-start"]), int(h["inner-length"])) for k, _, _, r, h, _ in rows if k == "gap"]
+    assert gaps == [("no version line", len(a), 4), ("payload digest differs", len(a) + 4, len(hurt)), ("no version line", len(a) + 4 + len(hurt) + len(c), 4)]
+
+
+def test_members_cannot_swell():
+    bomb = warc.member(b"\0" * 400_000_000)
+    honest = record(7, b"y" * 3_000_000)
+    lying = warc.member(record(8, b"z").replace(b"Content-Length: 1", b"Content-Length: 1") + b"\0" * 300_000_000)
+    tracemalloc.start()
+    rows = list(warc.salvage(bomb + member_of(honest) + lying + member_of(record(9, b"nine"))))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [warc._id(h["warc-record-id"]) for k, _, _, _, h, _ in rows if k == "record"] == [7, 9] and most < 40_000_000
+    assert {r for k, _, _, r, *_ in rows if k == "gap"} == {"more bytes than records declare"}
+    huge = warc.member(record(1, b"a").replace(b"Content-Length: 1\r", b"Content-Length: 99999999999\r"))
+    assert [(k, r) for k, _, _, r, *_ in warc.salvage(huge)] == [("gap", "record too large")]
+
+
+def test_images_cannot_swell():
+    bomb = media._png(b"\0" * 192)
+    rows = zlib.compress(b"\0" * 200_000_000)
+    at = bomb.index(b"IDAT") - 4
+    bomb = bomb[:at] + media._png_chunk(b"IDAT", rows) + media._png_chunk(b"IEND", b"")
+    tracemalloc.start()
+    assert media.carve(bomb) == []
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5_000_000
+    whole = media._png(media.padded(b"text"))
+    assert media.carve(whole)[0][3] == media.padded(b"text") and media.carve(whole[:-30]) == []
