@@ -187,6 +187,7 @@ def agent_loops(events: DataFrame, decide: Decide, at: str = "ts", most: int = M
     something was refused. decide is the backend: from a redacted request to a decision, called in the workers.
     On a stream, start the query within rocksdb(spark).
     """
+    _ = events.sparkSession.streams.active  # the state stores' coordinator starts with the session's stream manager
     by_time = timed(events, at) and events.isStreaming
     kind = {f.name: f.dataType.simpleString() for f in events.schema}
     made = f"task {kind['task']}, {at} {kind[at]}, seq {kind['seq']}, {LOOP_ROWS}"
