@@ -262,7 +262,7 @@ def extraction(pages: DataFrame, nodes: DataFrame, tagger: Tagger | None = None,
     el, runs = withheld(el, runs, tagger)
     listed = lambda df, name, *cols: df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
     shown = runs.withColumn("text", detect.redact_line(F.col("text")))
-    out = pages.select("page_id", "url").join(listed(el, "elements", "element_id", "type", "text", "placeholder", "value", "href", "enabled", *bbox), "page_id", "left")
+    out = pages.select("page_id", "url").join(listed(el, "elements", "element_id", "type", "text", "aria_label", "placeholder", "value", "href", "enabled", *bbox), "page_id", "left")
     out = out.join(listed(shown, "visible_text", "node_id", "text", "element_id", *bbox), "page_id", "left").join(listed(items, "sensitive_items", "type", "masked", "confidence", "element_id", *bbox), "page_id", "left")
     status = F.lit("off").alias("ner_status")
     if tagger is not None:
@@ -272,3 +272,23 @@ def extraction(pages: DataFrame, nodes: DataFrame, tagger: Tagger | None = None,
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     empty = lambda c: F.greatest(size(c), F.lit(0)).alias(f"n_{c}")
     return out.select("page_id", "url", "elements", "visible_text", "sensitive_items", *map(empty, ("elements", "visible_text", "sensitive_items")), status)
+
+
+#: Rows of the details report's list of elements.
+MOST_ROWS = 25
+
+
+def details(extracted: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """page_id, n_elements, n_sensitive, elements (tag, line and, with a layout, box of the first `most`) and sensitive (tag and
+    line of all items) of extraction's rows: what a details panel shows of each page.
+    """
+    blank = lambda c: F.nullif(c, F.lit(""))
+    boxed = "bbox" in extracted.select(F.inline("elements")).columns
+    box = lambda e: [F.format_string("bbox: [%d, %d, %d, %d]", *(e["bbox"][c] for c in ("x", "y", "width", "height"))).alias("box")] if boxed else []
+    label = lambda e: F.coalesce(blank(e["text"]), blank(e["placeholder"]), blank(e["aria_label"]), F.lit("(no label)"))
+    element = lambda e: F.struct(e["type"].alias("tag"), F.concat(F.lit("["), e["element_id"].cast("string"), F.lit("] "), label(e)).alias("line"), *box(e))
+    share = lambda i: patterns.js_round(i["confidence"].cast("double") * 100).cast("string")
+    item = lambda i: F.struct(i["type"].alias("tag"), F.concat(i["masked"], F.lit("  (confidence "), share(i), F.lit("%)")).alias("line"))
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(extracted.schema[c].dataType))
+    first = F.transform(F.slice(none("elements"), 1, most), element).alias("elements")
+    return extracted.select("page_id", "n_elements", F.col("n_sensitive_items").alias("n_sensitive"), first, F.transform(none("sensitive_items"), item).alias("sensitive"))

@@ -90,7 +90,16 @@ def form_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.extraction(pages, html.nodes(pages)).select("page_id", "n_elements", "n_visible_text", "n_sensitive_items")
 
 
-QUERIES = {f.__name__: f for f in (form_elements, form_text_runs, form_items, form_selectors, form_rejoin, form_extraction)}
+def form_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each page's details report, and its counts as lines of their own."""
+    pages = _pages(spark, sf_dir)
+    report = page.details(page.extraction(pages, html.nodes(pages)))
+    counts = [F.struct(F.lit(n).alias("tag"), F.col(c).cast("string").alias("line")) for n, c in (("elements", "n_elements"), ("sensitive", "n_sensitive"))]
+    parts = F.map_from_arrays(F.array(*map(F.lit, ("count", "element", "sensitive"))), F.array(F.array(*counts), F.col("elements"), F.col("sensitive")))
+    return report.select("page_id", F.explode(parts).alias("part", "lines")).select("page_id", "part", F.inline("lines"))
+
+
+QUERIES = {f.__name__: f for f in (form_elements, form_text_runs, form_items, form_selectors, form_rejoin, form_extraction, form_details)}
 
 _C = f"c as (select c_custkey as page_id, c_custkey as k, c_custkey % 1000 as m, c_mktsegment as segment, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) as name, floor(abs(c_acctbal))::bigint as balance from customer)"
 #: Controls in order: type, text, aria-label, placeholder, value, href, enabled, selector, whether it is there later.
@@ -149,5 +158,10 @@ ORACLE_SQL = {
     ]),
     "form_selectors": _rows([f"{i}::bigint as element_id, {s} as selector" for i, (*_, s, _) in enumerate(_CONTROLS)] + ["null, 'html > body:nth-of-type(1) > ul:nth-of-type(1) > li:nth-of-type(1)'", "null, '[data-testid=\"second\"]'", "null, 'html > body:nth-of-type(1) > ul:nth-of-type(1) > li:nth-of-type(3)'"]),
     "form_rejoin": _rows([f"{i}::bigint as element_id, {f} as found" for i, (*_, f) in enumerate(_CONTROLS)]),
+    "form_details": _rows(
+        [f"'element' as part, {t} as tag, '[{i}] ' || coalesce(nullif({x}, ''), nullif({p}, ''), nullif({a}, ''), '(no label)') as line" for i, (t, x, a, p, *_) in enumerate(_CONTROLS)]
+        + [f"'count', 'elements', '{len(_CONTROLS)}'", "'count', 'sensitive', '4'", *[f"'sensitive', 'EMAIL', {_MASKED} || '  (confidence 98%)'"] * 2]
+        + ["'sensitive', 'SENSITIVE_URL_PARAM', 'https://shop.example.org/reset?...  (confidence 70%)'", "'sensitive', 'NAME', 'A' || repeat('*', len(name) + 3) || '  (confidence 60%)'"]
+    ),
     "form_extraction": _rows([f"{len(_CONTROLS)}::bigint as n_elements, {len(_RUNS)}::bigint as n_visible_text, 4::bigint as n_sensitive_items"]),
 }
