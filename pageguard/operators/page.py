@@ -255,8 +255,9 @@ def extraction(pages: DataFrame, nodes: DataFrame, tagger: Tagger | None = None,
     A value or line with an item of any kind is replaced: by a pattern, a bare name, or what the tagger sees. Where the
     tagger could not look, the whole value or line is; ner_status is then `failed` (`off`: no tagger).
     """
-    el = elements(nodes, layout=layout)
-    el, runs = with_tags(el, runs_with_elements(text_runs(nodes, layout), el), tagger)
+    # Elements and runs are read many times below; each is made once.
+    el = written(elements(nodes, layout=layout))
+    el, runs = with_tags(el, written(runs_with_elements(text_runs(nodes, layout), el)), tagger)
     items = sensitive_items(pages, nodes, el, runs, tagger, layout)
     bbox = ["bbox"] if layout is not None else []
     el, runs = withheld(el, runs, tagger)
