@@ -539,7 +539,9 @@ def marks(docs: DataFrame, windows: ByteWindows | WordWindows, group: int = GROU
     # Of a text with copies, the one with the least id is read; should several have that id, equal contexts fall together.
     texts = keyed.join(asked, ["k1", "k2"]).where("only is null or doc_id = only")
     contexts = materialize(texts.select("text", "asked").mapInArrow(tidy(_contexts()), _CONTEXT).dropDuplicates(["core", "extent"]))
-    found = materialize(_repeated_in_contexts(contexts, sizes, windows, group, across).where(F.size("begins") > 0))
+    found = _repeated_in_contexts(contexts, sizes, windows, group, across).where(F.size("begins") > 0)
+    # One row for each extent, whether its windows were compared together, by bands, or counted one by one.
+    found = materialize(found.groupBy("core", "extent").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends"))))
     whole = extents.where("low != high" if across else "n > 1").select("core", "extent", F.lit(True).alias("all"))
     part = found.join(whole, ["core", "extent"], "left_anti").select("core", "extent", F.lit(False).alias("all"), "begins", "ends")
     none = F.lit(None).cast("array<int>")
