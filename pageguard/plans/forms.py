@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageguard.operators import page
 from pageguard.sources import html
-from pageguard.sources.tables import table
+from pageguard.sources.tables import table, written
 
 BASE = "https://shop.example.org/account/form"
 #: {k}, {m}, {name}, {segment} and {balance} are filled from columns; {on} and {off} are attributes that some pages have.
@@ -44,15 +44,20 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.cast("long").alias("page_id"), F.lit(BASE).alias("url"), text.alias("html"))
 
 
+def _nodes(pages: DataFrame) -> DataFrame:
+    """The node table, parsed once and written down."""
+    return written(html.nodes(pages))
+
+
 def form_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible controls: kinds, labels, values that may be passed on, and whether they can be used."""
-    out = page.elements(html.nodes(_pages(spark, sf_dir)))
+    out = page.elements(_nodes(_pages(spark, sf_dir)))
     return out.select("page_id", "element_id", "type", "text", "aria_label", "placeholder", "value", "href", "enabled")
 
 
 def form_text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shown text in order, with its leading blanks and the control that it belongs to."""
-    nodes = html.nodes(_pages(spark, sf_dir))
+    nodes = _nodes(_pages(spark, sf_dir))
     runs = page.runs_with_elements(page.text_runs(nodes), page.elements(nodes))
     place = F.row_number().over(page.Window.partitionBy("page_id").orderBy("node_id")).cast("long")
     return runs.select("page_id", place.alias("place"), "text", F.col("lead_ws").cast("long").alias("lead_ws"), "element_id")
@@ -61,7 +66,7 @@ def form_text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def form_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensitive items of text, links and values, with the control that holds them."""
     pages = _pages(spark, sf_dir)
-    nodes = html.nodes(pages)
+    nodes = _nodes(pages)
     elements = page.elements(nodes)
     items = page.sensitive_items(pages, nodes, elements, page.runs_with_elements(page.text_runs(nodes), elements))
     return items.select("page_id", "type", "masked", F.round(F.col("confidence").cast("double"), 2).alias("confidence"), "element_id")
@@ -69,7 +74,7 @@ def form_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selectors of the controls and of the list."""
-    nodes = html.nodes(_pages(spark, sf_dir))
+    nodes = _nodes(_pages(spark, sf_dir))
     known = page.elements(nodes).select("page_id", "node_id", "element_id")
     named = nodes.where("kind = 'element'").join(known, ["page_id", "node_id"], "left").where("tag = 'li' or element_id is not null").select("page_id", "node_id", "element_id")
     return page.selectors(nodes).join(named, ["page_id", "node_id"]).select("page_id", "element_id", "selector")
@@ -78,8 +83,8 @@ def form_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def form_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Controls of a page found again, by their selectors, in a later state of it without its button to save and its list."""
     pages = _pages(spark, sf_dir)
-    nodes = html.nodes(pages)
-    later = html.nodes(pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<button[^>]*>Save .*?</button>", ""), "(?s)<ul>.*?</ul>", "")))
+    nodes = _nodes(pages)
+    later = _nodes(pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<button[^>]*>Save .*?</button>", ""), "(?s)<ul>.*?</ul>", "")))
     again = page.resolve_again(page.selectors(nodes), page.selectors(later)).withColumnRenamed("old_node", "node_id")
     return page.elements(nodes).select("page_id", "node_id", "element_id").join(again, ["page_id", "node_id"]).select("page_id", "element_id", F.col("new_node").isNotNull().alias("found"))
 
@@ -87,13 +92,13 @@ def form_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def form_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of what is extracted of each page."""
     pages = _pages(spark, sf_dir)
-    return page.extraction(pages, html.nodes(pages)).select("page_id", "n_elements", "n_visible_text", "n_sensitive_items")
+    return page.extraction(pages, _nodes(pages)).select("page_id", "n_elements", "n_visible_text", "n_sensitive_items")
 
 
 def form_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each page's details report, and its counts as lines of their own."""
     pages = _pages(spark, sf_dir)
-    report = page.details(page.extraction(pages, html.nodes(pages)))
+    report = page.details(page.extraction(pages, _nodes(pages)))
     counts = [F.struct(F.lit(n).alias("tag"), F.col(c).cast("string").alias("line")) for n, c in (("elements", "n_elements"), ("sensitive", "n_sensitive"))]
     parts = F.map_from_arrays(F.array(*map(F.lit, ("count", "element", "sensitive"))), F.array(F.array(*counts), F.col("elements"), F.col("sensitive")))
     return report.select("page_id", F.explode(parts).alias("part", "lines")).select("page_id", "part", F.inline("lines"))

@@ -8,25 +8,16 @@ from pyspark.sql import functions as F
 from pageguard.operators import page
 from pageguard.plans.pii import SPACE_SQL
 from pageguard.sources import html
-from pageguard.sources.tables import table
+from pageguard.sources.tables import table, written
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
-_KEPT: list[DataFrame] = []
-
-
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The node table, kept (on disk where memory is short) for plans that read it several times; the one kept before is given up.
-
-    A plan over a table that is no longer kept parses again, with the same result.
-    """
-    while _KEPT:
-        _KEPT.pop().unpersist()
-    _KEPT.append(html.nodes(_pages(spark, sf_dir)).persist())
-    return _KEPT[0]
+    """The node table, parsed once and written down for plans that read it several times."""
+    return written(html.nodes(_pages(spark, sf_dir)))
 
 
 def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,14 +71,15 @@ def validate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agent_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would be asked next for each user: task, page elements and history, as JSON text."""
-    elements = _elements(spark, sf_dir).agg(F.sort_array(F.collect_list(F.struct("element_id", "kind"))).alias("elements"))
+    # All users look at one page here; a page's elements are gathered into its row, and rows of tasks join their page's.
+    elements = _elements(spark, sf_dir).groupBy(F.lit(0).alias("page")).agg(F.sort_array(F.collect_list(F.struct("element_id", "kind"))).alias("elements"))
     kept = agent.history_value(F.col("action"), F.col("value")).alias("value")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     history = _decisions(spark, sf_dir).withColumn("n", F.row_number().over(w)).where(F.col("n") <= agent.MOST_STEPS)
     history = history.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("n", "action", "element_id", kept))).alias("h"))
     steps = F.transform("h", lambda x: F.struct(x["action"].alias("action"), x["element_id"].alias("element_id"), x["value"].alias("value")))
     task = F.concat(F.lit("task "), F.col("user_id").cast("string"))
-    return history.crossJoin(F.broadcast(elements)).select("user_id", F.to_json(F.struct(task.alias("task"), "elements", steps.alias("history")), {"ignoreNullFields": "false"}).alias("payload"))
+    return history.withColumn("page", F.lit(0)).join(elements, "page").select("user_id", F.to_json(F.struct(task.alias("task"), "elements", steps.alias("history")), {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
