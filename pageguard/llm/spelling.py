@@ -2,7 +2,7 @@
 
 1. word_counts: runs of letters of whole texts, A-Z in lower case, some shortened by a rule (see `shortened`), counted.
    A task adds up what it reads in a dictionary of at most HELD words and passes sums on.
-2. near_pairs: words at distance one (one code point inserted, deleted or replaced). The vocabulary is cut into cells that
+2. near_words: words at distance one (one code point inserted, deleted or replaced). The vocabulary is cut into cells that
    share the ends of their words. If u and v differ by one edit and the shorter has m code points, they share their first
    m // 2 or their last m // 2 ones; so each word goes to the cells of its own length and of the length below, by its
    beginning and by its end. What is left over of the words in a cell differs by one edit again, so a cell of more than
