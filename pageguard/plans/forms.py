@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageguard.operators import page
 from pageguard.sources import html
-from pageguard.sources.tables import table, written
+from pageguard.sources.tables import spread, table, written
 
 BASE = "https://shop.example.org/account/form"
 #: {k}, {m}, {name}, {segment} and {balance} are filled from columns; {on} and {off} are attributes that some pages have.
@@ -41,7 +41,9 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit(TEMPLATE)
     for name, value in filled.items():
         text = F.replace(text, F.lit("{" + name + "}"), value)
-    return table(spark, sf_dir, "customer").select(k.cast("long").alias("page_id"), F.lit(BASE).alias("url"), text.alias("html"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"))
+    # A customer's row is short beside its page: the customers' size says nothing of what a broadcast of pages takes.
+    return rows.hint("merge").select(k.cast("long").alias("page_id"), F.lit(BASE).alias("url"), text.alias("html"))
 
 
 def _nodes(pages: DataFrame) -> DataFrame:

@@ -27,7 +27,21 @@ def run_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, however often it is read, and safe from lost executors."""
+    """df as a table in the shared folder: computed once, however often it is read, and safe from lost executors.
+
+    Its files can be a hundredth of its rows (nodes of pages that are alike), and Spark takes the size of files for that of
+    rows. Joins with it shuffle, as a broadcast of it might not fit into the driver.
+    """
     path = run_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
+
+
+#: Rows that make one partition where a short row becomes much work.
+ROWS_A_TASK = 2000
+
+
+def spread(df: DataFrame, rows: int = ROWS_A_TASK) -> DataFrame:
+    """df dealt evenly to tasks by its number of rows: a small file of short rows is otherwise read by one task."""
+    n = -(-df.count() // rows)
+    return df.repartition(max(1, min(n, 20_000)))
