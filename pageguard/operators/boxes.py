@@ -41,7 +41,8 @@ def overlapping_pairs(boxes: DataFrame, group: str, threshold: float = NMS_THRES
     begins = (place(F.greatest("p.x", "q.x"), F.col("kx")) == F.col("cx")) & (place(F.greatest("p.y", "q.y"), F.col("ky")) == F.col("cy"))
     larger = (own(F.greatest("p.width", "q.width")) == F.col("kx")) & (own(F.greatest("p.height", "q.height")) == F.col("ky"))
     share = iou(Rect.of("p"), Rect.of("q"))
-    return left.join(right, keys).where("a < b").where(begins & larger).select(group, "a", "b", share.alias("iou")).where(F.col("iou") >= threshold)
+    # Dealt boxes are many times their table: by its size they would be broadcast, and be held whole by every task.
+    return left.join(right.hint("merge"), keys).where("a < b").where(begins & larger).select(group, "a", "b", share.alias("iou")).where(F.col("iou") >= threshold)
 
 
 def suppress(boxes: DataFrame, group: str, threshold: float = NMS_THRESHOLD, top_k: int = TOP_K) -> DataFrame:

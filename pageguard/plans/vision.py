@@ -9,7 +9,7 @@ from pageguard.functions.geometry import Rect, clamp, drawable, face_pixels, in_
 from pageguard.functions.patterns import js_round
 from pageguard.operators import boxes
 from pageguard.operators.layout import on_screenshots, topmost
-from pageguard.sources.tables import table
+from pageguard.sources.tables import spread, table
 
 VIEW_W, VIEW_H, IMAGE_W, IMAGE_H = 1280.0, 720.0, 1920.0, 1080.0
 
@@ -25,7 +25,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     cols = {"x": k * 37 % 500, "y": k * 53 % 400, "width": 40 + F.col("p_size") * 4, "height": 40 + F.col("p_size") * 3}
     conf = (k * 7919 % 1000 / 1000.0).alias("confidence")
-    return table(spark, sf_dir, "part").select(F.floor(k / 25).alias("image_id"), k.alias("i"), *(c.cast("double").alias(n) for n, c in cols.items()), conf)
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.floor(k / 25).alias("image_id"), k.alias("i"), *(c.cast("double").alias(n) for n, c in cols.items()), conf)
 
 
 def _flat(r: Rect, digits: int = 6) -> list:
