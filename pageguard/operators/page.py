@@ -42,10 +42,11 @@ def own_style_visible() -> Column:
     return ~(hidden | ((F.col("tag") == "input") & (F.lower(F.coalesce(attr("type"), F.lit(""))) == "hidden")))
 
 
-def with_visibility(nodes: DataFrame) -> DataFrame:
-    """Elements with style_ok (own) and shown (own and all ancestors')."""
-    el = nodes.where("kind = 'element'").withColumn("style_ok", own_style_visible())
-    hidden = el.where(~F.col("style_ok")).select("page_id", F.col("node_id").alias("over"))
+def with_visibility(nodes: DataFrame, asked: Callable[[DataFrame], DataFrame] = lambda el: el) -> DataFrame:
+    """Elements with style_ok (own) and shown (own and all ancestors'); only those that `asked` leaves of them."""
+    every = nodes.where("kind = 'element'").withColumn("style_ok", own_style_visible())
+    hidden = every.where(~F.col("style_ok")).select("page_id", F.col("node_id").alias("over"))
+    el = asked(every)
     under = el.select("page_id", "node_id", F.explode("path").alias("over")).join(hidden, ["page_id", "over"]).select("page_id", "node_id").distinct()
     return el.join(under.withColumn("covered", F.lit(True)), ["page_id", "node_id"], "left").withColumn("shown", F.col("covered").isNull()).drop("covered")
 
@@ -70,9 +71,14 @@ def element_kind() -> Column:
 
 
 def _inner_text(nodes: DataFrame, owners: DataFrame) -> DataFrame:
-    """page_id, node_id, inner: all text under each owner, in order."""
-    text = nodes.where("kind = 'text'").select("page_id", F.col("node_id").alias("at"), "text", F.explode("path").alias("node_id"))
-    return text.join(owners.select("page_id", "node_id"), ["page_id", "node_id"]).groupBy("page_id", "node_id").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("t")).select("page_id", "node_id", F.trim(F.array_join(F.transform("t", lambda x: x["text"]), "")).alias("inner"))
+    """page_id, node_id, inner: all text under each owner, in order.
+
+    Owners meet the ids of what is under them; texts come after, so that each is shuffled once and not for every ancestor.
+    """
+    text = nodes.where("kind = 'text'")
+    under = text.select("page_id", F.col("node_id").alias("at"), F.explode("path").alias("node_id")).join(owners.select("page_id", "node_id"), ["page_id", "node_id"])
+    own = text.select("page_id", F.col("node_id").alias("at"), "text")
+    return under.join(own, ["page_id", "at"]).groupBy("page_id", "node_id").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("t")).select("page_id", "node_id", F.trim(F.array_join(F.transform("t", lambda x: x["text"]), "")).alias("inner"))
 
 
 def _selected_option(nodes: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def elements(nodes: DataFrame, compat: bool = False, layout: Layout | None = Non
     value is withheld for passwords and replaced where a pattern finds personal data in it; unless compat, so is text.
     extraction() also replaces bare names and what a tagger sees.
     """
-    found = candidates(with_visibility(nodes)).where("shown")
+    found = with_visibility(nodes, candidates).where("shown")
     bbox = []
     if layout is not None:
         found = found.join(rendered.on_top(nodes.where("kind = 'element'"), layout), ["page_id", "node_id"])
@@ -117,7 +123,7 @@ def elements(nodes: DataFrame, compat: bool = False, layout: Layout | None = Non
 
 
 def text_runs(nodes: DataFrame, layout: Layout | None = None) -> DataFrame:
-    """page_id, node_id, path, text (trimmed) and lead_ws of text that has a box and is not hidden by a style.
+    """page_id, node_id, path, text (trimmed) and lead_ws of elements' text that has a box and is not hidden by a style.
 
     With a layout: of text of which a part lies in the viewport, with bbox.
 
@@ -125,16 +131,16 @@ def text_runs(nodes: DataFrame, layout: Layout | None = None) -> DataFrame:
     element that sets it; opacity counts at the text's parent only.
     """
     elements_ = nodes.where("kind = 'element'")
-    own = elements_.select("page_id", F.col("node_id").alias("parent_id"), (F.coalesce(style("opacity").try_cast("double"), F.lit(1.0)) != 0).alias("opaque"), F.col("tag").alias("parent_tag"))
     bare = F.regexp_replace("text", rf"^[{patterns.SPACE}]+|[{patterns.SPACE}]+$", "")
     lead = F.length(F.regexp_extract("text", rf"^[{patterns.SPACE}]*", 0))
-    text = nodes.where("kind = 'text'").select("page_id", "node_id", "parent_id", "path", bare.alias("text"), lead.alias("lead_ws")).where("text <> ''")
+    text = nodes.where("kind = 'text'").select("page_id", "node_id", "parent_id", "path", bare.alias("text"), lead.alias("lead_ws")).where("text <> '' and parent_id is not null")
     boxless = F.col("tag").isin(SKIPPED_PARENTS) | (style("display") == "none") | has_attr("hidden")
     seen = F.when(style("visibility") != "", F.struct(F.col("node_id"), (~style("visibility").isin("hidden", "collapse")).alias("yes")))
-    rules = elements_.select("page_id", F.col("node_id").alias("over"), boxless.alias("boxless"), seen.alias("seen")).where("boxless or seen is not null")
-    over = text.select("page_id", "node_id", F.explode("path").alias("over")).join(rules, ["page_id", "over"])
-    hidden = over.groupBy("page_id", "node_id").agg((F.bool_or("boxless") | ~F.coalesce(F.max("seen")["yes"], F.lit(True))).alias("hidden")).where("hidden")
-    out = text.join(own, ["page_id", "parent_id"]).where("opaque").join(hidden, ["page_id", "node_id"], "left_anti").select("page_id", "node_id", "path", "text", "lead_ws", "parent_tag")
+    faint = F.coalesce(style("opacity").try_cast("double"), F.lit(1.0)) == 0
+    rules = elements_.select("page_id", F.col("node_id").alias("over"), boxless.alias("boxless"), seen.alias("seen"), faint.alias("faint")).where("boxless or faint or seen is not null")
+    over = text.select("page_id", "node_id", "parent_id", F.explode("path").alias("over")).join(rules, ["page_id", "over"])
+    hidden = over.groupBy("page_id", "node_id").agg((F.bool_or(F.expr("boxless or (faint and over = parent_id)")) | ~F.coalesce(F.max("seen")["yes"], F.lit(True))).alias("hidden")).where("hidden")
+    out = text.join(hidden, ["page_id", "node_id"], "left_anti").select("page_id", "node_id", "path", "text", "lead_ws")
     return out if layout is None else rendered.shown_runs(out, layout)
 
 

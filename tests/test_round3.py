@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
+from pageguard.operators import page
 from pageguard.plans import forms, pages, vision
+from pageguard.sources import html
 from pageguard.sources.tables import written
 
 
@@ -35,6 +37,16 @@ def test_cut_off_references_are_as_in_sql(spark, tmp_path, name):
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(con.sql(pages.ORACLE_SQL[name]).select(",".join(cols)).fetchall())
 
 
+def test_texts_are_not_copied_for_each_ancestor(spark):
+    """Ids meet the ancestors first; a text is shuffled by itself."""
+    nodes = html.nodes(spark.createDataFrame([(1, "<div><a href='/x'>a <b>bold</b> c</a></div><p style='opacity:0'>faint <i>seen</i></p>")], "page_id long, html string"))
+    made = page.elements(nodes)
+    assert [(r.element_id, r.text) for r in made.collect()] == [(0, "a bold c")]
+    steps = [s for s in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(path" in s]
+    assert steps and not any("text" in s for s in steps)
+    assert sorted(r.text for r in page.text_runs(nodes).collect()) == ["a", "bold", "c", "seen"]
+
+
 def test_dealt_boxes_are_not_broadcast(spark, tmp_path):
     spark.range(6000).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert vision._boxes(spark, str(tmp_path)).rdd.getNumPartitions() == 3
