@@ -21,6 +21,8 @@ MOST_TOKENS = 256
 OVERLAP, CHUNKS = 32, 32
 #: Pieces of texts that a task holds at a time; a longer text is held alone.
 HELD = 100_000
+#: Words whose pieces a worker of encode_pieces keeps.
+WORDS = 20_000
 
 # The classifier's label types (labels 2k - 1 begin and 2k continue type k, 0 is none), and names of types.
 MODEL_TYPES = ["AGE", "COORDINATE", "CREDIT_CARD", "DATE_TIME", "EMAIL_ADDRESS", "FINANCIAL", "HONORIFIC", "IBAN_CODE", "IMEI", "IP_ADDRESS", "LOCATION", "MAC_ADDRESS", "NRP", "ORGANIZATION", "PASSWORD", "PERSON", "PHONE_NUMBER", "TITLE", "URL", "US_BANK_NUMBER", "US_DRIVER_LICENSE", "US_ITIN", "US_LICENSE_PLATE", "US_PASSPORT", "US_SSN"]
@@ -41,8 +43,15 @@ MORE_TYPE_NAMES = {
 TOKEN = rf"[!-/:-@\[-`{{-~]|[^{SPACE}!-/:-@\[-`{{-~]+"
 
 
+#: The same for Java, which looks up a class of single Latin-1 characters in a table and tries the ranges of others in turn.
+_MARKS = [chr(c) for c in range(33, 127) if re.fullmatch(r"[!-/:-@\[-`{-~]", chr(c))]
+_LATIN = [chr(c) for c in range(256) if re.fullmatch(rf"[^{SPACE}!-/:-@\[-`{{-~]", chr(c))]
+_CLASS = lambda chars: "[" + "".join(rf"\x{ord(c):02x}" for c in chars) + "]"
+JAVA_TOKEN = rf"{_CLASS(_MARKS)}|(?:{_CLASS(_LATIN)}++|[^{SPACE}\x00-\xff])++"
+
+
 def tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(JAVA_TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def token_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -94,11 +103,22 @@ def encode_pieces(df: DataFrame, id_col: str, text_col: str, vocab: dict[str, in
     known = df.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, find = _Words(known.value, lower), re.compile(TOKEN).findall
+        of, find = _Words(known.value, lower, WORDS), re.compile(TOKEN).finditer
         for batch in batches:
-            rows = [[i for w in find(text or "") for i in of[w][0]] for text in batch.column(1).to_pylist()]
-            made = [pa.array([r[: most - 2] for r in rows], pa.list_(pa.int32())), pa.array([len(r) for r in rows], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[id_col, "ids", "n_pieces"])
+            for at in range(0, batch.num_rows, 50):
+                part = batch.slice(at, 50)
+                rows, sizes = [], []
+                for text in part.column(1):
+                    ids, n = [], 0
+                    for token in find(text.as_py() or ""):
+                        own = of[token.group()][0]
+                        if n < most - 2:
+                            ids += own
+                        n += len(own)
+                    rows.append(ids[: most - 2])
+                    sizes.append(n)
+                made = [pa.array(rows, pa.list_(pa.int32())), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=[id_col, "ids", "n_pieces"])
 
     kind = df.schema[id_col].dataType.simpleString()
     pieces = df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_pieces long")
