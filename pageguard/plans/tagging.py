@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,9 +89,10 @@ def rule_model():
     begins = {i for p, i in vocab.items() if len(p) == 2 and p[1] == "a"}
     goes_on = {i for p, i in vocab.items() if p.startswith("##")}
     person = 2 * ner.MODEL_TYPES.index("PERSON") + 1
-    rows = [[0.0] * 51 for _ in range(3)]
-    rows[0][0] = rows[1][person] = rows[2][person + 1] = 10.0
-    return lambda ids, masks, types: [[rows[1] if i in begins else rows[2] if i in goes_on else rows[0] for i in x] for x in ids]
+    rows = np.zeros((len(vocab), 51))
+    for i in vocab.values():
+        rows[i, person if i in begins else person + 1 if i in goes_on else 0] = 10.0
+    return lambda ids, masks, types: [rows[x] for x in ids]
 
 
 def ner_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
