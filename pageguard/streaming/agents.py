@@ -13,6 +13,7 @@ from dataclasses import asdict
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,6 +157,7 @@ def latest_stream(events: DataFrame, key: str, order: list[str], what: list[str]
 
 Decide = Callable[[dict], dict]
 LOOP_ROWS = "step int, status string, action string, element_id long, value string, message string, reason string"
+_TOLD = [c.split()[0] for c in LOOP_ROWS.split(", ")]
 
 
 class _Loops(_Expiring):
@@ -179,16 +181,39 @@ class _Loops(_Expiring):
             yield pd.DataFrame(out)[["task", self.at, "seq", "step", "status", "action", "element_id", "value", "message", "reason"]].astype({"element_id": "Int64"})
 
 
+def _table_loops(events: DataFrame, decide: Decide, at: str, most: int, made: str) -> DataFrame:
+    """A table holds whole runs, so no state outlives a partition: tasks are dealt to tasks of Spark and lie in order there."""
+    whole = events.select("task", at, "seq", "kind", "body").repartition("task")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, loop = None, Loop()
+        for batch in batches:
+            places, told = [], []
+            for i, (own, kind, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("task", "kind", "body")))):
+                if own != task:
+                    task, loop = own, Loop()
+                loop, rows = advance(loop, kind, body, decide, most)
+                places += [i] * len(rows)
+                told += rows
+            key = [batch.column(c).take(pa.array(places, pa.int64())) for c in ("task", at, "seq")]
+            number = pa.array(pd.Series([r["element_id"] for r in told], dtype=object).astype("Int64"), pa.int64())
+            cols = {n: number if n == "element_id" else pa.array([r[n] for r in told], pa.int32() if n == "step" else pa.string()) for n in _TOLD}
+            yield pa.RecordBatch.from_arrays([*key, *cols.values()], names=["task", at, "seq", *cols])
+
+    return whole.sortWithinPartitions("task", F.asc_nulls_last(at), F.asc_nulls_last("seq")).mapInArrow(run, made)
+
+
 def agent_loops(events: DataFrame, decide: Decide, at: str = "ts", most: int = MOST_STEPS, kept_ms: int = KEPT_MS) -> DataFrame:
     """What an agent's loop does at each event of a stream (or a table) of recorded runs.
 
     events: task, a column of time, seq, kind (start, snapshot, failed, result, answer, reset) and body. Rows out: task, time
     and seq of the event, step, status, the action to carry out (element_id, value), a message, and a reason where
     something was refused. decide is the backend: from a redacted request to a decision, called in the workers.
-    On a stream, start the query within rocksdb(spark).
+    On a stream, start the query within rocksdb(spark); a table's loops begin and end with it and keep no state.
     """
-    _ = events.sparkSession.streams.active  # the state stores' coordinator starts with the session's stream manager
-    by_time = timed(events, at) and events.isStreaming
     kind = {f.name: f.dataType.simpleString() for f in events.schema}
     made = f"task {kind['task']}, {at} {kind[at]}, seq {kind['seq']}, {LOOP_ROWS}"
+    if not events.isStreaming:
+        return _table_loops(events, decide, at, most, made)
+    by_time = timed(events, at)
     return events.groupBy("task").transformWithStateInPandas(_Loops(kept_ms if by_time else None, decide, most, at), made, "Append", "EventTime" if by_time else "None")

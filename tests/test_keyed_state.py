@@ -158,6 +158,20 @@ def test_loops_of_recorded_runs(spark):
     assert all("Typing into" in r["message"] for r in got if r["action"] == "type" and r["status"] == "EXECUTING")
 
 
+def test_loops_of_a_table_keep_no_state(spark):
+    """A state store's calls for each task took most of the time; tasks go through in order, also over the edges of batches."""
+    runs = plans.recorded_runs(spark, SF).where("task < 40").withColumn("task", F.expr("nullif(task, 7)"))
+    out = agents.agent_loops(runs, plans.rule_backend)
+    assert "TransformWithState" not in out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = out.withColumn("task", F.coalesce("task", F.lit(7))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert shown(got, "task") == by_hand(runs.fillna(7, ["task"]).collect(), plans.rule_backend, agent.MOST_STEPS)
+    assert out.columns == ["task", "ts", "seq", "step", "status", "action", "element_id", "value", "message", "reason"]
+
+
 def test_loops_as_a_stream_that_is_started_again(spark, tmp_path):
     source, at = f"{tmp_path}/events", f"{tmp_path}/run"
     rows = plans.recorded_runs(spark, SF).where("task % 3 = 0").orderBy("ts", "seq").collect()
