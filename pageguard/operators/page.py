@@ -140,7 +140,8 @@ def text_runs(nodes: DataFrame, layout: Layout | None = None) -> DataFrame:
     rules = elements_.select("page_id", F.col("node_id").alias("over"), boxless.alias("boxless"), seen.alias("seen"), faint.alias("faint")).where("boxless or faint or seen is not null")
     over = text.select("page_id", "node_id", "parent_id", F.explode("path").alias("over")).join(rules, ["page_id", "over"])
     hidden = over.groupBy("page_id", "node_id").agg((F.bool_or(F.expr("boxless or (faint and over = parent_id)")) | ~F.coalesce(F.max("seen")["yes"], F.lit(True))).alias("hidden")).where("hidden")
-    out = text.join(hidden, ["page_id", "node_id"], "left_anti").select("page_id", "node_id", "path", "text", "lead_ws")
+    # An anti join counts as large as the files of its left side; the hint of a written table ends at it.
+    out = text.join(hidden, ["page_id", "node_id"], "left_anti").select("page_id", "node_id", "path", "text", "lead_ws").hint("merge")
     return out if layout is None else rendered.shown_runs(out, layout)
 
 

@@ -30,6 +30,19 @@ def test_customers_pages_are_dealt_to_tasks(spark, tmp_path):
     assert "Broadcast" not in plan(made.select("page_id", "url").join(spark.range(10).withColumnRenamed("id", "page_id"), "page_id"))
 
 
+@pytest.fixture(scope="module")
+def customers(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("customers"))
+    spark.range(6000).selectExpr("id + 1 as c_custkey", "'BUILDING' as c_mktsegment", "1.0D as c_acctbal").coalesce(1).write.parquet(f"{at}/customer.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["form_items", "form_text_runs"])
+def test_form_queries_broadcast_nothing_by_the_size_of_files(spark, customers, name):
+    """An anti join of a written table was taken for as small as the table's files."""
+    assert "Broadcast" not in plan(forms.QUERIES[name](spark, customers))
+
+
 @pytest.mark.parametrize("name", ["page_titles", "page_text_runs", "page_links", "element_ids", "text_to_element"])
 def test_cut_off_references_are_as_in_sql(spark, tmp_path, name):
     text = "<html><head><title>a&amp;b &amp</title></head><body><p>x &lt y &amp;amp; &</p><a href=\"/q?a=1&amp;b=2&amp\">go &gt</a></body></html>"
