@@ -37,7 +37,7 @@ def customers(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["form_items", "form_text_runs", "form_elements", "form_extraction", "form_rejoin"])
+@pytest.mark.parametrize("name", ["form_items", "form_text_runs", "form_elements", "form_extraction", "form_rejoin", "form_selectors"])
 def test_form_queries_broadcast_nothing_by_the_size_of_files(spark, customers, name):
     """Written tables, and an anti join of one, were taken for as small as their files."""
     assert "Broadcast" not in plan(forms.QUERIES[name](spark, customers))
