@@ -282,6 +282,12 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def standing(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """key of one row for each of the nodes, so that sets made of these rows' texts need no shuffle to be one a node."""
+    first = classes.select("node", F.col("first.key").alias("key"))
+    return nodes.distinct().join(first, "node").groupBy("node").agg(F.min("key").alias("key")).select("key")
+
+
 def near_rows(keyed: DataFrame, shingler: Shingler, percent: int, bands: int, rows: int) -> DataFrame:
     """key, doc_id, n_shingles, component_id and first_key (of the row that stands for the component) of every row of with_keys."""
     own = materialize(sketches(keyed, shingler, bands, rows))
@@ -295,9 +301,7 @@ def near_rows(keyed: DataFrame, shingler: Shingler, percent: int, bands: int, ro
         return materialize(both.where(F.col("estimate") >= percent / 100 - margin(percent, bands * rows)))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = materialize(nodes.distinct().join(classes.select("node", F.col("first.key").alias("key")), "node"))
-        texts = keyed.join(wanted.select("key"), "key", "left_semi")
-        return materialize(full_sets(texts, shingler).join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node"]))
+        return materialize(full_sets(keyed.join(materialize(standing(nodes, classes)), "key", "left_semi"), shingler))
 
     def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
         """The pairs that join two components."""

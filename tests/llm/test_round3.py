@@ -27,6 +27,24 @@ def test_regular_words_are_not_linked(spark, n):
     assert [out[i]["component_id"] for i in (1, 2, 3)] == [1, 2, 1] and out[2]["kept"]
 
 
+def test_full_sets_are_written_without_a_shuffle(spark, monkeypatch):
+    """They were shuffled to be one a node, twice where the wanted nodes did not fit a broadcast."""
+    plans, write = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[: 58 + i % 3])) for i in range(6)] + [(9, "quite another text")]
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {**dict.fromkeys(range(6), 0), 9: 9}
+    above = [p[: p.index("MapInArrow")] for p in plans if any("MapInArrow" in line and ", shingles#" in line for line in p.splitlines())]
+    assert above and not any("Exchange" in p for p in above)
+
+
+def test_one_text_stands_for_nodes_of_two_classes(spark):
+    classes = spark.createDataFrame([(1, 5, (False, 7, 70)), (1, 6, (False, 8, 60)), (2, 5, (False, 9, 90))], "node long, check long, first struct<none:boolean,doc_id:long,key:long>")
+    nodes = spark.createDataFrame([(1,), (1,), (2,)], "node long")
+    assert sorted(r["key"] for r in near_dedup.standing(nodes, classes).collect()) == [60, 90]
+
+
 def test_word_hashes_depend_on_the_word_alone():
     rng = random.Random(5)
     words = [bytes(rng.choices(b"ab\x00", k=n)) for n in [1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200] for _ in range(20)]
