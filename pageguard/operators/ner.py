@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -19,10 +20,10 @@ THRESHOLD = 0.85
 MOST_TOKENS = 256
 #: Pieces that neighbouring chunks share, and chunks that a model gets in one call.
 OVERLAP, CHUNKS = 32, 32
-#: Pieces of texts that a task holds at a time; a longer text is held alone.
+#: Code points of texts that a task holds at a time, and so at most as many pieces; a longer text is held alone.
 HELD = 100_000
-#: Words whose pieces a worker of encode_pieces keeps.
-WORDS = 20_000
+#: Words whose pieces a worker of text_items keeps (about 300 bytes each), and one of encode_pieces.
+KNOWN_WORDS, WORDS = 500_000, 20_000
 
 # The classifier's label types (labels 2k - 1 begin and 2k continue type k, 0 is none), and names of types.
 MODEL_TYPES = ["AGE", "COORDINATE", "CREDIT_CARD", "DATE_TIME", "EMAIL_ADDRESS", "FINANCIAL", "HONORIFIC", "IBAN_CODE", "IMEI", "IP_ADDRESS", "LOCATION", "MAC_ADDRESS", "NRP", "ORGANIZATION", "PASSWORD", "PERSON", "PHONE_NUMBER", "TITLE", "URL", "US_BANK_NUMBER", "US_DRIVER_LICENSE", "US_ITIN", "US_LICENSE_PLATE", "US_PASSPORT", "US_SSN"]
@@ -134,17 +135,29 @@ class _Words(dict):
     def __init__(self, vocab: dict[str, int], lower: bool, most: int = 100_000):
         super().__init__()
         self.vocab, self.lower, self.most, self.longest = vocab, lower, most, max(map(len, vocab), default=1)
+        self.later = {p[2:]: i for p, i in vocab.items() if p.startswith("##")}
+        self.longest_later = max(map(len, self.later), default=1)
+
+    def cut(self, word: str) -> tuple[list[int], list[int]]:
+        """Ids of word_pieces's pieces and their ends; first and later pieces are looked up by themselves."""
+        low = word.lower() if self.lower else word
+        ids, ends, at, n = [], [], 0, len(low)
+        known, longest = self.vocab, self.longest
+        while at < n:
+            end = min(n, at + longest)
+            while end > at and (found := known.get(low[at:end])) is None:
+                end -= 1
+            if end == at:
+                return [self.vocab["[UNK]"]], [len(word)]
+            ids.append(found)
+            ends.append(end)
+            at, known, longest = end, self.later, self.longest_later
+        return ids, ends if n == len(word) else [len(word)] * len(ids)  # lower case of another length: the word's places
 
     def __missing__(self, word: str) -> tuple[list[int], list[int]]:
         if len(self) > self.most:
             self.clear()
-        low = word.lower() if self.lower else word
-        found = word_pieces(low, self.vocab, longest=self.longest)
-        if found == ["[UNK]"] or len(low) != len(word):  # lower case of another length: the pieces' places are the word's
-            ends = [len(word)] * len(found)
-        else:
-            ends = list(accumulate(len(p) - 2 * (i > 0) for i, p in enumerate(found)))
-        self[word] = out = [self.vocab[p] for p in found], ends
+        self[word] = out = self.cut(word)
         return out
 
 
@@ -159,6 +172,67 @@ def _pieces(text: str | None, of: _Words, find: Callable) -> tuple[list[int], li
     return ids, starts, ends
 
 
+class _Pieces:
+    """Pieces of many texts at once: white space and marks are found on arrays, and each word is cut up once."""
+
+    #: Kind of each code point: 0 white space, 1 a mark, which is a token by itself, 2 part of a word.
+    KINDS: np.ndarray | None = None
+
+    def __init__(self, vocab: dict[str, int], lower: bool):
+        self.words = _Words(vocab, lower, KNOWN_WORDS)
+        self._forget()
+        if _Pieces.KINDS is None:
+            kinds = np.full(0x110000, 2, np.uint8)
+            kinds[[c for c in range(0x10000) if re.match(f"[{SPACE}]", chr(c))]] = 0
+            kinds[[ord(c) for c in _MARKS]] = 1
+            _Pieces.KINDS = kinds
+
+    def _forget(self) -> None:
+        """Words by number; of all pieces of the words in that order: ids, and where they begin and end in their word."""
+        self.number: dict[str, int] = {}
+        self.sizes, self.ids, self.begins, self.ends = array("q"), array("q"), array("q"), array("q")
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > self.words.most:
+            self._forget()
+        new_ids, new_begins, new_ends = [], [], []
+        for word in set(words).difference(self.number):
+            ids, ends = self.words.cut(word)
+            self.number[word] = len(self.number)
+            self.sizes.append(len(ids))
+            new_ids += ids
+            new_begins.append(0)
+            new_begins += ends[:-1]
+            new_ends += ends
+        self.ids.extend(new_ids)
+        self.begins.extend(new_begins)
+        self.ends.extend(new_ends)
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: ids of its pieces, and their begins and ends in it."""
+        joined = "\n".join(texts)
+        kind = _Pieces.KINDS[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        mark, word = kind == 1, kind == 2
+        starts = np.flatnonzero(mark | (word & ~np.concatenate(([False], word[:-1]))))
+        stops = np.flatnonzero(mark | (word & ~np.concatenate((word[1:], [False])))) + 1
+        numbers = self._numbers([joined[a:b] for a, b in zip(starts.tolist(), stops.tolist())])
+        sizes = np.frombuffer(self.sizes, np.int64) if self.sizes else np.zeros(0, np.int64)
+        own = sizes[numbers]
+        until = np.cumsum(own)
+        total = int(until[-1]) if len(until) else 0
+        piece = np.arange(total) + np.repeat((np.cumsum(sizes) - sizes)[numbers] - (until - own), own)
+        at = np.repeat(starts, own)
+        flat = [np.frombuffer(x, np.int64)[piece] if total else np.zeros(0, np.int64) for x in (self.ids, self.begins, self.ends)]
+        out, offset, done = [], 0, 0
+        bounds = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        for text, bound in zip(texts, bounds.tolist()):
+            here = slice(done, int(until[bound - 1]) if bound else 0)
+            out.append((flat[0][here], flat[1][here] + (at[here] - offset), flat[2][here] + (at[here] - offset)))
+            done, offset = here.stop, offset + len(text) + 1
+        return out
+
+
 def encode_chunks(df: DataFrame, id_col: str, text_col: str, vocab: dict[str, int], lower: bool = True, most: int = MOST_TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """id, chunk, first (place of the chunk's first piece), input_ids, attention_mask, token_type_ids, starts and ends.
 
@@ -190,9 +264,15 @@ def encode_chunks(df: DataFrame, id_col: str, text_col: str, vocab: dict[str, in
 
 
 def _best_of(logits: list) -> tuple[np.ndarray, np.ndarray]:
-    """Label and confidence of each input of a chunk: the first largest score and its softmax share."""
-    x = np.asarray(logits, np.float64)
-    return x.argmax(axis=1), 1.0 / np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1)
+    """Label and confidence of each input of a chunk: the first largest score and its softmax share.
+
+    Scores in float32, as models give them, are not widened before their exponentials.
+    """
+    x = np.asarray(logits)
+    x = x if x.dtype == np.float32 else x.astype(np.float64, copy=False)
+    label = x.argmax(axis=1)
+    below = x - x[np.arange(len(x)), label][:, None]
+    return label, 1.0 / np.exp(below, out=below).sum(axis=1, dtype=np.float64)
 
 
 def label_chunks(chunks: DataFrame, id_col: str, load: Callable[[], Callable[[list, list, list], list]]) -> DataFrame:
@@ -275,8 +355,9 @@ def spans_of(label: np.ndarray, share: np.ndarray, begins: np.ndarray, kind: np.
 class _Folded:
     """A text on its way through the model: its pieces, and for each the label that its chunks were surest of so far."""
 
-    def __init__(self, key: object, text: str, pieces: tuple[list[int], list[int], list[int]], room: int):
-        self.key, self.text, (self.ids, self.starts, self.ends) = key, text, pieces
+    def __init__(self, key: object, text: str, pieces: tuple[np.ndarray, np.ndarray, np.ndarray], room: int):
+        self.key, self.text, (ids, self.starts, self.ends) = key, text, pieces
+        self.ids: list[int] = ids.tolist()
         self.label, self.share = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), -1.0)
         self.chunks = list(range(0, max(len(self.ids) - OVERLAP, 1), room - OVERLAP)) if self.ids else []
         self.status = "ok"
@@ -304,10 +385,10 @@ def text_items(docs: DataFrame, id_col: str, text_col: str, vocab: dict[str, int
     known, memo = docs.sparkSession.sparkContext.broadcast(vocab), memoised(load)
     begins, kind, types = label_kinds(labels or MODEL_LABELS)
     room = MOST_TOKENS - 2
-    names = [id_col, "entity_type", "start", "end", "match", "confidence", "ner_status"]
+    names = [id_col, "type", "start", "end", "match", "confidence", "ner_status"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, find = _Words(known.value, lower), re.compile(TOKEN).finditer
+        of_texts, named = _Pieces(known.value, lower), pa.array(list(map(wide_type, types)), pa.string())
         first_id, last_id = known.value["[CLS]"], known.value["[SEP]"]
 
         def label_all(jobs: list[tuple[_Folded, int]]) -> None:
@@ -336,35 +417,37 @@ def text_items(docs: DataFrame, id_col: str, text_col: str, vocab: dict[str, int
 
         def spans(keys: pa.Array, texts: list[_Folded]) -> pa.RecordBatch:
             labelled(texts)
-            rows: list[tuple] = []
+            key, of, begin, end, share, match, status = [], [], [], [], [], [], []
             for t in texts:
                 if t.status != "ok":
-                    rows.append((t.key, None, None, None, None, None, t.status))
-                    continue
-                for a, b, k, c in zip(*(x.tolist() for x in spans_of(t.label, t.share, begins, kind, threshold))):
-                    rows.append((t.key, types[k], t.starts[a], t.ends[b], t.text[t.starts[a] : t.ends[b]], c, "ok"))
-            cols = list(zip(*rows)) if rows else [()] * len(names)
-            made = [pa.array(c, k) for c, k in zip(cols[1:], (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string()))]
-            return pa.RecordBatch.from_arrays([keys.take(pa.array(cols[0], pa.int64())), *made], names=names)
+                    n, a, b, k, c = 1, [None], [None], [None], [None]
+                    match.append(None)
+                else:
+                    first, last, k, c = (x.tolist() for x in spans_of(t.label, t.share, begins, kind, threshold))
+                    n, a, b = len(first), t.starts[first].tolist(), t.ends[last].tolist()
+                    match += [t.text[i:j] for i, j in zip(a, b)]
+                key += [t.key] * n
+                of += k
+                begin += a
+                end += b
+                share += c
+                status += [t.status] * n
+            made = [named.take(pa.array(of, pa.int32())), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(match, pa.string()), pa.array(share, pa.float64()), pa.array(status, pa.string())]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(key, pa.int64())), *made], names=names)
 
         for batch in batches:
-            texts: list[_Folded] = []
-            size = 0
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                texts.append(_Folded(i, text or "", _pieces(text, of, find), room))
-                size += len(texts[-1].ids)
-                if size >= HELD:
-                    yield spans(batch.column(0), texts)
-                    texts, size = [], 0
-            if texts:
-                yield spans(batch.column(0), texts)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            sizes = np.cumsum([len(t) for t in texts])
+            at = 0
+            while at < len(texts):  # as many texts as have HELD code points, and one at least: a piece has one or more
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + HELD, "right")))
+                yield spans(batch.column(0), [_Folded(at + i, texts[at + i], p, room) for i, p in enumerate(of_texts(texts[at:to]))])
+                at = to
 
     id_kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_kind}, entity_type string, start int, end int, match string, confidence double, ner_status string")
-    named = F.when(F.col("entity_type").isNotNull(), normalize_type(F.col("entity_type"), wide=True)).alias("type")
-    out = found.select(id_col, named, "start", "end", "match", "confidence", "ner_status")
+    found = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_kind}, type string, start int, end int, match string, confidence double, ner_status string")
     status = ["ner_status"] if on_failure == "status" else []
-    return out.select(id_col, "type", "start", "end", "match", masking.mask(F.col("type"), F.col("match")).alias("masked"), "confidence", *status)
+    return found.select(id_col, "type", "start", "end", "match", masking.mask(F.col("type"), F.col("match")).alias("masked"), "confidence", *status)
 
 
 def classify(inputs: DataFrame, id_col: str, load: Callable[[], Callable[[list, list, list], list]]) -> DataFrame:
@@ -415,6 +498,14 @@ def parse_label(label: Column) -> tuple[Column, Column]:
     return prefix, F.when(none, "O").when(marked, F.substring(up, 3, 1 << 20)).otherwise(up)
 
 
+def wide_type(raw: str) -> str:
+    """normalize_type(wide=True) of one name: a model has few, and its items are many."""
+    key = re.sub(f"[{SPACE}_-]", "", raw.upper())
+    known = {k: [*TYPE_NAMES.get(k, []), *MORE_TYPE_NAMES.get(k, [])] for k in TYPE_NAMES | MORE_TYPE_NAMES}
+    known["IP_ADDRESS"].append("IPADDRESS")
+    return next((name for name, keys in known.items() if key in keys), key or "UNKNOWN")
+
+
 def normalize_type(raw: Column, wide: bool = False, compat: bool = False) -> Column:
     """The engine's name of an entity type; unknown ones in upper case.
 

@@ -89,7 +89,7 @@ def rule_model():
     begins = {i for p, i in vocab.items() if len(p) == 2 and p[1] == "a"}
     goes_on = {i for p, i in vocab.items() if p.startswith("##")}
     person = 2 * ner.MODEL_TYPES.index("PERSON") + 1
-    rows = np.zeros((len(vocab), 51))
+    rows = np.zeros((len(vocab), 51), np.float32)
     for i in vocab.values():
         rows[i, person if i in begins else person + 1 if i in goes_on else 0] = 10.0
     return lambda ids, masks, types: [rows[x] for x in ids]
