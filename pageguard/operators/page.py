@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageguard.functions import masking, patterns
-from pageguard.operators import detect, rendered
+from pageguard.operators import detect, rendered, tree
 from pageguard.operators.rendered import Layout
 from pageguard.sources.tables import written
 
@@ -33,7 +33,9 @@ def has_attr(name: str) -> Column:
 
 
 def style(name: str) -> Column:
-    return F.lower(F.trim(F.regexp_extract(F.coalesce(attr("style"), F.lit("")), rf"(?i)(?:^|;)\s*{name}\s*:\s*([^;!]*)", 1)))
+    """The value that the style attribute gives a property, or an empty text; the pattern is for elements that have one."""
+    found = F.lower(F.trim(F.regexp_extract(attr("style"), rf"(?i)(?:^|;)\s*{name}\s*:\s*([^;!]*)", 1)))
+    return F.when(attr("style").isNull(), "").otherwise(found)
 
 
 def own_style_visible() -> Column:
@@ -42,21 +44,12 @@ def own_style_visible() -> Column:
     return ~(hidden | ((F.col("tag") == "input") & (F.lower(F.coalesce(attr("type"), F.lit(""))) == "hidden")))
 
 
-def with_visibility(nodes: DataFrame, asked: Callable[[DataFrame], DataFrame] = lambda el: el) -> DataFrame:
-    """Elements with style_ok (own) and shown (own and all ancestors'); only those that `asked` leaves of them."""
-    every = nodes.where("kind = 'element'").withColumn("style_ok", own_style_visible())
-    hidden = every.where(~F.col("style_ok")).select("page_id", F.col("node_id").alias("over"))
-    el = asked(every)
-    under = el.select("page_id", "node_id", F.explode("path").alias("over")).join(hidden, ["page_id", "over"]).select("page_id", "node_id").distinct()
-    return el.join(under.withColumn("covered", F.lit(True)), ["page_id", "node_id"], "left").withColumn("shown", F.col("covered").isNull()).drop("covered")
-
-
-def candidates(elements: DataFrame) -> DataFrame:
-    """Interactive elements; pass 0 by tag, role or attribute, pass 1 by a pointer cursor."""
+def candidate_pass() -> Column:
+    """Of interactive elements 0 (by tag, role or attribute) or 1 (by a pointer cursor), else null."""
     tag = F.col("tag")
     direct = tag.isin("button", "input", "textarea", "select") | ((tag == "a") & has_attr("href")) | has_attr("onclick") | F.coalesce(attr("role").isin(ROLES), F.lit(False)) | has_attr("tabindex")
     pointer = tag.isin(CLICKABLE_TAGS) & (style("cursor") == "pointer") & (F.coalesce(attr("tabindex"), F.lit("")) != "-1")
-    return elements.withColumn("pass", F.when(direct, 0).when(pointer, 1)).where("pass is not null")
+    return F.when(direct, 0).when(pointer, 1)
 
 
 def element_kind() -> Column:
@@ -70,56 +63,111 @@ def element_kind() -> Column:
     )
 
 
-def _inner_text(nodes: DataFrame, owners: DataFrame) -> DataFrame:
-    """page_id, node_id, inner: all text under each owner, in order.
+def _marked(nodes: DataFrame, layout: Layout | None = None) -> DataFrame:
+    """nodes with element_id of visible interactive elements (dense from 0 in each page), boxless (what has no box), and up
+    (tree.enclosing, whose owners are these elements).
 
-    Owners meet the ids of what is under them; texts come after, so that each is shuffled once and not for every ancestor.
+    Nodes come in document order and an element's end with last_id, so what hides all in it is a running maximum. All goes
+    by page_id: nodes that are dealt by it are not shuffled.
     """
-    text = nodes.where("kind = 'text'")
-    under = text.select("page_id", F.col("node_id").alias("at"), F.explode("path").alias("node_id")).join(owners.select("page_id", "node_id"), ["page_id", "node_id"])
-    own = text.select("page_id", F.col("node_id").alias("at"), "text")
-    return under.join(own, ["page_id", "at"]).groupBy("page_id", "node_id").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("t")).select("page_id", "node_id", F.trim(F.array_join(F.transform("t", lambda x: x["text"]), "")).alias("inner"))
+    el, here = F.col("kind") == "element", tree.in_order()
+    whole = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shown = ["bbox"] if layout is not None else []
+    if layout is not None:
+        nodes = nodes.join(rendered.on_top(nodes.where(el), layout).select("page_id", "node_id", "bbox"), ["page_id", "node_id"], "left")
+    covered = lambda hides: F.coalesce(F.max(F.when(el & hides, F.col("last_id"))).over(here) >= F.col("node_id"), F.lit(False))
+    no_box = F.col("tag").isin(SKIPPED_PARENTS) | (style("display") == "none") | has_attr("hidden")
+    out = nodes.withColumns({"_pass": F.when(el, candidate_pass()), "_covered": covered(~own_style_visible()), "boxless": covered(no_box)})
+    found = F.col("_pass").isNotNull() & ~F.col("_covered")
+    for c in shown:
+        found = found & F.col(c).isNotNull()
+    out = out.withColumn("_found", found)
+    of = lambda k: F.count(F.when(F.col("_found") & (F.col("_pass") == k), 1))
+    number = F.when(F.col("_pass") == 0, of(0).over(here)).otherwise(of(0).over(whole) + of(1).over(here)) - 1
+    out = out.withColumn("element_id", F.when(F.col("_found"), number))
+    faint = F.coalesce(style("opacity").try_cast("double"), F.lit(1.0)) == 0
+    bits = {tree.OWNER: F.col("element_id").isNotNull(), tree.OPTION: F.col("tag") == "option", tree.FAINT: faint, tree.SHOWN: (style("visibility") != "") & ~_hiding(), tree.HIDDEN: _hiding()}
+    mark = F.when(el, sum((F.when(is_so, bit).otherwise(0) for bit, is_so in bits.items()), F.lit(0))).otherwise(0).cast("int")
+    return out.withColumn("up", tree.enclosing(mark, F.col("element_id"))).drop("_pass", "_covered", "_found")
 
 
-def _selected_option(nodes: DataFrame) -> DataFrame:
-    """page_id, node_id of a select, option_text and option_value of the chosen or first option."""
-    options = nodes.where("tag = 'option'")
-    inner = _inner_text(nodes, options)
-    choice = options.join(inner, ["page_id", "node_id"], "left").select("page_id", F.explode("path").alias("owner"), F.struct(has_attr("selected").alias("chosen"), (-F.col("node_id")).alias("back"), F.col("inner").alias("text"), attr("value").alias("value")).alias("o"))
-    selects = nodes.where("tag = 'select'").select("page_id", F.col("node_id").alias("owner"))
-    return choice.join(selects, ["page_id", "owner"]).groupBy("page_id", F.col("owner").alias("node_id")).agg(F.max("o").alias("o")).select("page_id", "node_id", F.col("o.text").alias("option_text"), F.col("o.value").alias("option_value"))
+def numbered(nodes: DataFrame) -> DataFrame:
+    """The elements among the nodes with element_id, that of elements() or null."""
+    return _marked(nodes.where("kind = 'element'")).drop("up", "boxless")
 
 
-def elements(nodes: DataFrame, compat: bool = False, layout: Layout | None = None) -> DataFrame:
-    """Visible interactive elements with dense ids from 0 in each page; with a layout, those in view and not covered, with bbox.
+def _hiding() -> Column:
+    return style("visibility").isin("hidden", "collapse")
 
-    value is withheld for passwords and replaced where a pattern finds personal data in it; unless compat, so is text.
-    extraction() also replaces bare names and what a tagger sees.
+
+def _is_run() -> Column:
+    """Of _marked's rows with `bare`: text that is shown by styles."""
+    by_style = ~F.col("boxless") & ~F.coalesce(F.col("up.faint") == F.col("parent_id"), F.lit(False)) & ~F.coalesce("up.hidden", F.lit(False))
+    return F.coalesce((F.col("kind") == "text") & (F.col("bare") != "") & F.col("parent_id").isNotNull() & by_style, F.lit(False))
+
+
+def _bare() -> Column:
+    return F.when(F.col("kind") == "text", F.regexp_replace("text", rf"^[{patterns.SPACE}]+|[{patterns.SPACE}]+$", ""))
+
+
+def _lead() -> Column:
+    return F.length(F.regexp_extract("text", rf"^[{patterns.SPACE}]*", 0))
+
+
+def _parts(nodes: DataFrame, compat: bool = False, layout: Layout | None = None, runs: bool = True) -> DataFrame:
+    """Rows of elements() and, with runs, of runs_with_elements(), told apart by is_run, in one pass over the nodes.
+
+    A text goes to the elements around it that are looked for, an option to them too, and nothing to other ancestors.
     """
-    found = with_visibility(nodes, candidates).where("shown")
-    bbox = []
-    if layout is not None:
-        found = found.join(rendered.on_top(nodes.where("kind = 'element'"), layout), ["page_id", "node_id"])
-        bbox = ["bbox"]
-    found = found.join(_inner_text(nodes, found), ["page_id", "node_id"], "left").join(_selected_option(nodes), ["page_id", "node_id"], "left")
-    tag, kind = F.col("tag"), F.lower(F.coalesce(attr("type"), F.lit("text")))
+    marked = _marked(nodes, layout).withColumn("bare", _bare())
+    element, text, option = F.col("element_id").isNotNull(), F.col("kind") == "text", F.coalesce(F.col("tag") == "option", F.lit(False))
+    run = _is_run() if runs else F.lit(False)
+    none = F.array().cast("array<int>")
+    bbox = ["bbox"] if layout is not None else []
+    has = {"type": element_kind(), "given": attr("type"), "value": attr("value"), "checked": has_attr("checked"), "label": attr("aria-label"), "aria_disabled": attr("aria-disabled"), "disabled": has_attr("disabled"), "placeholder": attr("placeholder"), "href": attr("href")}
+    # What a row says of itself, and what it tells those around it.
+    own = F.struct(run.alias("is_run"), "path", "tag", F.when(run, F.col("up.near")).otherwise(F.col("element_id")).alias("element_id"), F.when(run, F.col("bare")).alias("bare"), F.when(run, _lead()).alias("lead_ws"), *(F.when(element, c).alias(n) for n, c in has.items()), *bbox)
+    t = F.when(text, F.struct(F.col("node_id").alias("at"), "text", F.col("up.options").alias("options")))
+    o = F.when(option, F.struct(has_attr("selected").alias("chosen"), (-F.col("node_id")).alias("back"), attr("value").alias("value")))
+    to = F.concat(F.when(element | run, F.array("node_id")).otherwise(none), F.when(text | option, F.col("up.owners")).otherwise(none))
+    told = marked.select("page_id", "node_id", F.when(element | run, own).alias("own"), t.alias("t"), o.alias("o"), to.alias("path")).where(F.size("path") > 0)
+    told = told.select("page_id", "node_id", "own", "t", "o", F.explode("path").alias("key"))
+    self_ = F.col("node_id") == F.col("key")
+    told = told.groupBy("page_id", F.col("key").alias("node_id")).agg(F.max(F.when(self_, F.col("own"))).alias("own"), F.sort_array(F.collect_list(F.when(~self_, F.col("t")))).alias("t"), F.max(F.when(~self_, F.col("o"))).alias("o"))
+    joined = lambda ts: F.trim(F.array_join(F.transform(ts, lambda x: x["text"]), ""))
+    inner = F.when(F.size("t") > 0, joined(F.col("t"))).alias("inner")
+    of_option = F.filter("t", lambda x: F.array_contains(x["options"], -F.col("o.back")))
+    return _described(told.select("page_id", "node_id", "own.*", inner, F.when(F.size(of_option) > 0, joined(of_option)).alias("option_text"), F.col("o.value").alias("option_value")), compat, bbox)
+
+
+def _described(found: DataFrame, compat: bool, bbox: list[str]) -> DataFrame:
+    """_parts's rows from what their elements have and hold."""
+    tag, kind, is_run = F.col("tag"), F.lower(F.coalesce(F.col("given"), F.lit("text"))), F.col("is_run")
     blank = lambda c: F.nullif(c, F.lit(""))
     raw = (
         F.when((tag == "input") & (kind == "password"), F.lit(None).cast("string"))
-        .when((tag == "input") & kind.isin("checkbox", "radio"), F.when(has_attr("checked"), "checked").otherwise("unchecked"))
-        .when(tag == "input", blank(attr("value")))
+        .when((tag == "input") & kind.isin("checkbox", "radio"), F.when(F.col("checked"), "checked").otherwise("unchecked"))
+        .when(tag == "input", blank(F.col("value")))
         .when(tag == "select", F.coalesce(blank(F.col("option_text")), blank(F.col("option_value"))))
         .when(tag == "textarea", blank(F.col("inner")))
     )
-    live = F.when(tag == "input", attr("value")).when(tag == "select", F.coalesce(F.col("option_value"), F.col("option_text"))).when(tag == "textarea", F.col("inner"))
+    live = F.when(tag == "input", F.col("value")).when(tag == "select", F.coalesce(F.col("option_value"), F.col("option_text"))).when(tag == "textarea", F.col("inner"))
     if not compat:
         live = F.when((tag == "input") & (kind == "password"), F.lit(None)).otherwise(live)
-    label = F.substring(F.coalesce(blank(attr("aria-label")), blank(live), blank(F.col("inner")), F.lit("")), 1, 200)
-    enabled = ~(has_attr("disabled") | (F.coalesce(attr("aria-disabled"), F.lit("")) == "true"))
-    w = Window.partitionBy("page_id").orderBy("pass", "node_id")
-    out = found.select("page_id", "node_id", "path", "tag", (F.row_number().over(w) - 1).cast("long").alias("element_id"), element_kind().alias("type"), label.alias("text"), attr("aria-label").alias("aria_label"), attr("placeholder").alias("placeholder"), raw.alias("raw_value"), F.when(tag == "a", attr("href")).alias("href"), enabled.alias("enabled"), *bbox)
+    label = F.substring(F.coalesce(blank(F.col("label")), blank(live), blank(F.col("inner")), F.lit("")), 1, 200)
+    enabled = ~(F.col("disabled") | (F.coalesce("aria_disabled", F.lit("")) == "true"))
+    out = found.select("page_id", "node_id", "path", "tag", "element_id", "type", F.when(is_run, F.col("bare")).otherwise(label).alias("text"), F.col("label").alias("aria_label"), "placeholder", F.when(~is_run, raw).alias("raw_value"), F.when(tag == "a", F.col("href")).alias("href"), enabled.alias("enabled"), *bbox, "is_run", "lead_ws", F.col("bare").alias("run_text"))
     out = out.withColumn("value", detect.redact_value(F.col("raw_value")))
-    return out if compat else out.withColumn("text", detect.redact_value(F.col("text")))
+    return out if compat else out.withColumn("text", F.when(is_run, F.col("text")).otherwise(detect.redact_value(F.col("text"))))
+
+
+def elements(nodes: DataFrame, compat: bool = False, layout: Layout | None = None) -> DataFrame:
+    """Visible interactive elements with dense ids from 0 in each page; with a layout, those in view and not covered, with bbox.
+
+    value is withheld for passwords and replaced where a pattern finds personal data in it; unless compat, so is text.
+    extraction() also replaces bare names and what a tagger sees.
+    """
+    return _parts(nodes, compat, layout, runs=False).drop("is_run", "lead_ws", "run_text")
 
 
 def text_runs(nodes: DataFrame, layout: Layout | None = None) -> DataFrame:
@@ -130,21 +178,17 @@ def text_runs(nodes: DataFrame, layout: Layout | None = None) -> DataFrame:
     Nothing under display:none, the hidden attribute or a skipped tag has a box; visibility is inherited from the nearest
     element that sets it; opacity counts at the text's parent only.
     """
-    elements_ = nodes.where("kind = 'element'")
-    bare = F.regexp_replace("text", rf"^[{patterns.SPACE}]+|[{patterns.SPACE}]+$", "")
-    lead = F.length(F.regexp_extract("text", rf"^[{patterns.SPACE}]*", 0))
-    text = nodes.where("kind = 'text'").select("page_id", "node_id", "parent_id", "path", bare.alias("text"), lead.alias("lead_ws")).where("text <> '' and parent_id is not null")
-    boxless = F.col("tag").isin(SKIPPED_PARENTS) | (style("display") == "none") | has_attr("hidden")
-    seen = F.when(style("visibility") != "", F.struct(F.col("node_id"), (~style("visibility").isin("hidden", "collapse")).alias("yes")))
-    faint = F.coalesce(style("opacity").try_cast("double"), F.lit(1.0)) == 0
-    rules = elements_.select("page_id", F.col("node_id").alias("over"), boxless.alias("boxless"), seen.alias("seen"), faint.alias("faint")).where("boxless or faint or seen is not null")
-    over = text.select("page_id", "node_id", "parent_id", F.explode("path").alias("over")).join(rules, ["page_id", "over"])
-    hidden = over.groupBy("page_id", "node_id").agg((F.bool_or(F.expr("boxless or (faint and over = parent_id)")) | ~F.coalesce(F.max("seen")["yes"], F.lit(True))).alias("hidden")).where("hidden")
-    # An anti join counts as large as the files of its left side; the hint of a written table ends at it.
-    out = text.join(hidden, ["page_id", "node_id"], "left_anti").select("page_id", "node_id", "path", "text", "lead_ws").hint("merge")
+    shown = _marked(nodes).withColumn("bare", _bare()).where(_is_run())
+    out = shown.select("page_id", "node_id", "path", F.col("bare").alias("text"), _lead().alias("lead_ws"))
     return out if layout is None else rendered.shown_runs(out, layout)
 
 
+def runs_of(nodes: DataFrame) -> DataFrame:
+    """text_runs with element_id, that of the nearest of elements() around each, or null: in one pass over the nodes."""
+    shown = _marked(nodes).withColumn("bare", _bare()).where(_is_run())
+    return shown.select("page_id", "node_id", "path", F.col("bare").alias("text"), _lead().alias("lead_ws"), F.col("up.near").alias("element_id"))
+
+
 def runs_with_elements(runs: DataFrame, elements_: DataFrame) -> DataFrame:
     """runs with element_id: that of the nearest ancestor in the element table, or null."""
     owners = elements_.select("page_id", F.col("node_id").alias("over"), "element_id", F.size("path").alias("depth"))
@@ -152,28 +196,30 @@ def runs_with_elements(runs: DataFrame, elements_: DataFrame) -> DataFrame:
     return runs.join(near, ["page_id", "node_id"], "left")
 
 
-def selectors(nodes: DataFrame) -> DataFrame:
-    """page_id, node_id, selector: the first unique one of id, test attribute, path from an id, and the path from html."""
+def selectors(nodes: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """page_id, node_id, selector: the first unique one of id, test attribute, path from an id, and the path from html.
+
+    kept: further columns of the nodes.
+    """
     escape = lambda c: F.regexp_replace(c, r"([^\w-])", r"\\$1")
     el = nodes.where("kind = 'element'")
-    nth = F.row_number().over(Window.partitionBy("page_id", "parent_id", "tag").orderBy("node_id"))
-    el = el.select("page_id", "node_id", "path", "tag", F.nullif(attr("id"), F.lit("")).alias("id"), F.coalesce(*[F.when(attr(a) != "", F.concat(F.lit(f'[{a}="'), escape(attr(a)), F.lit('"]'))) for a in TEST_ATTRIBUTES]).alias("by_test"), F.concat("tag", F.lit(":nth-of-type("), nth.cast("string"), F.lit(")")).alias("segment"))
-    steps = el.select("page_id", F.col("node_id").alias("over"), F.struct(F.col("node_id").alias("n"), "tag", "id", "segment").alias("s"))
-    chains = el.select("page_id", "node_id", F.explode("path").alias("over")).join(steps, ["page_id", "over"]).groupBy("page_id", "node_id").agg(F.sort_array(F.collect_list("s")).alias("chain"))
-    below = F.filter("chain", lambda s: s["tag"] != "html")
-    last_id = F.array_max(F.transform(F.filter(below, lambda s: s["id"].isNotNull()), lambda s: s["n"]))
-    full = F.array_join(F.concat(F.array(F.lit("html")), F.transform(below, lambda s: s["segment"])), " > ")
-    short = F.array_join(F.transform(F.filter(below, lambda s: s["n"] >= F.col("last_id")), lambda s: F.when(s["n"] == F.col("last_id"), F.concat(F.lit("#"), escape(s["id"]))).otherwise(s["segment"])), " > ")
-    out = el.join(chains, ["page_id", "node_id"]).withColumn("last_id", last_id).withColumn("full", full).withColumn("short", F.coalesce(F.when(F.col("last_id").isNotNull(), short), F.col("full")))
-    out = out.withColumn("by_id", F.concat(F.lit("#"), escape(F.col("id"))))
+    by_id = F.when(attr("id") != "", F.concat(F.lit("#"), escape(attr("id"))))
+    by_test = F.coalesce(*[F.when(attr(a) != "", F.concat(F.lit(f'[{a}="'), escape(attr(a)), F.lit('"]'))) for a in TEST_ATTRIBUTES])
+    out = el.select("page_id", "node_id", "last_id", "tag", by_id.alias("by_id"), by_test.alias("by_test"), *(F.col(c).alias(f"kept_{c}") for c in kept or []))
+    out = out.withColumn("place", tree.places(F.col("by_id"))).withColumns({"full": F.col("place.full"), "short": F.coalesce("place.short", "place.full")})
     once = lambda c: F.when(F.col(c).isNotNull() & (F.count(c).over(Window.partitionBy("page_id", c)) == 1), F.col(c))
-    return out.select("page_id", "node_id", F.coalesce(once("by_id"), once("by_test"), once("short"), F.col("full")).alias("selector"))
+    return out.select("page_id", "node_id", F.coalesce(once("by_id"), once("by_test"), once("short"), F.col("full")).alias("selector"), *(F.col(f"kept_{c}").alias(c) for c in kept or []))
 
 
 def resolve_again(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old selectors in a new snapshot: page_id, selector, old_node, new_node (the first match, or null if it is gone)."""
-    first = new.groupBy("page_id", "selector").agg(F.min("node_id").alias("new_node"))
-    return old.select("page_id", "selector", F.col("node_id").alias("old_node")).join(first, ["page_id", "selector"], "left")
+    """Old selectors in a new snapshot: page_id, selector, old_node, new_node (the first match, or null if it is gone), and
+    old's further columns. Both are put into one table and grouped, which pages dealt alike do not need a shuffle for.
+    """
+    kept = [c for c in old.columns if c not in ("page_id", "selector", "node_id")]
+    both = old.select("page_id", "selector", F.col("node_id").alias("old_node"), F.lit(None).cast("int").alias("new"), *kept)
+    both = both.unionByName(new.select("page_id", "selector", F.lit(None).cast("int").alias("old_node"), F.col("node_id").alias("new"), *(F.lit(None).cast(old.schema[c].dataType).alias(c) for c in kept)))
+    first = both.withColumn("new_node", F.min("new").over(Window.partitionBy("page_id", "selector")))
+    return first.where("old_node is not null").select("page_id", "selector", "old_node", "new_node", *kept)
 
 
 Tagger = Callable[[DataFrame], DataFrame]
@@ -234,6 +280,40 @@ def sensitive_items(pages: DataFrame, nodes: DataFrame, elements_: DataFrame, ru
     return flat(of_text).unionByName(flat(links)).unionByName(flat(of_values))
 
 
+_SHORT_ITEMS = "array<struct<type:string,masked:string,confidence:double,element_id:long>>"
+
+
+def _row_items() -> Column:
+    """Of one of _parts's rows: the items of its text or value, and a bare name."""
+    name = F.struct(F.lit("NAME").alias("type"), F.lit("").alias("match"), masking.mask_name(patterns.trim(F.col("raw_value"))).alias("masked"), F.lit(patterns.CONFIDENCE["NAME"]).alias("confidence"))
+    named = detect.bare_name(field_label(), F.col("raw_value"), F.lit(False))
+    # Patterns look at one column, so that they stand in the plan once.
+    found = F.concat(detect.items(F.col("_looked_at")), F.filter(F.array(name), lambda _: named))
+    return F.transform(found, lambda i: _short(i, F.col("element_id"))).cast(_SHORT_ITEMS)
+
+
+def _short(item: Column, element_id: Column) -> Column:
+    return F.struct(item["type"].alias("type"), item["masked"].alias("masked"), item["confidence"].cast("double").alias("confidence"), element_id.alias("element_id"))
+
+
+def _with_row_items(parts: DataFrame, pages: DataFrame) -> DataFrame:
+    """_parts's rows with _items: sensitive_items's of each."""
+    # Patterns look at one column, and a link's item is made in a column of its own: inside a lambda it would be made anew
+    # for each of its fields.
+    looked_at = F.coalesce(F.when(F.col("is_run"), F.col("run_text")).otherwise(F.col("raw_value")), F.lit(""))
+    rows = parts.withColumn("_looked_at", looked_at).join(pages.select("page_id", "url"), "page_id", "left")
+    rows = rows.withColumn("_link", F.when(F.col("href").isNotNull(), detect.url_item(F.col("href"), F.col("url"))))
+    rows = rows.withColumns({"_items": _row_items(), "_link": F.when(F.col("_link").isNotNull(), F.array(_short(F.col("_link"), F.col("element_id")))).cast(_SHORT_ITEMS)})
+    return rows.withColumn("_items", F.when(F.col("_link").isNull(), F.col("_items")).otherwise(F.concat("_items", "_link"))).drop("_looked_at", "_link", "url")
+
+
+def items_of(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sensitive_items without a tagger and a layout, in one pass over the nodes."""
+    rows = _with_row_items(_parts(nodes), pages)
+    # An inner explode would be given a filter that repeats all that its list is made of.
+    return rows.select("page_id", F.explode_outer("_items").alias("i")).where("i is not null").select("page_id", "i.*")
+
+
 def field_label() -> Column:
     return F.coalesce(F.nullif("aria_label", F.lit("")), F.nullif("placeholder", F.lit("")), F.lit(""))
 
@@ -262,9 +342,16 @@ def extraction(pages: DataFrame, nodes: DataFrame, tagger: Tagger | None = None,
     A value or line with an item of any kind is replaced: by a pattern, a bare name, or what the tagger sees. Where the
     tagger could not look, the whole value or line is; ner_status is then `failed` (`off`: no tagger).
     """
+    if tagger is None and layout is None:
+        return _extracted(pages, nodes)
     # Elements and runs are read many times below; each is made once.
-    el = written(elements(nodes, layout=layout))
-    el, runs = with_tags(el, written(runs_with_elements(text_runs(nodes, layout), el)), tagger)
+    if layout is None:
+        parts = written(_parts(nodes))
+        el, runs = parts.where("not is_run").drop("is_run", "lead_ws", "run_text"), parts.where("is_run").select("page_id", "node_id", "path", "text", "lead_ws", "element_id")
+    else:
+        el = written(elements(nodes, layout=layout))
+        runs = written(runs_with_elements(text_runs(nodes, layout), el))
+    el, runs = with_tags(el, runs, tagger)
     items = sensitive_items(pages, nodes, el, runs, tagger, layout)
     bbox = ["bbox"] if layout is not None else []
     el, runs = withheld(el, runs, tagger)
@@ -282,6 +369,22 @@ def extraction(pages: DataFrame, nodes: DataFrame, tagger: Tagger | None = None,
     return out.select("page_id", "url", "elements", "visible_text", "sensitive_items", *map(empty, ("elements", "visible_text", "sensitive_items")), status)
 
 
+def _extracted(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """extraction without a tagger and a layout, in one pass over the nodes: a page's rows are gathered where they are."""
+    rows = _with_row_items(_parts(nodes), pages)
+    unlabelled = F.coalesce(F.nullif("aria_label", F.lit("")), F.lit("")) == ""
+    mark = F.col("raw_value").isNotNull() & detect.bare_name(field_label(), F.col("raw_value"), F.lit(False))
+    hide = lambda c, when: F.when(when, F.lit(patterns.REDACTED)).otherwise(F.col(c)).alias(c)
+    element = F.when(~F.col("is_run"), F.struct("element_id", "type", hide("text", unlabelled & mark), "aria_label", "placeholder", hide("value", mark), "href", "enabled"))
+    run = F.when(F.col("is_run"), F.struct("node_id", F.when(F.size("_items") > 0, F.lit(patterns.LINE_MARK)).otherwise(F.substring("text", 1, 300)).alias("text"), "element_id"))
+    gathered = rows.select("page_id", element.alias("e"), run.alias("r"), "_items").groupBy("page_id").agg(F.sort_array(F.collect_list("e")).alias("elements"), F.sort_array(F.collect_list("r")).alias("visible_text"), F.sort_array(F.flatten(F.collect_list("_items"))).alias("sensitive_items"))
+    out = pages.select("page_id", "url").join(gathered, "page_id", "left")
+    lists = ("elements", "visible_text", "sensitive_items")
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)).cast("long"), F.lit(0)).alias(f"n_{c}")
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)  # noqa: E731  a page without any has no list
+    return out.select("page_id", "url", *map(some, lists), *map(size, lists), F.lit("off").alias("ner_status"))
+
+
 #: Rows of the details report's list of elements.
 MOST_ROWS = 25
 

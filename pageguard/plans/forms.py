@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageguard.operators import page
 from pageguard.sources import html
-from pageguard.sources.tables import spread, table, written
+from pageguard.sources.tables import spread, table
 
 BASE = "https://shop.example.org/account/form"
 #: {k}, {m}, {name}, {segment} and {balance} are filled from columns; {on} and {off} are attributes that some pages have.
@@ -41,14 +41,16 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit(TEMPLATE)
     for name, value in filled.items():
         text = F.replace(text, F.lit("{" + name + "}"), value)
-    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"))
+    rows = spread(table(spark, sf_dir, "customer").select(k.cast("long").alias("page_id"), "c_custkey", "c_mktsegment", "c_acctbal"), "page_id")
     # A customer's row is short beside its page: the customers' size says nothing of what a broadcast of pages takes.
-    return rows.hint("merge").select(k.cast("long").alias("page_id"), F.lit(BASE).alias("url"), text.alias("html"))
+    return rows.hint("merge").select("page_id", F.lit(BASE).alias("url"), text.alias("html"))
 
 
 def _nodes(pages: DataFrame) -> DataFrame:
-    """The node table, parsed once and written down."""
-    return written(html.nodes(pages))
+    """The node table. Pages are dealt by page_id before they are parsed, and what follows goes by page_id: each query goes
+    through it once, so it is neither written nor shuffled.
+    """
+    return html.nodes(pages)
 
 
 def form_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +61,7 @@ def form_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form_text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shown text in order, with its leading blanks and the control that it belongs to."""
-    nodes = _nodes(_pages(spark, sf_dir))
-    runs = page.runs_with_elements(page.text_runs(nodes), page.elements(nodes))
+    runs = page.runs_of(_nodes(_pages(spark, sf_dir)))
     place = F.row_number().over(page.Window.partitionBy("page_id").orderBy("node_id")).cast("long")
     return runs.select("page_id", place.alias("place"), "text", F.col("lead_ws").cast("long").alias("lead_ws"), "element_id")
 
@@ -68,27 +69,22 @@ def form_text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def form_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensitive items of text, links and values, with the control that holds them."""
     pages = _pages(spark, sf_dir)
-    nodes = _nodes(pages)
-    elements = page.elements(nodes)
-    items = page.sensitive_items(pages, nodes, elements, page.runs_with_elements(page.text_runs(nodes), elements))
+    items = page.items_of(pages, _nodes(pages))
     return items.select("page_id", "type", "masked", F.round(F.col("confidence").cast("double"), 2).alias("confidence"), "element_id")
 
 
 def form_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selectors of the controls and of the list."""
-    nodes = _nodes(_pages(spark, sf_dir))
-    known = page.elements(nodes).select("page_id", "node_id", "element_id")
-    named = nodes.where("kind = 'element'").join(known, ["page_id", "node_id"], "left").where("tag = 'li' or element_id is not null").select("page_id", "node_id", "element_id")
-    return page.selectors(nodes).join(named, ["page_id", "node_id"]).select("page_id", "element_id", "selector")
+    found = page.selectors(page.numbered(_nodes(_pages(spark, sf_dir))), ["tag", "element_id"])
+    return found.where("tag = 'li' or element_id is not null").select("page_id", "element_id", "selector")
 
 
 def form_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Controls of a page found again, by their selectors, in a later state of it without its button to save and its list."""
     pages = _pages(spark, sf_dir)
-    nodes = _nodes(pages)
     later = _nodes(pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<button[^>]*>Save .*?</button>", ""), "(?s)<ul>.*?</ul>", "")))
-    again = page.resolve_again(page.selectors(nodes), page.selectors(later)).withColumnRenamed("old_node", "node_id")
-    return page.elements(nodes).select("page_id", "node_id", "element_id").join(again, ["page_id", "node_id"]).select("page_id", "element_id", F.col("new_node").isNotNull().alias("found"))
+    now = page.selectors(page.numbered(_nodes(pages)), ["element_id"]).where("element_id is not null")
+    return page.resolve_again(now, page.selectors(later)).select("page_id", "element_id", F.col("new_node").isNotNull().alias("found"))
 
 
 def form_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

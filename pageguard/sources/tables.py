@@ -41,7 +41,7 @@ def written(df: DataFrame) -> DataFrame:
 ROWS_A_TASK = 2000
 
 
-def spread(df: DataFrame, rows: int = ROWS_A_TASK) -> DataFrame:
-    """df dealt evenly to tasks by its number of rows: a small file of short rows is otherwise read by one task."""
-    n = -(-df.count() // rows)
-    return df.repartition(max(1, min(n, 20_000)))
+def spread(df: DataFrame, key: str | None = None, rows: int = ROWS_A_TASK) -> DataFrame:
+    """df dealt to tasks by its number of rows, evenly or by a key: a small file of short rows is otherwise read by one task."""
+    n = max(1, min(-(-df.count() // rows), 20_000))
+    return df.repartition(n, key) if key else df.repartition(n)

@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pageguard.operators import ner
-from pageguard.plans import tagging
+from pageguard.operators import ner, page, tree
+from pageguard.plans import forms, tagging
+from pageguard.sources import html
 
 
 def plan(df):
@@ -38,3 +39,27 @@ def test_pieces_of_many_texts_are_those_of_each(most):
     for batch in (texts, texts[:1], texts[5:], texts[::-1]):
         got = [tuple(x.tolist() for x in p) for p in many(batch)]
         assert got == [want[texts.index(t)] for t in batch]
+
+
+@pytest.mark.parametrize("name", ["form_elements", "form_items", "form_details", "form_extraction", "form_rejoin"])
+def test_form_queries_write_nothing_and_join_no_nodes(spark, tmp_path, name):
+    """Nodes were written, exploded by their ancestors and joined again and again: time and disk grew by each join."""
+    rows = spark.range(50).selectExpr("id + 1 as c_custkey", "'BUILDING' as c_mktsegment", "1.0D as c_acctbal")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = plan(forms.QUERIES[name](spark, str(tmp_path)))
+    scans = [line for line in made.splitlines() if "FileScan" in line]
+    assert scans and len(scans) <= 3 and all("c_custkey" in line for line in scans)
+    assert not any("node_id" in line.split("Join")[1] for line in made.splitlines() if "Join" in line)
+
+
+def test_rows_out_of_order_are_an_error(spark):
+    nodes = spark.createDataFrame([(1, 1, 1, 0, None), (1, 0, 1, 1, 0)], "page_id long, node_id int, last_id int, mark int, element_id long").coalesce(1)
+    with pytest.raises(Exception, match="not in document order"):
+        nodes.select(tree.enclosing(F.col("mark"), F.col("element_id"))).collect()
+
+
+def test_nested_owners_options_and_inherited_visibility(spark):
+    text = "<div onclick='a'>x <button>b</button> y</div><select><option value='1'>A<option selected>B</select><div style='visibility:hidden'><b>no</b><i style='visibility:visible'>yes</i></div><p style='opacity:0'>faint <u>not</u></p>"
+    nodes = html.nodes(spark.createDataFrame([(1, text), (2, None)], "page_id long, html string"))
+    assert [(r.element_id, r.text, r.value) for r in page.elements(nodes).orderBy("element_id").collect()] == [(0, "x b y", None), (1, "b", None), (2, "B", "B")]
+    assert [(r.text, r.element_id) for r in page.runs_of(nodes).orderBy("node_id").collect()] == [("x", 0), ("b", 1), ("y", 0), ("A", 2), ("B", 2), ("yes", None), ("not", None)]
